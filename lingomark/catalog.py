@@ -68,14 +68,20 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def long_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """One row per dimension. The outer form keeps Spark from adding a filter on the array, which
+    would compute it a second time."""
+    return df.select(key, F.posexplode_outer(vector).alias("dim", "value"))
+
+
 def text_features(spark, folder):
     docs = batch.with_text_features(documents(spark, folder), "text")
     return docs.select("doc_id", "num_words", F.round("avg_word_len", 9).alias("avg_word_len"), "text_length")
 
 
 def text_chunks(spark, folder):
-    units = documents(spark, folder).select("doc_id", text.chunks(F.col("text")).alias("units"))
-    return units.select("doc_id", F.posexplode("units").alias("chunk_no", "chunk"))
+    units = text.chunks(F.col("text"))
+    return documents(spark, folder).select("doc_id", F.posexplode(units).alias("chunk_no", "chunk"))
 
 
 def sentence_counts(spark, folder):
@@ -214,14 +220,13 @@ def _damaged(spark, folder) -> DataFrame:
 
 def vector_guards(spark, folder):
     guarded = _damaged(spark, folder).select("vec_id", vectors.guard(F.col("embedding"), VECTOR_SIZE).alias("e"))
-    return guarded.select("vec_id", F.posexplode("e").alias("dim", "value"))
+    return long_vectors(guarded, "vec_id", "e")
 
 
 def zero_replace(spark, folder):
     guarded = _damaged(spark, folder).withColumn("embedding", vectors.guard(F.col("embedding"), VECTOR_SIZE))
     filled = embedding.replace_zero_vectors(guarded, "vec_id", "embedding", VECTOR_SIZE)
-    long = filled.select("vec_id", F.posexplode("embedding").alias("dim", "value"))
-    return long.withColumn("value", F.round("value", 9))
+    return long_vectors(filled, "vec_id", "embedding").withColumn("value", F.round("value", 9))
 
 
 def _with_labels(spark, folder) -> DataFrame:
@@ -444,7 +449,7 @@ def signal_global(spark, folder):
 def frame_features(spark, folder):
     waves = session.spread(table(spark, folder, "embeddings"))
     cut = signal.frames(F.col("embedding"), FRAME, HOP)
-    framed = waves.select("vec_id", F.posexplode(cut).alias("frame_no", "frame"))
+    framed = waves.select("vec_id", F.explode(cut).alias("frame"))
     levels = framed.select("vec_id", signal.frame_rms(F.col("frame")).alias("rmse"))
     means = stats.frame_means(levels, "vec_id", "rmse")
     return means.select("vec_id", F.round("rmse", 9).alias("rmse"))
@@ -458,9 +463,7 @@ def mean_pool(spark, folder):
 
 def hashed_embedding(spark, folder):
     embedded = embedding.hashed_embedding(documents(spark, folder), "text", VECTOR_SIZE)
-    return embedded.select("doc_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
-        "value", F.round("value", 9)
-    )
+    return long_vectors(embedded, "doc_id", "embedding").withColumn("value", F.round("value", 9))
 
 
 def wav_roundtrip_features(spark, folder):
@@ -605,12 +608,10 @@ def flagship(spark, folder):
 
 def batch_job(spark, folder):
     """Manifest of all documents; the labelled ones count as transcribed, the others as missing."""
-    manifest = table(spark, folder, "documents").select("doc_id")
+    manifest = table(spark, folder, "documents").select(F.col("doc_id").alias("filename"))
     heard = documents(spark, folder).join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
-    found = resolve.resolve(
-        manifest, heard.select("doc_id", F.col("text").alias("transcript")), "doc_id", "transcript"
-    )
-    results = batch.results_from_transcripts(found.withColumnRenamed("doc_id", "filename"))
+    transcripts = heard.select(F.col("doc_id").alias("filename"), F.col("text").alias("transcript"))
+    results = batch.deliver(manifest, batch.results_from_transcripts(transcripts))
     return results.withColumn("grammar_score", F.round("grammar_score", 9))
 
 

@@ -153,8 +153,13 @@ def build_prompt(text: Column) -> Column:
 
 
 def clamp(value: Column, low: float = SCORE_MIN, high: float = SCORE_MAX) -> Column:
-    """Limit to a range; NULL stays NULL (``greatest`` alone would skip it)."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+    """Limit to a range; NULL stays NULL (``greatest`` alone would skip it).
+
+    The value is bound once: a plain CASE would compute it for the test and for the result.
+    """
+    return let(
+        value, lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(low)), F.lit(high)))
+    )
 
 
 def parse_score(reply: Column) -> Column:

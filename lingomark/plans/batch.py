@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingomark.contracts import AUDIO_COLUMNS
+from lingomark.contracts import AUDIO_COLUMNS, TEXT_COLUMNS
 from lingomark.functions.text import (
     SCORE_MAX,
     avg_word_len,
@@ -127,6 +127,17 @@ def feature_dataset(
     )
 
 
+def deliver(manifest: DataFrame, results: DataFrame) -> DataFrame:
+    """Detail table in which every manifest row appears; rows without a clip carry error text.
+
+    Results are joined after they are computed: once per clip however often the manifest names it.
+    """
+    found = results.withColumn("_found", F.lit(True))
+    joined = resolve(manifest.select("filename"), found, "filename", "_found")
+    kept = keep_failed(joined, ["transcript", "corrected_text"], "grammar_score")
+    return kept.select("filename", "transcript", "grammar_score", "corrected_text")
+
+
 def batch_job(
     manifest: DataFrame,
     files: DataFrame,
@@ -135,20 +146,19 @@ def batch_job(
     corrector: Corrector = cascade,
     recognise: str = "content",
 ) -> DataFrame:
-    """Detail table of a manifest: every manifest row appears, failed ones with error text.
+    """Detail table of a manifest of clips.
 
-    A clip without usable features is scored with zeros for them, as long as it has a transcript.
+    A clip without usable features is scored with zeros for them, as long as it has a transcript;
+    a clip that could not be transcribed keeps its error as text and scores 0.
     """
     clips = clip_table(manifest, files, load_recogniser, recognise)
-    joined = resolve(manifest, clips.withColumn("_found", F.lit(True)), "filename", "_found")
-    joined = joined.withColumn("error", F.coalesce("error", "clip_error"))
-    features = default_audio(with_text_features(joined, "transcript"), AUDIO_COLUMNS)
+    features = default_audio(with_text_features(clips, "transcript"), AUDIO_COLUMNS)
     done = correct_and_score(features, "transcript", corrector)
     if scorer is not None:
-        usable = done.drop("grammar_score").na.fill(0, ["num_words", "avg_word_len", "text_length"])
+        usable = done.drop("grammar_score").na.fill(0, list(TEXT_COLUMNS))
         done = apply_scorer(usable, scorer, "grammar_score")
-    done = keep_failed(done, ["transcript", "corrected_text"], "grammar_score")
-    return done.select("filename", "transcript", "grammar_score", "corrected_text")
+    done = keep_failed(done, ["transcript", "corrected_text"], "grammar_score", "clip_error")
+    return deliver(manifest, done.select("filename", "transcript", "grammar_score", "corrected_text"))
 
 
 def merge_clip_text(audio: DataFrame, text: DataFrame, key: str = "filename") -> DataFrame:
