@@ -51,6 +51,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
