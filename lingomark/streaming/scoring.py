@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lingomark.plans.request import respond
 from lingomark.sources.audio import EXTENSIONS, SIZE_LIMIT, feature_table
 
+# Fixed value: the schema of Spark's binary file source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def text_requests(
     spark: SparkSession, folder: str, schema: str = "id bigint, text string", files_per_batch: int | None = None
@@ -27,8 +30,10 @@ def score_requests(requests: DataFrame, text: str = "text") -> DataFrame:
 
 def audio_uploads(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Clips as they arrive in a landing folder."""
-    reader = spark.readStream.format("binaryFile").option(
-        "pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}"
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}")
     )
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
