@@ -170,9 +170,8 @@ def rubric_scores(spark, folder):
 
         return predict
 
-    reply = apply_model.apply_model(text.build_prompt(F.col("text")), load, batch_size=256)
-    scored = documents(spark, folder).select("doc_id", reply.alias("reply"))
-    return scored.select("doc_id", text.parse_score(F.col("reply.value")).alias("grammar_score"))
+    docs = documents(spark, folder).select("doc_id", "text")
+    return batch.rubric_scores(docs, "text", load, batch_size=256).drop("text")
 
 
 def token_pad_mask(spark, folder):

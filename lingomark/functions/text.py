@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that separate words (Unicode white space plus 0x1c-0x1f).
@@ -199,6 +199,20 @@ def word_diff_score(original: Column, corrected: Column) -> Column:
     )
 
 
+MAX_RULES = 500
+
+
+def load_rules(table: DataFrame, order: str = "position", limit: int = MAX_RULES) -> tuple[Rule, ...]:
+    """Rules of a table ``rule_id, pattern, replacement`` in the order of a column.
+
+    Rules become expressions, so the table has to be small; a larger one is refused, not cut.
+    """
+    rows = table.orderBy(order).select(*Rule._fields).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"More than {limit} rules")
+    return tuple(Rule(*row) for row in rows)
+
+
 def rule_hits(text: Column, rules: Sequence[Rule]) -> Column:
     """Array of ``(rule_id, hits)``, one element per rule."""
     return F.array(

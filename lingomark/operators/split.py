@@ -2,50 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
 PREFIX_DIGITS = 4
 
 
-def exact_split(df: DataFrame, key: str, share: float, seed: int = SEED) -> DataFrame:
-    """Mark ``ceil(n * share)`` rows as ``val`` and the others as ``train`` (column ``split``).
+def _digest(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
-    Rows are ordered by the MD5 of seed and key, so the parts do not depend on partitioning or
-    engine. A histogram over hash prefixes (at most 65536 rows) finds the prefix where validation
-    ends; rows below and above it are settled by comparison and only the rows that share this
-    prefix are ranked. ``key`` must identify a row.
+
+def _last_validation_key(df: DataFrame, key: str, share: float, seed: int) -> Column:
+    """Scalar subquery: digest and key of the last validation row in digest order.
+
+    A histogram over digest prefixes (at most 65536 rows) tells in which prefix validation ends;
+    only the keys with this prefix are counted and put in order.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    hashed = df.withColumn("_digest", digest).withColumn(
+    hashed = df.select(F.col(key).alias("_key"), _digest(key, seed).alias("_digest")).withColumn(
         "_prefix", F.substring("_digest", 1, PREFIX_DIGITS)
     )
     histogram = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy().rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = histogram.select(
         "_prefix",
         (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
         F.sum("_n").over(upto).alias("_upto"),
         F.ceil(F.sum("_n").over(everything) * F.lit(share)).alias("_wanted"),
     )
-    border = running.where(
-        (F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto"))
-    ).select(
-        F.struct("_prefix", (F.col("_wanted") - F.col("_before")).alias("take"))
+    border = running.where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
+    border = border.select(F.struct("_prefix", (F.col("_wanted") - F.col("_before")).alias("take")))
+    at_border = hashed.withColumn("_border", border.scalar()).where(
+        F.col("_prefix") == F.col("_border._prefix")
     )
-    marked = hashed.withColumn("_border", border.scalar())
-    at_border = F.col("_prefix") == F.col("_border._prefix")
-    settled = marked.where(F.coalesce(~at_border, F.lit(True))).withColumn(
-        "split",
-        F.when(F.col("_prefix") < F.col("_border._prefix"), F.lit("val")).otherwise(F.lit("train")),
+    counted = at_border.groupBy("_digest", "_key", "_border").agg(F.count(F.lit(1)).alias("_n"))
+    in_order = Window.partitionBy("_border").orderBy("_digest", "_key")
+    ranked = counted.withColumn("_rank", F.sum("_n").over(in_order))
+    last = ranked.where(
+        (F.col("_rank") >= F.col("_border.take")) & (F.col("_rank") - F.col("_n") < F.col("_border.take"))
     )
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest", key))
-    ranked = marked.where(at_border).withColumn("_rank", rank)
-    ranked = ranked.withColumn(
-        "split", F.when(F.col("_rank") <= F.col("_border.take"), F.lit("val")).otherwise(F.lit("train"))
-    ).drop("_rank")
-    return settled.unionByName(ranked).select(*df.columns, "split")
+    return last.select(F.struct("_digest", "_key")).scalar()
+
+
+def exact_split(df: DataFrame, key: str, share: float, seed: int = SEED) -> DataFrame:
+    """Mark ``ceil(n * share)`` rows as ``val`` and the others as ``train`` (column ``split``).
+
+    Rows are ordered by the MD5 of seed and key, so the parts do not depend on partitioning or
+    engine. Two passes over the key column find the last validation key; the table itself is then
+    only compared with it: no shuffle, no sort, one read. Rows that share a key stay together.
+    """
+    last = _last_validation_key(df, key, share, seed)
+    marked = df.withColumn("_last", last)
+    place = F.struct(_digest(key, seed).alias("_digest"), F.col(key).alias("_key"))
+    chosen = F.coalesce(place <= F.col("_last"), F.lit(False))
+    part = F.when(chosen, F.lit("val")).otherwise(F.lit("train"))
+    return marked.withColumn("split", part).drop("_last")

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingomark.contracts import AUDIO_COLUMNS, TEXT_COLUMNS
+from lingomark.contracts import (
+    AUDIO_COLUMNS,
+    EMBEDDING_SIZE,
+    TEXT_COLUMNS,
+    require_columns,
+    widen,
+)
 from lingomark.functions.text import (
     SCORE_MAX,
+    Rule,
     avg_word_len,
+    build_prompt,
     clamp,
+    grammar_ratio,
+    is_nonblank,
+    num_words,
+    parse_score,
+    rule_error_count,
     text_length,
     word_diff_score,
     words,
 )
 from lingomark.operators.apply_model import Predictor, apply_model
 from lingomark.operators.cleaning import default_audio, keep_failed
+from lingomark.operators.embedding import hashed_embedding
 from lingomark.operators.resolve import merge_features, resolve
 from lingomark.operators.training import Scorer, apply_scorer
 from lingomark.plans.correction import cascade
 from lingomark.session import plan_bytes, stage
-from lingomark.sources.audio import FEATURE_FIELDS, audio_features, split_by_size
+from lingomark.sources.audio import FEATURE_FIELDS, audio_features, feature_table, split_by_size
 
 # Names of a manifest are broadcast to prune the clip scan only below this size.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Fixed value: prompts per call of the language model.
+RUBRIC_BATCH = 5
+
 Corrector = Callable[[Column], Column]
 
 
@@ -88,18 +105,14 @@ def _manifest_clips(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(names), "filename", "left_semi")
 
 
-def clip_table(
-    manifest: DataFrame,
-    files: DataFrame,
-    load_recogniser: Callable[[], Predictor],
-    recognise: str = "content",
+def hear_clips(
+    files: DataFrame, load_recogniser: Callable[[], Predictor], recognise: str = "content"
 ) -> DataFrame:
-    """One row per clip with audio features, transcript and error, written once.
+    """One row per clip: audio features, ``transcript``, ``audio_error`` and ``clip_error``.
 
-    ``recognise`` names the column the recogniser gets. Recogniser results are staged because the
-    tables derived from them would otherwise run the model again.
+    ``recognise`` names the column the recogniser gets. Row by row, so it also runs on streams.
     """
-    accepted, rejected = split_by_size(_manifest_clips(manifest, files))
+    accepted, rejected = split_by_size(files)
     heard = accepted.select(
         "filename",
         audio_features(F.col("content")).alias("_audio"),
@@ -112,19 +125,116 @@ def clip_table(
         F.col("_heard.error").alias("clip_error"),
     )
     refused = rejected.withColumnRenamed("error", "clip_error")
-    return stage(heard.unionByName(refused, allowMissingColumns=True), "clips")
+    return heard.unionByName(refused, allowMissingColumns=True)
 
 
-def feature_dataset(
+def transcribe(
     manifest: DataFrame, files: DataFrame, load_recogniser: Callable[[], Predictor], recognise: str = "content"
 ) -> DataFrame:
-    """Feature rows with labels for training, plus the rows that failed with their ``error``."""
-    clips = clip_table(manifest, files, load_recogniser, recognise)
-    joined = resolve(manifest, clips.withColumn("_found", F.lit(True)), "filename", "_found")
-    failed = F.coalesce("error", "audio_error", "clip_error")
-    return with_text_features(joined.withColumn("error", failed), "transcript").drop(
-        "_found", "audio_error", "clip_error"
+    """Manifest columns with ``transcript`` and ``error``; staged, since two tables are written from it."""
+    asked = _manifest_clips(manifest, files).select(
+        "filename", apply_model(F.col(recognise), load_recogniser).alias("_heard")
+    )
+    heard = asked.select(
+        "filename",
+        F.col("_heard.value").alias("transcript"),
+        F.col("_heard.error").alias("_failure"),
+        F.lit(True).alias("_found"),
     )
+    joined = resolve(manifest, heard, "filename", "_found")
+    done = joined.withColumn("error", F.coalesce("error", "_failure")).drop("_failure", "_found")
+    return stage(done, "transcripts")
+
+
+def clip_table(
+    manifest: DataFrame, files: DataFrame, load_recogniser: Callable[[], Predictor], recognise: str = "content"
+) -> DataFrame:
+    """:func:`hear_clips` of the clips in a manifest, written once.
+
+    The tables derived from it would otherwise run the recogniser again.
+    """
+    return stage(hear_clips(_manifest_clips(manifest, files), load_recogniser, recognise), "clips")
+
+
+# Columns of the audio job that stand behind the audio feature names, by variant.
+AUDIO_VARIANTS = {
+    "framed": ("duration", "zero_crossing_rate", "spectral_centroid", "rmse"),
+    "global": ("duration", "zero_crossing_global", "mel_power_mean", "rms_global"),
+}
+
+
+def feature_dataset(
+    transcripts: DataFrame, files: DataFrame, corrector: Corrector = cascade, variant: str = "framed"
+) -> DataFrame:
+    """Training table: audio features, text features, difference score and label per clip.
+
+    ``transcripts`` has ``filename, transcript, label``. Rows that failed stay, with ``error`` set;
+    :func:`~lingomark.operators.cleaning.drop_failed` and ``failed_lines`` part them.
+    """
+    require_columns(transcripts, ["filename", "transcript", "label"])
+    clips = feature_table(_manifest_clips(transcripts, files), with_tempo=False)
+    audio = clips.select(
+        "filename",
+        *[F.col(source).alias(name) for source, name in zip(AUDIO_VARIANTS[variant], AUDIO_COLUMNS)],
+        F.col("error").alias("audio_error"),
+        F.lit(True).alias("_found"),
+    )
+    texts = with_text_features(transcripts, "transcript", at_least_one=True)
+    texts = texts.withColumn("corrected_text", corrector(F.col("transcript")))
+    texts = texts.withColumn(
+        "grammar_score_model", word_diff_score(F.col("transcript"), F.col("corrected_text"))
+    )
+    joined = resolve(texts, audio, "filename", "_found")
+    blank = F.when(~is_nonblank(F.col("transcript")), F.lit("No transcript"))
+    return joined.select(
+        "filename",
+        *AUDIO_COLUMNS,
+        "grammar_score_model",
+        F.col("transcript").alias("original_text"),
+        "corrected_text",
+        *TEXT_COLUMNS,
+        "label",
+        F.coalesce("error", "audio_error", blank).alias("error"),
+    )
+
+
+def with_error_features(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
+    """Add ``num_errors`` (rule hits) and ``grammar_ratio`` (hits per word)."""
+    counted = df.withColumn("num_errors", rule_error_count(F.col(text), rules))
+    return counted.withColumn("grammar_ratio", grammar_ratio(F.col("num_errors"), num_words(F.col(text))))
+
+
+def full_features(df: DataFrame, text: str, rules: Sequence[Rule], size: int = EMBEDDING_SIZE) -> DataFrame:
+    """The widest contract: text, rule, audio and embedding features as scalar columns.
+
+    Audio columns that are absent become 0, as does the score of a first model.
+    """
+    names = (*AUDIO_COLUMNS, "grammar_score_model")
+    present = set(df.columns)
+    ready = df.withColumns({c: F.lit(0.0) for c in names if c not in present})
+    ready = with_error_features(with_text_features(default_audio(ready, names), text), text, rules)
+    return widen(hashed_embedding(ready, text, size), "embedding", size)
+
+
+def model_score(df: DataFrame, text: str, scorer: Scorer, output: str = "grammar_score") -> DataFrame:
+    """Score texts with a trained model: text features, audio features or zeros, no first-model score.
+
+    Leaves the columns of ``df`` as they were, plus the score.
+    """
+    names = (*AUDIO_COLUMNS, "grammar_score_model")
+    present = set(df.columns)
+    ready = df.withColumns({c: F.lit(0.0) for c in names if c not in present})
+    ready = with_text_features(default_audio(ready, names), text).na.fill(0, list(TEXT_COLUMNS))
+    return apply_scorer(ready, scorer, output).select(*df.columns, output)
+
+
+def rubric_scores(
+    df: DataFrame, text: str, load: Callable[[], Predictor], batch_size: int = RUBRIC_BATCH
+) -> DataFrame:
+    """Ask a language model for a score per text; an unusable or failed reply is NULL."""
+    reply = apply_model(build_prompt(F.col(text)), load, batch_size=batch_size)
+    asked = df.withColumn("_reply", reply)
+    return asked.withColumn("grammar_score", parse_score(F.col("_reply.value"))).drop("_reply")
 
 
 def deliver(manifest: DataFrame, results: DataFrame) -> DataFrame:
@@ -152,11 +262,9 @@ def batch_job(
     a clip that could not be transcribed keeps its error as text and scores 0.
     """
     clips = clip_table(manifest, files, load_recogniser, recognise)
-    features = default_audio(with_text_features(clips, "transcript"), AUDIO_COLUMNS)
-    done = correct_and_score(features, "transcript", corrector)
+    done = correct_and_score(clips, "transcript", corrector)
     if scorer is not None:
-        usable = done.drop("grammar_score").na.fill(0, list(TEXT_COLUMNS))
-        done = apply_scorer(usable, scorer, "grammar_score")
+        done = model_score(done.drop("grammar_score"), "transcript", scorer)
     done = keep_failed(done, ["transcript", "corrected_text"], "grammar_score", "clip_error")
     return deliver(manifest, done.select("filename", "transcript", "grammar_score", "corrected_text"))
 

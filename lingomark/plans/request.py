@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingomark.functions.text import choose_text
-from lingomark.plans.batch import rule_score
+from lingomark.operators.training import Scorer
+from lingomark.plans.batch import model_score, rule_score
 from lingomark.plans.correction import cascade
 
 # Messages and field names of a response.
 NO_INPUT = "Please provide either an audio file or text input."
 NO_TEXT = "No text to process."
 NO_REQUEST_TEXT = "No text provided"
-NO_AUDIO = "No audio file provided"
 FIELDS = ("transcription", "originalText", "correctedText", "grammarScore", "error")
 
 
@@ -25,13 +25,13 @@ def request_text(body: Column) -> Column:
 
 
 def request_error(
-    text_input: Column, transcript: Column, has_audio: Column, audio_error: Column
+    text_input: Column, transcript: Column, has_audio: Column, audio_error: Column, no_input: str = NO_INPUT
 ) -> Column:
     """First reason to refuse a request, or NULL."""
     no_text = F.coalesce(F.length(text_input), F.lit(0)) == 0
     no_transcript = F.coalesce(F.length(transcript), F.lit(0)) == 0
     return (
-        F.when(~has_audio & no_text, F.lit(NO_INPUT))
+        F.when(~has_audio & no_text, F.lit(no_input))
         .when(has_audio & audio_error.isNotNull(), audio_error)
         .when(no_text & no_transcript, F.lit(NO_TEXT))
     )
@@ -43,24 +43,31 @@ def respond(
     transcript: Column | None = None,
     audio_error: Column | None = None,
     corrector: Callable[[Column], Column] = cascade,
+    scorer: Scorer | None = None,
     prefer_audio: bool = False,
+    no_input: str = NO_INPUT,
 ) -> DataFrame:
     """Add the response fields to a request table.
 
-    Pure projection, so the same function serves batch tables and streams.
+    Scores with ``scorer`` when given, otherwise by the share of changed words. Row by row, so the
+    same function serves batch tables and streams.
     """
     heard = F.lit(None).cast("string") if transcript is None else transcript
     failure = F.lit(None).cast("string") if audio_error is None else audio_error
     has_audio = heard.isNotNull() | failure.isNotNull()
     chosen = df.withColumns(
         {
-            "error": request_error(text_input, heard, has_audio, failure),
+            "error": request_error(text_input, heard, has_audio, failure, no_input),
             "transcription": F.coalesce(heard, F.lit("")),
             "originalText": choose_text(text_input, heard, prefer_audio),
         }
     )
     fixed = chosen.withColumn("correctedText", corrector(F.col("originalText")))
-    scored = fixed.withColumn("grammarScore", rule_score(F.col("originalText"), F.col("correctedText")))
+    if scorer is None:
+        score = rule_score(F.col("originalText"), F.col("correctedText"))
+        scored = fixed.withColumn("grammarScore", score)
+    else:
+        scored = model_score(fixed, "originalText", scorer, "grammarScore")
     refused = F.col("error").isNotNull()
     empty = {c: F.when(refused, F.lit("")).otherwise(F.col(c)) for c in FIELDS[:3]}
     return scored.withColumns(

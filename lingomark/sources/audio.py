@@ -26,6 +26,8 @@ FEATURE_FIELDS = (
     "spectral_rolloff",
     "mel_power_mean",
     "tempo",
+    "zero_crossing_global",
+    "rms_global",
 )
 FEATURE_TYPE = (
     "sr int, channels int, n_samples bigint, "
@@ -107,6 +109,15 @@ def encode(samples: Column, rate: int) -> Column:
     return F.pandas_udf(run, returnType="binary")(samples)
 
 
+def upload_error(filename: Column, reason: Column) -> Column:
+    """Message for an upload that is refused, or NULL."""
+    return (
+        F.when(filename.isNull(), F.lit("No audio file provided"))
+        .when(filename == "", F.lit("No selected file"))
+        .when(reason.isNotNull(), F.concat(F.lit("Invalid audio file: "), reason))
+    )
+
+
 def validate(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     """``filename, valid, reason``: size first, then whether the first second decodes."""
     accepted, rejected = split_by_size(files, limit)

@@ -29,6 +29,8 @@ ROW_FIELDS = [
     "spectral_rolloff",
     "mel_power_mean",
     "tempo",
+    "zero_crossing_global",
+    "rms_global",
     "error",
 ]
 
@@ -161,6 +163,13 @@ def tempo(flux: np.ndarray, rate: int) -> float | None:
     return float(beats[usable][best])
 
 
+def whole_clip(channels: np.ndarray) -> tuple[float, float]:
+    """Mean absolute step of the sign, and root mean square, over all samples of all channels."""
+    steps = np.abs(np.diff(np.sign(channels), axis=0))
+    crossings = float(steps.mean()) if steps.size else 0.0
+    return crossings, float(np.sqrt(np.mean(channels * channels)))
+
+
 def feature_row(content: bytes | None, with_tempo: bool = True) -> tuple:
     """One row of ``ROW_FIELDS``; a clip that cannot be read yields only its error."""
     try:
@@ -180,6 +189,7 @@ def feature_row(content: bytes | None, with_tempo: bool = True) -> tuple:
             rolloff,
             mel_power_mean(channels, rate),
             tempo(flux, rate) if with_tempo else None,
+            *whole_clip(channels),
             None,
         )
     except Exception as error:  # an unreadable clip is a data error, not a task failure

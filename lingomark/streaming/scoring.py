@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingomark.plans.request import respond
-from lingomark.sources.audio import EXTENSIONS, SIZE_LIMIT, feature_table
+from lingomark.operators.apply_model import Predictor
+from lingomark.operators.training import Scorer
+from lingomark.plans.batch import hear_clips
+from lingomark.plans.request import FIELDS, NO_REQUEST_TEXT, respond
+from lingomark.sources.audio import EXTENSIONS, SIZE_LIMIT, feature_table, upload_error
 
 # Fixed value: the schema of Spark's binary file source.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -24,8 +27,8 @@ def text_requests(
     return reader.json(folder)
 
 
-def score_requests(requests: DataFrame, text: str = "text") -> DataFrame:
-    return respond(requests, F.col(text))
+def score_requests(requests: DataFrame, text: str = "text", scorer: Scorer | None = None) -> DataFrame:
+    return respond(requests, F.col(text), scorer=scorer, no_input=NO_REQUEST_TEXT)
 
 
 def audio_uploads(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -40,11 +43,24 @@ def audio_uploads(spark: SparkSession, folder: str, files_per_batch: int | None
     return reader.load(folder).withColumn("filename", F.substring_index("path", "/", -1))
 
 
-def score_uploads(uploads: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
+def upload_features(uploads: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     """Features or error per uploaded clip."""
     return feature_table(uploads, limit)
 
 
+def answer_uploads(
+    uploads: DataFrame,
+    load_recogniser: Callable[[], Predictor],
+    recognise: str = "content",
+    scorer: Scorer | None = None,
+) -> DataFrame:
+    """Validate, transcribe, correct and score uploaded clips: ``filename`` and response fields."""
+    heard = hear_clips(uploads, load_recogniser, recognise)
+    refused = upload_error(F.col("filename"), F.coalesce("audio_error", "clip_error"))
+    answered = respond(heard, F.lit(None).cast("string"), F.col("transcript"), refused, scorer=scorer)
+    return answered.select("filename", *FIELDS)
+
+
 def append_results(
     results: DataFrame,
     output: str,

@@ -171,12 +171,36 @@ def manifest_rows(spark, labelled=True):
 
 
 def test_feature_dataset(spark, corpus):
-    table = batch.feature_dataset(manifest_rows(spark), audio.scan(spark, str(corpus)), transcripts(), "filename")
-    rows = sorted(table.collect(), key=lambda r: r["label"])
-    assert [r["filename"] for r in rows] == [r["filename"] for r in manifest_rows(spark).collect()]
-    assert rows[0]["num_words"] == 3 and rows[0]["error"] is None and rows[2]["num_words"] == 3
-    assert rows[3]["error"] == "Audio file not found: gone.wav"
-    assert rows[4]["error"] and "no transcript" in rows[5]["error"]
+    said = {"tone_440.wav": "i am u", "tone_1000.wav": " ", "gone.wav": "x", "corrupt.wav": "y", "tone_2000.wav": "fine"}
+    heard = F.create_map(*[F.lit(v) for pair in said.items() for v in pair])[F.col("filename")]
+    texts = manifest_rows(spark).withColumn("transcript", heard)
+    files = audio.scan(spark, str(corpus))
+    rows = sorted(batch.feature_dataset(texts, files).collect(), key=lambda r: r["label"])
+    assert [r["filename"] for r in rows] == [r["filename"] for r in texts.collect()]
+    assert [r["error"] and r["error"][:20] for r in rows[:4]] == [None, "No transcript", None, "Audio file not found"]
+    assert rows[4]["error"] and rows[5]["error"] is None
+    assert rows[0]["num_words"] == 3 and rows[0]["corrected_text"] == "I am you"
+    assert rows[0]["grammar_score_model"] == pytest.approx(1 / 3)
+    assert rows[1]["num_words"] == 1
+    assert rows[5]["zero_crossing_rate"] == pytest.approx(2 * 2000 / RATE, rel=0.06)
+    other = {r["label"]: r for r in batch.feature_dataset(texts, files, variant="global").collect()}
+    assert other[5.0]["zero_crossing_rate"] == pytest.approx(4 * 2000 / RATE, rel=0.01)
+    assert other[5.0]["rmse"] == pytest.approx(0.5 / np.sqrt(2), rel=0.01)
+    assert other[5.0]["spectral_centroid"] < 100
+    with pytest.raises(ValueError, match="transcript"):
+        batch.feature_dataset(manifest_rows(spark), files)
+
+
+def test_transcribe(spark, corpus, tmp_path):
+    from lingomark.operators import cleaning
+
+    done = batch.transcribe(manifest_rows(spark), audio.scan(spark, str(corpus)), transcripts(), "filename")
+    tables.write_csv(cleaning.drop_failed(done).select("filename", "transcript", "label"), str(tmp_path / "t"))
+    tables.write_lines(cleaning.failed_lines(done, "filename"), str(tmp_path / "log"))
+    good = tables.read_transcripts(spark, str(tmp_path / "t")).collect()
+    assert sorted(r["label"] for r in good) == [0.0, 1.0, 2.0]
+    log = sorted(r["value"] for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert log[1] == "gone.wav: Audio file not found: gone.wav" and len(log) == 3
 
 
 def test_batch_job_end_to_end(spark, corpus, tmp_path):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lingomark import contracts
 from lingomark.operators import apply_model, training
-from lingomark.plans import batch, correction
+from lingomark.plans import batch, correction, request
 from lingomark.functions import text
 
 
@@ -172,6 +172,53 @@ def test_results_from_transcripts(spark):
     assert got["c.wav"]["grammar_score"] == 5.0
 
 
+def test_model_score_fills_what_is_missing(spark, features):
+    scorer = training.fit_scorer(
+        features.withColumn("grammar_score_model", F.lit(0.0)), "scorer8", training.forest(numTrees=3)
+    )
+    rows = spark.createDataFrame([(1, "one two three"), (2, None)], "id int, t string")
+    scored = batch.model_score(rows, "t", scorer)
+    assert scored.columns == ["id", "t", "grammar_score"]
+    assert all(0.0 <= r["grammar_score"] <= 4.0 for r in scored.collect())
+    answered = request.respond(rows, F.col("t"), scorer=scorer).select("id", *request.FIELDS)
+    got = {r["id"]: r for r in answered.collect()}
+    first = scored.where("id = 1").first()
+    assert got[1]["grammarScore"] == first["grammar_score"] and got[2]["grammarScore"] == 0.0
+
+
+def test_full_contract(spark):
+    rows = spark.createDataFrame([(1, "u r u fine")], "id int, t string")
+    full = batch.full_features(rows, "t", text.WORD_RULES, size=4)
+    got = contracts.select_contract(full, contracts.contract_columns("full", 4)).first()
+    assert got["num_errors"] == 3 and got["grammar_ratio"] == 0.75 and got["duration"] == 0.0
+    assert sum(got[f"emb_{i}"] ** 2 for i in range(4)) == pytest.approx(1.0)
+
+
+def test_rubric_scores(spark):
+    def load():
+        def predict(prompts):
+            if any("bad" in p for p in prompts):
+                raise ValueError("no reply")
+            return [p + " 4.5 of 5" if "x" in p else p + " none" for p in prompts]
+
+        return predict
+
+    rows = spark.createDataFrame([(1, "x"), (2, "other"), (3, "bad"), (4, None)], "id int, t string")
+    got = {r["id"]: r["grammar_score"] for r in batch.rubric_scores(rows, "t", load).collect()}
+    assert got == {1: 4.5, 2: None, 3: None, 4: None}
+
+
+def test_rule_table(spark):
+    table = spark.createDataFrame(
+        [(2, "b", "y", "z"), (1, "a", "x", "y")], "position int, rule_id string, pattern string, replacement string"
+    )
+    rules = text.load_rules(table)
+    assert [r.rule_id for r in rules] == ["a", "b"]
+    assert spark.range(1).select(text.apply_rules(F.lit("x"), rules)).first()[0] == "z"
+    with pytest.raises(ValueError, match="More than 1 rules"):
+        text.load_rules(table, limit=1)
+
+
 def test_words_are_split_once(spark, plan_of):
     rows = spark.createDataFrame([(1, "a b")], "id int, t string")
     assert plan_of(batch.with_text_features(rows, "t")).count("split(") == 1

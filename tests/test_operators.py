@@ -130,6 +130,17 @@ def test_split_is_exact_and_ordered_by_hash(spark, n, share):
     assert {r["id"] for r in parts if r["split"] == "val"} == wanted
 
 
+def test_copies_of_a_key_stay_together(spark):
+    """A third of all rows share one key; they fall on one side and the other keys are not lost."""
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("id"))
+    parts = split.exact_split(rows, "id", 0.2).collect()
+    sides = {r["split"] for r in parts if r["id"] == -1}
+    assert len(parts) == 900 and len(sides) == 1
+    order = sorted((r["id"] for r in rows.collect()), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    last = hashlib.md5(f"42:{order[179]}".encode()).hexdigest()
+    assert all((hashlib.md5(f"42:{r['id']}".encode()).hexdigest() <= last) == (r["split"] == "val") for r in parts)
+
+
 def test_split_does_not_depend_on_partitioning(spark):
     base = spark.range(500)
     first = {(r["id"], r["split"]) for r in split.exact_split(base.repartition(3), "id", 0.2).collect()}

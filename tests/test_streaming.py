@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lingomark.operators import ordering
+from lingomark.operators import apply_model, ordering
 from lingomark.plans.request import FIELDS, respond
 from lingomark.sources import audio
 from lingomark.streaming import history, scoring
@@ -34,10 +34,12 @@ def test_text_stream_equals_batch_and_resumes(spark, tmp_path):
     drop_requests(inbox, "b.json", [{"id": 30, "text": "late u"}])
     run()
     got = {r["id"]: r for r in spark.read.parquet(out).collect()}
-    batch = respond(spark.read.schema("id bigint, text string").json(str(inbox)), F.col("text")).select("id", *FIELDS)
+    batch = respond(
+        spark.read.schema("id bigint, text string").json(str(inbox)), F.col("text"), no_input="No text provided"
+    ).select("id", *FIELDS)
     assert {k: tuple(v) for k, v in got.items()} == {r["id"]: tuple(r) for r in batch.collect()}
     assert got[30]["correctedText"] == "late you"
-    assert got[21]["error"] == "Please provide either an audio file or text input."
+    assert got[21]["error"] == "No text provided"
 
 
 def test_killed_run_leaves_no_gap_and_no_duplicate(spark, tmp_path):
@@ -72,7 +74,7 @@ def test_audio_stream_equals_batch(spark, tmp_path):
     limit = (inbox / "a.wav").stat().st_size
 
     def run():
-        scored = scoring.score_uploads(scoring.audio_uploads(spark, str(inbox)), limit)
+        scored = scoring.upload_features(scoring.audio_uploads(spark, str(inbox)), limit)
         scoring.append_results(scored, out, mark)
 
     run()
@@ -84,6 +86,22 @@ def test_audio_stream_equals_batch(spark, tmp_path):
     assert "exceeds maximum allowed size" in got[-1][-1]
 
 
+def test_uploads_are_answered(spark, tmp_path):
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    inbox.mkdir()
+    save(inbox, "a.wav", tone(440))
+    save(inbox, "b.wav", tone(440))
+    (inbox / "bad.wav").write_bytes(b"RIFF")
+    recogniser = apply_model.lookup_recogniser({"a.wav": "u r fine", "bad.wav": "x"})
+    answered = scoring.answer_uploads(scoring.audio_uploads(spark, str(inbox)), recogniser, "filename")
+    scoring.append_results(answered, out, mark)
+    got = {r["filename"]: r for r in spark.read.parquet(out).collect()}
+    assert got["a.wav"]["correctedText"] == "you are fine" and got["a.wav"]["error"] is None
+    assert got["a.wav"]["grammarScore"] == pytest.approx(5 / 3)
+    assert got["bad.wav"]["error"].startswith("Invalid audio file: ") and got["bad.wav"]["transcription"] == ""
+    assert "no transcript" in got["b.wav"]["error"]
+
+
 def events(n, clears=()):
     """One user owns a third of all events."""
     order = random.Random(5)
