@@ -38,8 +38,8 @@ from lingomark.plans.correction import cascade
 from lingomark.session import plan_bytes, stage
 from lingomark.sources.audio import FEATURE_FIELDS, audio_features, feature_table, split_by_size
 
-# Names of a manifest are broadcast to prune the clip scan only below this size.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Names of a manifest are broadcast to prune the clip scan only below this (file) size.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 # Fixed value: prompts per call of the language model.
 RUBRIC_BATCH = 5

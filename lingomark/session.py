@@ -25,6 +25,10 @@ def tune(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL options the jobs of this package are planned for."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if not spark.sparkContext.master.startswith("local"):
+        # Start shuffles wide; the adaptive planner merges what turns out small.
+        wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wide))
     return spark
 
 
@@ -77,6 +81,7 @@ def spread(df: DataFrame, bytes_per_task: int = 128 * 1024) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = plan_bytes(df)
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if size >= cores * split:
+    tasks = min(cores, math.ceil(size / bytes_per_task))
+    if size >= cores * split or tasks <= 1:
         return df
-    return df.repartition(max(1, min(cores, math.ceil(size / bytes_per_task))))
+    return df.repartition(tasks)
