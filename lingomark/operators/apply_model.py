@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,22 +92,25 @@ def apply_model_to_units(
     explode and a regrouping shuffle. One failed unit fails its row.
     """
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = load()
-        for column in series:
-            lists = [[] if row is None else list(row) for row in column]
-            flat = [unit for row in lists for unit in row]
-            done = iter(_batches(predict, flat, batch_size, retries))
-            rows = []
-            for source, row in zip(column, lists):
-                results = [next(done) for _ in row]
+        for rows in batches:
+            # Lengths and values of the list column; a NULL row counts as no units.
+            lengths = pc.fill_null(pc.list_value_length(rows), 0).to_pylist()
+            done = _batches(predict, rows.flatten().to_pylist(), batch_size, retries)
+            values, errors, at = [], [], 0
+            for length, present in zip(lengths, rows.is_valid().to_pylist()):
+                results = done[at : at + length]
+                at += length
                 failed = next((e for _, e in results if e is not None), None)
-                usable = source is not None and failed is None
-                rows.append(([v for v, _ in results] if usable else None, failed))
-            yield pd.DataFrame(rows, columns=["value", "error"], dtype=object)
+                values.append([v for v, _ in results] if present and failed is None else None)
+                errors.append(failed)
+            yield pa.StructArray.from_arrays(
+                [pa.array(values, pa.list_(pa.string())), pa.array(errors, pa.string())], ["value", "error"]
+            )
 
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(run, returnType="value array<string>, error string").asNondeterministic()
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(run, returnType="value array<string>, error string").asNondeterministic()
     return udf(units)
 
 

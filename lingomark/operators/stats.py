@@ -12,6 +12,11 @@ from lingomark.operators.ordering import PART_NO, part_starts, range_parts, with
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Accuracy of the quantile sketch, and the share of ranks a bracket reaches to either side.
+SKETCH_ACCURACY = 2000
+BRACKET = 4 / SKETCH_ACCURACY
+SHORT_TABLE = 1_000_000
+
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column and usable value."""
@@ -22,14 +27,45 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``column_name, q, value``.
+def _counts(long: DataFrame) -> DataFrame:
+    """How often each value occurs."""
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("gap", F.lit(False))
+
+
+def _counts_near(long: DataFrame, at: Sequence[float]) -> DataFrame:
+    """Like :func:`_counts`, with values far from the wanted quantiles merged into gaps.
+
+    Approximate quantiles bracket each wanted one. A value between two brackets is counted under
+    the upper end of the bracket below it, as a gap; below the first bracket under NULL. So about
+    one value in a hundred is shuffled, whatever the number of distinct values.
+    """
+    shares = [min(max(q + side * BRACKET, 0.0), 1.0) for q in at for side in (-1, 1)]
+    ends = long.groupBy("column_name").agg(
+        F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("_ends")
+    )
+    # One row per column.
+    placed = long.join(F.broadcast(ends), "column_name")
+    value = F.col("value")
+    inside, below = F.lit(False), F.lit(None).cast("double")
+    for i in range(len(at)):
+        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        inside = inside | ((value >= low) & (value <= high))
+        below = F.when(value > high, high).otherwise(below)
+    snapped = placed.select(
+        "column_name", F.when(inside, value).otherwise(below).alias("value"), (~inside).alias("gap")
+    )
+    return snapped.groupBy("column_name", "value", "gap").agg(F.count(F.lit(1)).alias("n"))
 
-    ``percentile`` would build one map of all distinct values in one task. Here values are counted
-    first, sorted into range partitions, and only the partitions that hold a wanted rank are read.
+
+def _values_at(counted: DataFrame, at: Sequence[float]) -> DataFrame:
+    """Quantiles from value counts: ``column_name, q, value, missed``.
+
+    Counts are sorted into range partitions, and only the partitions that hold a wanted rank are
+    read. ``missed`` marks a rank that fell into a gap.
     """
-    counted = _long(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    parts = range_parts(counted, ["column_name", "value"], "quantiles")
+    order = ["column_name", "value", "gap"]
+    parts = range_parts(counted, order, "quantiles")
     starts = part_starts(parts, F.sum("n"), ["column_name"])
     totals = starts.groupBy("column_name").agg(F.sum("_size").alias("total"))
     points = totals.select(
@@ -52,7 +88,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] =
         (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_size"))
     )
     wanted = F.broadcast(wanted.drop("_size"))
-    inside = Window.partitionBy("column_name", PART_NO).orderBy("value")
+    inside = Window.partitionBy("column_name", PART_NO).orderBy("value", "gap")
     read = parts.join(wanted.select("column_name", PART_NO).distinct(), ["column_name", PART_NO], "left_semi")
     ranked = read.withColumn("upto", F.sum("n").over(inside))
     hits = ranked.join(wanted, ["column_name", PART_NO]).where(
@@ -62,15 +98,33 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] =
     ends = hits.groupBy("column_name", "q", "share").agg(
         F.max(F.when(F.col("side") == "low", F.col("value"))).alias("low"),
         F.max(F.when(F.col("side") == "high", F.col("value"))).alias("high"),
+        F.max("gap").alias("missed"),
     )
     value = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
-    return ends.select("column_name", "q", value.alias("value"))
+    return ends.select("column_name", "q", value.alias("value"), "missed")
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUARTILES, short_table: int = SHORT_TABLE
+) -> DataFrame:
+    """Exact quantiles with linear interpolation: ``column_name, q, value``.
+
+    ``percentile`` would build one map of all distinct values in one task. Here, above
+    ``short_table`` rows, only values near the quantiles are counted one by one; should a rank lie
+    elsewhere (brackets are approximate), or in a short table, all values are counted.
+    """
+    long = _long(df, columns)
+    if df.count() > short_table:
+        found = _values_at(_counts_near(long, at), at)
+        if found.where("missed").isEmpty():
+            return found.drop("missed")
+    return _values_at(_counts(long), at).drop("missed")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per numeric column, one row per column.
 
-    The table is read twice; stage expensive features before.
+    The table is read several times; stage expensive features before.
     """
     moments = (
         _long(df, columns)

@@ -84,6 +84,23 @@ def test_describe_equals_pandas(spark, skewed):
             assert got.loc[column, mine] == pytest.approx(expected.loc[theirs, column])
 
 
+@pytest.mark.parametrize("n", [3, 500, 30000])
+def test_bracketed_quantiles(spark, n):
+    """The sketch path and its fallback: few or many rows, a value that fills a third of them, NULLs."""
+    rng = np.random.default_rng(n)
+    frame = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.full(n, 2.0)})
+    frame.loc[: n // 3, "a"] = 0.1
+    rows = spark.createDataFrame(frame).repartition(5)
+    at = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    got = {(r["column_name"], r["q"]): r["value"] for r in stats.exact_quantiles(rows, list("abc"), at, 0).collect()}
+    assert got == pytest.approx({(c, q): frame[c].quantile(q) for c in "abc" for q in at})
+
+
+def test_far_values_are_merged_before_the_shuffle(spark):
+    long = stats._long(spark.range(100000).select(F.rand(1).alias("a")), ["a"])
+    assert stats._counts_near(long, (0.5,)).count() < 2000
+
+
 def test_quantiles_of_tiny_columns(spark):
     one = spark.createDataFrame([(4.0,)], "a double")
     assert {r["value"] for r in stats.exact_quantiles(one, ["a"]).collect()} == {4.0}
