@@ -296,6 +296,19 @@ def feature_merge(spark, folder):
     )
 
 
+def combined_features(spark, folder):
+    """Training record per clip in the eight-column order: signal features, difference score, text."""
+    docs = batch.with_text_features(documents(spark, folder), "text", at_least_one=True)
+    docs = docs.withColumn("corrected", correction.cascade(F.col("text")))
+    docs = docs.withColumn("grammar_score_model", text.word_diff_score(F.col("text"), F.col("corrected")))
+    text_part = docs.select("doc_id", "grammar_score_model", "num_words", "avg_word_len", "text_length")
+    audio_part = _signal_record(spark, folder).withColumn("spectral_centroid", F.lit(0.0))
+    merged = resolve.merge_features(audio_part, text_part, "doc_id")
+    record = contracts.select_contract(merged, contracts.contract_columns("scorer8"), keep=["doc_id"])
+    doubles = ("duration", "zero_crossing_rate", "rmse", "grammar_score_model", "avg_word_len")
+    return record.withColumns({c: F.round(c, 9) for c in doubles})
+
+
 def default_audio(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.lit(0.0).alias("grammar_score_model"))
     waves = _signal_record(spark, folder).select(
@@ -460,6 +473,17 @@ def mean_pool(spark, folder):
     return pooled.select("label", "dim", F.round("value", 9).alias("value"))
 
 
+def masked_token_pool(spark, folder):
+    """Mean of token vectors inside a row: the vectors cut into eight tokens, some masked."""
+    starts = F.sequence(F.lit(1), F.lit(VECTOR_SIZE), F.lit(8))
+    tokens = F.transform(starts, lambda i: F.slice(F.col("embedding").cast("array<double>"), i, F.lit(8)))
+    mask = F.transform(starts, lambda i: ((F.col("vec_id") + i) % 5 > 1).cast("int"))
+    rows = session.spread(table(spark, folder, "embeddings")).select(
+        "vec_id", vectors.masked_mean(tokens, mask, 8).alias("embedding")
+    )
+    return long_vectors(rows, "vec_id", "embedding").withColumn("value", F.round("value", 9))
+
+
 def hashed_embedding(spark, folder):
     embedded = embedding.hashed_embedding(documents(spark, folder), "text", VECTOR_SIZE)
     return long_vectors(embedded, "doc_id", "embedding").withColumn("value", F.round("value", 9))
@@ -701,6 +725,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         manifest_existing,
         missing_embeddings,
         feature_merge,
+        combined_features,
         default_audio,
         positional_concat,
         error_policy_keep,
@@ -721,6 +746,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         signal_global,
         frame_features,
         mean_pool,
+        masked_token_pool,
         hashed_embedding,
         wav_roundtrip_features,
         train_score_gbt,

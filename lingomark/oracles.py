@@ -187,6 +187,36 @@ spectrum AS (
          min(k * 7.8125::DOUBLE) FILTER (upto >= 0.85 * total) AS rolloff FROM running GROUP BY vec_id)"""
 
 
+# Columns that are 32-bit integers in Spark, where DuckDB yields 64 bits.
+INTEGERS = {
+    "text_features": ("num_words", "text_length"),
+    "sentence_counts": ("sentences",),
+    "correct_cascade": ("variant_length",),
+    "rule_error_counts": ("hits",),
+    "grammar_ratio": ("num_errors", "num_words"),
+    "prompt_build": ("request_length",),
+    "vector_guards": ("dim",),
+    "zero_replace": ("dim",),
+    "feature_merge": ("num_words", "text_length"),
+    "history_latest10": ("rank",),
+    "stream_history": ("rank",),
+    "mean_pool": ("dim",),
+    "masked_token_pool": ("dim",),
+    "combined_features": ("num_words", "text_length"),
+    "hashed_embedding": ("dim",),
+    "nonblank_texts": ("text_length",),
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL per query, with the integer widths of the Spark results."""
+    sql = _statements()
+    for name, columns in INTEGERS.items():
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+        sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]})"
+    return sql
+
+
 def response_sql(source: str) -> str:
     """CTEs that answer ``source(key, typed, heard, lost)``."""
     return f"""{source},
@@ -207,7 +237,7 @@ answer AS (
   FROM chosen c JOIN scored s ON s.id = c.key)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _statements() -> dict[str, str]:
     emb = ", ".join(f"embedding[{i + 1}]::DOUBLE AS emb_{i}" for i in range(VECTOR_SIZE))
     radius = uniform("vec_id || ':' || i || ':r'")
     angle = uniform("vec_id || ':' || i || ':a'")
@@ -307,6 +337,20 @@ WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)""",
 SELECT doc_id, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
   round(rmse, 9) AS rmse, len({words('text')}) AS num_words, length(text) AS text_length
 FROM signal JOIN documents USING (doc_id)""",
+        "combined_features": f"""WITH RECURSIVE {SIGNAL}, {DOCS}, {cascade_ctes('source')},
+compared AS (SELECT id, text, {words('text')} AS before, {words('fixed')} AS after FROM corrected)
+SELECT doc_id, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
+  0.0::DOUBLE AS spectral_centroid, round(rmse, 9) AS rmse,
+  round({diff_score('before', 'after')}, 9) AS grammar_score_model, greatest(len(before), 1) AS num_words,
+  round(length(regexp_replace(text, '{BLANK}+', '', 'g'))::DOUBLE / greatest(len(before), 1), 9) AS avg_word_len,
+  length(text) AS text_length
+FROM signal JOIN compared ON id = doc_id""",
+        "masked_token_pool": """WITH cell AS (
+  SELECT vec_id, unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings),
+marked AS (
+  SELECT vec_id, p % 8 AS dim, v, CASE WHEN (vec_id + p // 8 * 8 + 1) % 5 > 1 THEN 1 ELSE 0 END AS mask FROM cell)
+SELECT vec_id, dim, round(sum(v * mask) / greatest(sum(mask)::DOUBLE, 1e-9), 9) AS value
+FROM marked GROUP BY vec_id, dim""",
         "default_audio": f"""WITH {SIGNAL}
 SELECT doc_id, round(coalesce(duration, 0.0), 9) AS duration,
   round(coalesce(zero_crossing_rate, 0.0), 9) AS zero_crossing_rate, 0.0::DOUBLE AS spectral_centroid,
@@ -381,7 +425,7 @@ SELECT d.doc_id, d.dim, round(coalesce(n / norm, 0.0), 9) AS value
 FROM (SELECT doc_id, unnest(range(0, 64)) AS dim FROM documents) d
 LEFT JOIN counted USING (doc_id, dim) LEFT JOIN length ON length.doc_id = d.doc_id""",
         "wav_roundtrip_features": f"""WITH {WAV}
-SELECT vec_id, 16000 AS sr, 64 AS n_samples, round(64 / 16000.0::DOUBLE, 6) AS duration,
+SELECT vec_id, 16000 AS sr, 64::BIGINT AS n_samples, round(64 / 16000.0::DOUBLE, 6) AS duration,
   round(len([i for i in range(1, 64) if (y[i] < 0) <> (y[i + 1] < 0)]) / 2048.0::DOUBLE, 6) AS zero_crossing_rate,
   round(centroid, 6) AS spectral_centroid,
   round(sqrt(list_sum([v * v for v in y]) / 2048), 6) AS rmse, round(rolloff, 6) AS spectral_rolloff
