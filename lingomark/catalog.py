@@ -86,7 +86,7 @@ def text_chunks(spark, folder):
 
 def sentence_counts(spark, folder):
     docs = documents(spark, folder)
-    return docs.select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
+    return docs.select("doc_id", F.array_size(text.sentences(F.col("text"))).alias("sentences"))
 
 
 def rule_correct(spark, folder):

@@ -17,7 +17,10 @@ WHITESPACE = (
 )
 _BLANKS = " " * len(WHITESPACE)
 
-# Sentence mark, chunk limit, score range, token limits.
+# Sentences folded at a time when a text is cut into chunks.
+FOLD_BLOCK = 256
+
+# Sentence mark, chunk limit, score range and mark.
 SENTENCE_MARK = ". "
 CHUNK_LIMIT = 500
 SCORE_MIN, SCORE_MAX = 0.0, 5.0
@@ -73,13 +76,13 @@ def is_nonblank(text: Column) -> Column:
 
 
 def num_words(text: Column, at_least_one: bool = False) -> Column:
-    n = F.size(words(text))
+    n = F.array_size(words(text))
     return F.greatest(n, F.lit(1)) if at_least_one else n
 
 
 def avg_word_len(tokens: Column) -> Column:
     """Mean token length; 0 for a text without tokens."""
-    return F.length(F.array_join(tokens, "")) / F.greatest(F.size(tokens), F.lit(1))
+    return F.length(F.array_join(tokens, "")) / F.greatest(F.array_size(tokens), F.lit(1))
 
 
 def text_length(text: Column) -> Column:
@@ -94,6 +97,45 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"\. ")
 
 
+def chunk_starts(parts: Column, limit: int = CHUNK_LIMIT) -> Column:
+    """0-based index of the sentence that opens each chunk.
+
+    ``aggregate`` copies its state at every step, so one fold over a long text would take
+    quadratic time. The sentences are folded in blocks: the inner state holds the starts of one
+    block only, the outer one grows once per block.
+    """
+
+    def add(state: Column, sentence: Column) -> Column:
+        length = F.length(sentence)
+        grown = state["size"] + length
+        joins = (grown < limit) | (state["at"] == 0)
+        return F.struct(
+            F.when(joins, state["starts"])
+            .otherwise(F.concat(state["starts"], F.array(state["at"])))
+            .alias("starts"),
+            (F.when(joins, grown).otherwise(length) + len(SENTENCE_MARK)).alias("size"),
+            (state["at"] + 1).alias("at"),
+        )
+
+    def add_block(state: Column, block: Column) -> Column:
+        fresh = F.struct(
+            F.array().cast("array<int>").alias("starts"), state["size"].alias("size"), state["at"].alias("at")
+        )
+        return let(
+            F.aggregate(block, fresh, add),
+            lambda done: F.struct(
+                F.concat(state["starts"], done["starts"]).alias("starts"),
+                done["size"].alias("size"),
+                done["at"].alias("at"),
+            ),
+        )
+
+    firsts = F.sequence(F.lit(1), F.array_size(parts), F.lit(FOLD_BLOCK))
+    blocks = F.transform(firsts, lambda first: F.slice(parts, first, F.lit(FOLD_BLOCK)))
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("size"), F.lit(0).alias("at"))
+    return F.aggregate(blocks, start, add_block, lambda state: state["starts"])
+
+
 def chunks(text: Column, limit: int = CHUNK_LIMIT) -> Column:
     """Pack sentences greedily into chunks.
 
@@ -102,35 +144,17 @@ def chunks(text: Column, limit: int = CHUNK_LIMIT) -> Column:
     stripped. A sentence that reaches the limit alone becomes one long chunk.
     """
 
-    def add(state: Column, sentence: Column) -> Column:
-        grown = state["size"] + F.length(sentence)
-        fits = grown < limit
-        marked = F.concat(sentence, F.lit(SENTENCE_MARK))
-        closed = F.when(state["open"] == "", state["done"]).otherwise(
-            F.concat(state["done"], F.array(strip(state["open"])))
-        )
-        return F.when(
-            fits,
-            F.struct(
-                state["done"].alias("done"),
-                F.concat(state["open"], marked).alias("open"),
-                (grown + len(SENTENCE_MARK)).alias("size"),
-            ),
-        ).otherwise(
-            F.struct(
-                closed.alias("done"),
-                marked.alias("open"),
-                (F.length(sentence) + len(SENTENCE_MARK)).alias("size"),
-            )
-        )
+    def cut(parts: Column, starts: Column) -> Column:
+        def chunk(first: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(starts, k + 1), F.array_size(parts))
+            joined = F.array_join(F.slice(parts, first + 1, stop - first), SENTENCE_MARK)
+            return strip(F.concat(joined, F.lit(SENTENCE_MARK)))
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit("").alias("open"),
-        F.lit(0).alias("size"),
-    )
-    return F.aggregate(
-        sentences(text), start, add, lambda s: F.concat(s["done"], F.array(strip(s["open"])))
+        return F.transform(starts, chunk)
+
+    return let(
+        sentences(text),
+        lambda parts: let(chunk_starts(parts, limit), lambda starts: cut(parts, starts)),
     )
 
 
@@ -140,7 +164,7 @@ def correction_units(text: Column, limit: int = CHUNK_LIMIT, original_when_singl
         return chunks(text, limit)
     return let(
         chunks(text, limit),
-        lambda cs: F.when(F.size(cs) == 1, F.array(text)).otherwise(cs),
+        lambda cs: F.when(F.array_size(cs) == 1, F.array(text)).otherwise(cs),
     )
 
 
@@ -181,8 +205,8 @@ def word_diff_score(original: Column, corrected: Column) -> Column:
 
     def score(pair: Column) -> Column:
         before, after = pair["before"], pair["after"]
-        shared = F.least(F.size(before), F.size(after))
-        changed = F.size(
+        shared = F.least(F.array_size(before), F.array_size(after))
+        changed = F.array_size(
             F.filter(
                 F.zip_with(
                     F.slice(before, F.lit(1), shared),
@@ -192,7 +216,8 @@ def word_diff_score(original: Column, corrected: Column) -> Column:
                 lambda differs: differs,
             )
         )
-        return F.greatest(F.lit(0.0), 1 - changed / F.greatest(F.size(before), F.lit(1)))
+        share = F.greatest(F.lit(0.0), 1 - changed / F.greatest(F.array_size(before), F.lit(1)))
+        return F.when(before.isNotNull() & after.isNotNull(), share)
 
     return let(
         F.struct(words(original).alias("before"), words(corrected).alias("after")), score
@@ -274,9 +299,9 @@ def token_batch(text: Column, max_length: int, vocabulary: int = 30522, pad: boo
 
     def fill(kept: Column) -> Column:
         ids = F.transform(kept, lambda w: token_hash(w) % (vocabulary - 1) + 1)
-        mask = F.array_repeat(F.lit(1), F.size(kept))
+        mask = F.array_repeat(F.lit(1), F.array_size(kept))
         if pad:
-            missing = F.lit(max_length) - F.size(kept)
+            missing = F.lit(max_length) - F.array_size(kept)
             ids = F.concat(ids, F.array_repeat(F.lit(0).cast("bigint"), missing))
             mask = F.concat(mask, F.array_repeat(F.lit(0), missing))
         return F.struct(ids.alias("input_ids"), mask.alias("attention_mask"))

@@ -19,7 +19,7 @@ def zeros(size: int) -> Column:
 
 def guard(vector: Column, size: int) -> Column:
     """The vector as doubles, or zeros when it is NULL, has another size or holds NULL or NaN."""
-    bad = (F.size(vector) != size) | F.exists(vector, lambda v: v.isNull() | F.isnan(v))
+    bad = (F.array_size(vector) != size) | F.exists(vector, lambda v: v.isNull() | F.isnan(v))
     return F.when(F.coalesce(bad, F.lit(True)), zeros(size)).otherwise(vector.cast("array<double>"))
 
 

@@ -50,7 +50,7 @@ Corrector = Callable[[Column], Column]
 def with_text_features(df: DataFrame, text: str, at_least_one: bool = False) -> DataFrame:
     """Add ``num_words, avg_word_len, text_length``; the words are split once."""
     tokens = F.col("_words")
-    n = F.size(tokens)
+    n = F.array_size(tokens)
     return (
         df.withColumn("_words", words(F.col(text)))
         .withColumns(

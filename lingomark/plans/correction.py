@@ -35,7 +35,7 @@ def cascade(
     def finish(units: Column) -> Column:
         several = join_chunks(F.transform(units, lambda u: apply_rules(model(u), rules)))
         single = apply_rules(model(F.element_at(units, 1)), rules)
-        return F.when(F.size(units) == 1, single).otherwise(apply_rules(several, rules))
+        return F.when(F.array_size(units) == 1, single).otherwise(apply_rules(several, rules))
 
     return let(correction_units(text, limit, original_when_single), finish)
 
@@ -54,10 +54,12 @@ def cascade_with_predictor(
     The units of a row travel as one array, so the texts are not exploded and regrouped. A row
     whose correction failed keeps its original text.
     """
-    units = correction_units(F.col(text), limit, original_when_single)
-    answered = df.withColumn("_answer", apply_model_to_units(units, load))
+    units = df.withColumn("_units", correction_units(F.col(text), limit, original_when_single))
+    # Naming the units twice keeps them in a projection of their own, below the Python step.
+    answer = F.when(F.col("_units").isNotNull(), apply_model_to_units(F.col("_units"), load))
+    answered = units.withColumn("_answer", answer).drop("_units")
     done = F.transform(F.col("_answer.value"), lambda u: apply_rules(u, rules))
-    joined = F.when(F.size(done) == 1, F.element_at(done, 1)).otherwise(
+    joined = F.when(F.array_size(done) == 1, F.element_at(done, 1)).otherwise(
         apply_rules(join_chunks(done), rules)
     )
     return answered.withColumn(output, F.coalesce(joined, F.col(text))).drop("_answer")

@@ -102,6 +102,48 @@ def test_cascade_with_substitutions(spark, values):
     ]
 
 
+@given(many, many)
+@SETTINGS
+def test_word_diff_follows_zip(spark, before, after):
+    before, after = unsurrogate(before + EDGE_CASES), unsurrogate(after + EDGE_CASES)
+    pairs = list(zip(before, after))
+    rows = spark.createDataFrame([(i, b, a) for i, (b, a) in enumerate(pairs)], "id long, b string, a string")
+    done = rows.select("id", text.word_diff_score(F.col("b"), F.col("a")).alias("s")).orderBy("id").collect()
+    for (b, a), row in zip(pairs, done):
+        changed = sum(1 for x, y in zip(b.split(), a.split()) if x != y)
+        assert row["s"] == pytest.approx(max(0.0, 1 - changed / max(len(b.split()), 1)))
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_missing_text_stays_missing(spark, ansi):
+    """NULL in, NULL out, whatever the session's ANSI mode."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        t = F.col("text")
+        for column in (
+            text.num_words(t), text.avg_word_len(text.words(t)), text.chunks(t), text.correction_units(t),
+            correction.cascade(t), text.word_diff_score(t, t), text.build_prompt(t), text.parse_score(t),
+            text.rule_error_count(t, text.WORD_RULES), text.clean_name(t), text.safe_name(t),
+        ):
+            assert apply(spark, [None, "a. b"], column)[0] is None
+        assert apply(spark, [None], text.is_nonblank(t)) == [False]
+        assert apply(spark, [None, "a. b"], text.chunks(t))[1] == ["a. b."]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_blocks_do_not_show(spark):
+    """Texts longer than one fold block, with chunk borders on and around block borders."""
+    values = [
+        "x" * 60 + ". " + "word. " * n + "y" * 480 + ". " + "tail. " * m
+        for n in (253, 254, 255, 256, 257, 511, 512, 513)
+        for m in (0, 1, 300)
+    ]
+    values += ["s. " * n for n in (255, 256, 257, 1024)]
+    assert apply(spark, values, text.chunks(F.col("text"))) == [pack(v) for v in values]
+
+
 def test_chunk_limits():
     assert pack("foo.") == ["foo.."]
     assert pack("") == ["."]
