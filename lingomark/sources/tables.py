@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lingomark.contracts import widen
 from lingomark.functions.text import error_text
 
 # Schemas of the manifest, transcript and result tables.
@@ -87,6 +88,14 @@ def write_results(results: DataFrame, detail_path: str, submission_path: str, mo
     write_csv(submission(results), submission_path, mode)
 
 
+def write_features(df: DataFrame, path: str, vector: str | None = None, size: int = 0, mode: str = "overwrite") -> None:
+    """Feature table: Parquet as it is, or CSV with the embedding ``vector`` as scalar columns."""
+    if vector is None:
+        df.write.mode(mode).parquet(path)
+    else:
+        write_csv(widen(df, vector, size), path, mode)
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Error log: one line per failed file."""
     lines.write.mode(mode).text(path)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lingomark.operators.apply_model import Predictor
 from lingomark.operators.training import Scorer
@@ -67,15 +68,21 @@ def append_results(
     checkpoint: str,
     file_format: str = "parquet",
     per_batch: Callable[[DataFrame, int], None] | None = None,
-) -> None:
-    """Process what has arrived and append it; a later call goes on where this one stopped.
-
-    The checkpoint records consumed files and the sink its committed ones, so a run that was
-    killed leaves neither gaps nor duplicates. Replaces rewriting all partial results each time.
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Append results of a stream; a later call goes on where this one stopped.
+
+    Without ``interval`` it processes what has arrived and ends; with one (``"10 seconds"``) it
+    keeps running and returns at once. The checkpoint records consumed files and the sink its
+    committed ones, so a run that was killed leaves neither gaps nor duplicates. Replaces
+    rewriting all partial results each time.
     """
-    writer = results.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = results.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
     if per_batch is not None:
         query = writer.foreachBatch(per_batch).start()
     else:
         query = writer.format(file_format).outputMode("append").start(output)
-    query.awaitTermination()
+    if interval is None:
+        query.awaitTermination()
+    return query

@@ -42,6 +42,21 @@ def test_text_stream_equals_batch_and_resumes(spark, tmp_path):
     assert got[21]["error"] == "No text provided"
 
 
+def test_a_running_stream_picks_up_new_files(spark, tmp_path):
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    drop_requests(inbox, "a.json", [{"id": 1, "text": "u"}])
+    answered = scoring.score_requests(scoring.text_requests(spark, str(inbox))).select("id", "correctedText")
+    query = scoring.append_results(answered, out, mark, interval="1 second")
+    try:
+        query.processAllAvailable()
+        drop_requests(inbox, "b.json", [{"id": 2, "text": "y"}])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r["id"]: r["correctedText"] for r in spark.read.parquet(out).collect()}
+    assert got == {1: "you", 2: "why"}
+
+
 def test_killed_run_leaves_no_gap_and_no_duplicate(spark, tmp_path):
     """A batch that fails half-way is repeated whole by the next run."""
     inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")

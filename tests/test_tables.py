@@ -47,6 +47,15 @@ def test_results_and_submission(spark, tmp_path):
     assert tables.label_table(results).columns == ["filename", "transcript", "label"]
 
 
+def test_feature_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("a.wav", 1.5, [0.25, -1.0])], "filename string, duration double, e array<double>")
+    tables.write_features(rows, str(tmp_path / "p"))
+    assert tuple(spark.read.parquet(str(tmp_path / "p")).first()) == ("a.wav", 1.5, [0.25, -1.0])
+    tables.write_features(rows.coalesce(1), str(tmp_path / "c"), vector="e", size=2)
+    text = "".join(p.read_text() for p in (tmp_path / "c").glob("*.csv"))
+    assert text == "filename,duration,emb_0,emb_1\na.wav,1.5,0.25,-1.0\n"
+
+
 def test_error_lines(spark, tmp_path):
     lines = spark.createDataFrame([("a: bad",), ("b: worse",)], "value string")
     tables.write_lines(lines, str(tmp_path / "log"))
