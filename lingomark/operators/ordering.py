@@ -20,6 +20,7 @@ def range_parts(df: DataFrame, order: Sequence[str], label: str = "ordered") ->
     """Sort ``df`` into range partitions and write it with partition number and position.
 
     Writing freezes the partition borders: Spark samples them anew whenever a plan runs again.
+    Sampling reads the input once more, so an expensive input should be staged before.
     """
     return stage(
         df.repartitionByRange(*order)
