@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lingomark.llm import exact, mixing, sharding, urls
+from lingomark.llm import decontaminate, exact, mixing, sharding, tokens, urls
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,10 +19,18 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), labelled, keep=["doc_id", "source"])
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
@@ -31,12 +42,15 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_sharding": op7_sharding,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact.SQL,
+    "op5_decontamination": decontaminate.SQL,
     "op7_sharding": sharding.SQL,
 }
