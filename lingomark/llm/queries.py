@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lingomark.llm import decontaminate, exact, mixing, sharding, tokens, urls
+from lingomark.llm import decontaminate, exact, html, language, mixing, repeats, sharding, simhash, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), labelled, keep=["doc_id", "source"])
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -31,22 +35,38 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(table(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return urls.filter_urls(pages, urls.labelled_pages(pages, table(spark, folder, "labels")))
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES = {
