@@ -7,11 +7,12 @@ to compare the surroundings of equal anchors: the segment of all strings that ca
 1. Documents give anchors with a hash of their segment; anchors that occur once are dropped.
 2. Segments that occur more than once are covered whole. This is a sum per hash, combined before the
    shuffle, however often a text was copied.
-3. Of different segments around one anchor a single copy each is brought together. Their suffixes are
-   sorted (two-stage sorting, see ``suffixes``) and adjacent common prefixes give the repeats.
-4. An anchor with very many different segments would make one task too large; their strings are
-   counted by hash instead, spread over all tasks: first in blocks by the core that all strings of a
-   block share, then one by one in the blocks whose core repeats.
+3. Different segments around one anchor are compared, a single copy of each. Their strings are taken in
+   blocks; a block whose core, the bytes that all its strings share, occurs once by its hash is out.
+4. The rest of an anchor's segments is brought together. Their suffixes are sorted (two-stage sorting,
+   see ``suffixes``) and adjacent common prefixes give the repeats.
+5. An anchor with very many different segments would make one task too large; their strings in the
+   blocks left are counted by hash instead, spread over all tasks.
 
 Texts are known by two hashes of theirs, so ids may be null or repeat. Text bytes are shuffled only for
 documents that a bitmap of fixed size does not rule out.
@@ -33,10 +34,10 @@ from lingomark.session import stage
 
 LENGTH = 400
 GRAM = 100
-SPREAD = LENGTH - GRAM  # bytes before an anchor that a string with it can reach
-BUFFER = 1 << 20  # bytes of a scanned block and of a suffix array
-CROWD = 1024  # different segments of an anchor that still go into one suffix array
-CORE = 16  # strings of a block in step 4
+SPREAD = LENGTH - GRAM  # how far before its anchor a string can start
+BUFFER = 1 << 17  # bytes of a scanned block and of a suffix array: what a core's cache holds
+CROWD = 512  # different segments of an anchor that still go into one suffix array
+CORE = 16  # strings of a block
 FILTER_BITS = 24  # the bitmap has 2**24 bits
 _KEY = ["h", "g"]
 
@@ -47,18 +48,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors_of(text: bytes, tables) -> np.ndarray:
-    """Start of each anchor of the text, ascending."""
+    """Rows (anchor, first and last start of the strings it is the anchor of), ascending."""
     found = []
     for start in range(0, len(text) - LENGTH + 1, BUFFER):
         found.append(_anchors(np.frombuffer(text[start : start + BUFFER + LENGTH - 1], np.uint8), None, tables) + start)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    if not found:
+        return np.zeros((0, 3), np.int64)
+    rows = np.concatenate(found)
+    # A range that goes on behind the end of a block is one range.
+    opens = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
+    closes = np.concatenate([opens[1:], [len(rows)]]) - 1
+    return np.stack([rows[opens, 0], rows[opens, 1], rows[closes, 2]], axis=1)
 
 
 def _anchors(data: np.ndarray, ends: np.ndarray | None, tables) -> np.ndarray:
     """Anchors of all strings of a buffer; ``ends`` (behind each byte's text) keeps strings inside texts."""
     best = suffixes.window_hashes(data, GRAM, tables)
     if len(best) < SPREAD + 1:
-        return np.zeros(0, np.int64)
+        return np.zeros((0, 3), np.int64)
     # Place in the low bits: the smallest is then the first of equal hashes.
     mask = np.uint64((1 << 22) - 1)
     best = (best & ~mask) | np.arange(len(best), dtype=np.uint64)
@@ -68,15 +75,16 @@ def _anchors(data: np.ndarray, ends: np.ndarray | None, tables) -> np.ndarray:
         width *= 2
     rest = SPREAD + 1 - width
     best = np.minimum(best[: len(best) - rest], best[rest:]) if rest else best
+    starts = np.arange(len(best))
     if ends is not None:
-        starts = np.arange(len(best))
-        best = best[ends[: len(best)] - starts >= LENGTH]
+        inside = ends[: len(best)] - starts >= LENGTH
+        best, starts = best[inside], starts[inside]
     places = (best & mask).astype(np.int64)
-    return places[np.concatenate([[True], np.diff(places) != 0])] if len(places) else places
-
-
-def _segment(text: bytes, place: int) -> tuple[int, int]:
-    return max(0, place - SPREAD), min(len(text), place + LENGTH)
+    if not len(places):
+        return np.zeros((0, 3), np.int64)
+    opens = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
+    closes = np.concatenate([opens[1:], [len(places)]]) - 1
+    return np.stack([places[opens], starts[opens], starts[closes]], axis=1)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -85,23 +93,21 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
 
         def rows(group: list[tuple[int, bytes]]) -> tuple[list, list]:
-            """Index of the text and anchors, of texts scanned in one buffer."""
+            """Index of the text and anchor rows, of texts scanned in one buffer."""
             data = np.frombuffer(b"".join(t for _, t in group), np.uint8)
             sizes = np.fromiter((len(t) for _, t in group), np.int64, len(group))
             last = np.cumsum(sizes)
-            places = _anchors(data, np.repeat(last, sizes), tables)
-            own = np.searchsorted(last, places, side="right")
-            return [group[k][0] for k in own.tolist()], (places - (last - sizes)[own]).tolist()
+            found = _anchors(data, np.repeat(last, sizes), tables)
+            own = np.searchsorted(last, found[:, 0], side="right")
+            return [group[k][0] for k in own.tolist()], (found - (last - sizes)[own][:, None]).tolist()
 
         for batch in batches:
             texts = [t.as_py() for t in batch.column(3)]
             index: list[int] = []
-            places: list[int] = []
+            places: list[list[int]] = []
             group, size = [], 0
             for k, text in enumerate(texts):
-                if len(text) < LENGTH:
-                    continue
-                if len(text) > BUFFER // 4:
+                if len(text) > BUFFER // 2:
                     found = anchors_of(text, tables).tolist()
                     index += [k] * len(found)
                     places += found
@@ -114,22 +120,22 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             if group:
                 a, b = rows(group)
                 index, places = index + a, places + b
+            if not index:
+                continue
             anchor, segment = np.zeros(len(index), np.uint64), np.zeros(len(index), np.uint64)
-            for n, (k, place) in enumerate(zip(index, places, strict=True)):
+            for n, (k, (place, first, last)) in enumerate(zip(index, places, strict=True)):
                 text = texts[k]
-                a, b = _segment(text, place)
                 anchor[n] = digest(text[place : place + GRAM])
-                segment[n] = digest(text[a:b], place - a)
-            take = pa.array(index, pa.int64())
+                segment[n] = digest(text[first : last + LENGTH], place - first)
+            take, where = pa.array(index, pa.int64()), np.array(places, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in range(3)),
-                 pa.array([len(texts[k]) for k in index], pa.int64()), pa.array(places, pa.int64()),
+                [*(batch.column(c).take(take) for c in range(3)), *(pa.array(where[:, c]) for c in range(3)),
                  pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))],
-                ["h", "g", "doc", "n", "place", "anchor", "segment"],
+                ["h", "g", "doc", "place", "first", "last", "anchor", "segment"],
             )
 
     long_enough = docs.where(F.octet_length("text") >= LENGTH)
-    return long_enough.mapInArrow(scan, "h long, g int, doc long, n long, place long, anchor long, segment long")
+    return long_enough.mapInArrow(scan, "h long, g int, doc long, place long, first long, last long, anchor long, segment long")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -163,28 +169,30 @@ def _work(rows: DataFrame) -> DataFrame:
     common = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("anchor")
     again = stage(rows.join(common, "anchor", "left_semi"), "anchors-again")
     one = F.xxhash64("h", "g", "place")
-    kinds = again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("first"))
+    kinds = again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("chosen"))
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     known = kinds.join(crowds, "anchor")
     # A segment that occurs once is compared for itself, one of several as their representative.
-    compared = (F.col("kinds") > 1) & ((F.col("times") == 1) | (one == F.col("first")))
+    compared = (F.col("kinds") > 1) & ((F.col("times") == 1) | (one == F.col("chosen")))
     flagged = again.join(known, ["anchor", "segment"]).select(
-        "h", "g", "doc", "n", "place", "anchor", (F.col("times") > 1).alias("covered"),
-        (compared & (F.col("kinds") <= CROWD)).alias("sorted"), (compared & (F.col("kinds") > CROWD)).alias("counted"),
-    ).where("covered OR sorted OR counted")
+        "h", "g", "doc", "place", "first", "last", "anchor", (F.col("times") > 1).alias("covered"),
+        compared.alias("compared"), (F.col("kinds") > CROWD).alias("crowd"),
+    ).where("covered OR compared")
     # Copies of a text say the same: once per text and place, before anything is gathered.
-    unique = flagged.groupBy("h", "g", "n", "place", "anchor", "covered", "sorted", "counted").agg(F.min("doc").alias("doc"))
-    return unique.groupBy("h", "g", "n").agg(
-        F.min("doc").alias("doc"), F.collect_list(F.struct("place", "anchor", "covered", "sorted", "counted")).alias("places")
+    unique = flagged.groupBy("h", "g", "place", "first", "last", "anchor", "covered", "compared", "crowd").agg(F.min("doc").alias("doc"))
+    return unique.groupBy("h", "g").agg(
+        F.min("doc").alias("doc"), F.collect_list(F.struct("place", "first", "last", "anchor", "covered", "compared", "crowd")).alias("places")
     )
 
 
-def _texts_with(docs: DataFrame, work: DataFrame, flag: str) -> DataFrame:
-    """(h, g, places, text) of one row of each text that has a place with the flag."""
-    chosen = work.select("h", "g", "doc", F.filter("places", lambda p: p[flag]).alias("places")).where(F.size("places") > 0)
-    chosen = chosen.select("h", "g", F.col("doc").alias("first"), F.transform("places", lambda p: F.struct(p["place"], p["anchor"])).alias("places"))
+def _texts_to_compare(docs: DataFrame, work: DataFrame) -> DataFrame:
+    """(h, g, places, text) of one row of each text that has a place to compare."""
+    chosen = work.select("h", "g", "doc", F.filter("places", lambda p: p["compared"]).alias("places")).where(F.size("places") > 0)
+    chosen = chosen.select(
+        "h", "g", F.col("doc").alias("reader"), F.transform("places", lambda p: F.struct(p["place"], p["first"], p["last"], p["anchor"], p["crowd"])).alias("places")
+    )
     return _likely(docs, chosen).alias("d").join(
-        chosen.alias("c"), (F.col("d.h") == F.col("c.h")) & (F.col("d.g") == F.col("c.g")) & F.col("d.doc").eqNullSafe(F.col("c.first"))
+        chosen.alias("c"), (F.col("d.h") == F.col("c.h")) & (F.col("d.g") == F.col("c.g")) & F.col("d.doc").eqNullSafe(F.col("c.reader"))
     ).select("d.h", "d.g", "c.places", "d.text")
 
 
@@ -196,19 +204,29 @@ def _runs(h: list, g: list, starts: list, ends: list) -> pa.RecordBatch:
 
 
 def _sorted_runs(texts: DataFrame) -> DataFrame:
-    """Repeated runs of the compared segments, by suffix arrays over whole groups of equal anchors."""
+    """Repeated runs at the anchors without a crowd, by suffix arrays over whole groups of equal anchors.
+
+    ``texts`` has the blocks whose core repeats; the parts of a segment without one cannot repeat.
+    """
+
+    def parts(place: dict, blocks: set[int]) -> list[tuple[int, int]]:
+        return merged([
+            (max(at, place["first"]), min(at + CORE - 1, place["last"]) + LENGTH) for at in _blocks(place) if at in blocks
+        ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, g = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, places in enumerate(batch.column(2)):
-                text = batch.column(3)[k].as_py()
-                found = places.as_py()
-                spans = [_segment(text, p["place"]) for p in found]
+            rows = []
+            for h, g, places, text, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = set(ats)
+                for p in places:
+                    if not p["crowd"]:
+                        rows += [(p["anchor"], h, g, a, text[a:b]) for a, b in parts(p, blocks)]
+            if rows:
+                anchor, h, g, start, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["anchor"] for p in found], pa.int64()), pa.array([h[k]] * len(found), pa.int64()),
-                     pa.array([g[k]] * len(found), pa.int32()), pa.array([a for a, _ in spans], pa.int64()),
-                     pa.array([text[a:b] for a, b in spans], pa.binary())],
+                    [pa.array(anchor, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(data, pa.binary())],
                     ["anchor", "h", "g", "start", "data"],
                 )
 
@@ -332,30 +350,40 @@ def _counted(texts: DataFrame, starts_of, width: int, skip: int) -> DataFrame:
     return parts.where(F.col("bucket").isNull()).select("h", "g", "ats").union(others)
 
 
-def _counted_runs(docs: DataFrame, work: DataFrame) -> DataFrame:
-    """Repeated runs at anchors with a crowd of different segments."""
-    texts = stage(_texts_with(docs, work, "counted"), "crowd")
+def _compared_runs(docs: DataFrame, work: DataFrame) -> DataFrame:
+    """(h, g, runs) at the places where different segments share an anchor."""
+    texts = stage(_texts_to_compare(docs, work), "compared")
     # Blocks are counted from the anchor, so that equal surroundings have equal blocks.
     blocks = _counted(texts, _block_starts, LENGTH - CORE + 1, CORE - 1)
-    chosen = blocks.groupBy("h", "g").agg(F.flatten(F.collect_list("ats")).alias("places"))
-    kept = texts.drop("places").join(chosen, _KEY).select("h", "g", "places", "text")
-    singles = _counted(kept, _single_starts, LENGTH, 0)
-    return singles.select("h", "g", F.transform("ats", lambda a: F.struct(a.alias("start"), (a + LENGTH).alias("behind"))).alias("runs"))
+    chosen = blocks.groupBy("h", "g").agg(F.flatten(F.collect_list("ats")).alias("ats"))
+    kept = stage(texts.join(chosen, _KEY).select("h", "g", "places", "text", "ats"), "repeating")
+    runs = _sorted_runs(kept).select("h", "g", F.array(F.struct("start", "behind")).alias("runs"))
+    crowds = kept.where(F.exists("places", lambda p: p["crowd"]))
+    if not crowds.limit(1).count():
+        return runs
+    singles = _counted(crowds.select("h", "g", F.struct("places", "ats").alias("places"), "text"), _single_starts, LENGTH, 0)
+    counted = singles.select("h", "g", F.transform("ats", lambda a: F.struct(a.alias("start"), (a + LENGTH).alias("behind"))).alias("runs"))
+    return runs.union(counted)
+
+
+def _blocks(place: dict) -> Iterator[int]:
+    """Starts of the blocks that hold strings of this anchor; they are counted from the anchor."""
+    for at in range(place["place"] - SPREAD, place["place"] + 1, CORE):
+        if at <= place["last"] and at + CORE > place["first"]:
+            yield at
 
 
 def _block_starts(text: bytes, places: list[dict]) -> list[int]:
-    """Starts of the blocks of strings that can have one of the anchors; the core lies inside the text."""
-    starts = set()
-    for p in places:
-        a, b = _segment(text, p["place"])
-        for at in range(p["place"] - SPREAD, p["place"] + 1, CORE):
-            if at + CORE - 1 >= a and at + LENGTH <= b:
-                starts.add(at)
-    return sorted(starts)
+    return sorted({at for p in places for at in _blocks(p)})
 
 
-def _single_starts(text: bytes, places: list[int]) -> list[int]:
-    return sorted({s for at in places for s in range(max(0, at), min(at + CORE, len(text) - LENGTH + 1))})
+def _single_starts(text: bytes, found: dict) -> list[int]:
+    """Starts of the strings in the repeating blocks of crowded anchors."""
+    blocks = set(found["ats"])
+    return sorted({
+        s for p in found["places"] if p["crowd"] for at in _blocks(p) if at in blocks
+        for s in range(max(at, p["first"]), min(at + CORE - 1, p["last"]) + 1)
+    })
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -375,13 +403,10 @@ def _covered(docs: DataFrame) -> DataFrame:
         "h", "g",
         F.transform(
             F.filter("places", lambda p: p["covered"]),
-            lambda p: F.struct(F.greatest(F.lit(0).cast("long"), p["place"] - SPREAD).alias("start"), F.least("n", p["place"] + LENGTH).alias("behind")),
+            lambda p: F.struct(p["first"].alias("start"), (p["last"] + LENGTH).alias("behind")),
         ).alias("runs"),
     ).where(F.size("runs") > 0)
-    pair = F.array(F.struct("start", "behind"))
-    runs = whole.union(_sorted_runs(_texts_with(docs, work, "sorted")).select("h", "g", pair.alias("runs")))
-    if work.where(F.exists("places", lambda p: p["counted"])).limit(1).count():
-        runs = runs.union(_counted_runs(docs, work))
+    runs = whole.union(_compared_runs(docs, work))
     gathered = runs.groupBy("h", "g").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
