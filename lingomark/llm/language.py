@@ -149,7 +149,9 @@ def fit(counts: DataFrame) -> dict:
 
 def look_up(model: dict, grams: np.ndarray) -> np.ndarray:
     """Log probabilities (languages, grams): from the sorted array, else by backing off."""
-    at = np.minimum(np.searchsorted(model["keys"], grams), max(len(model["keys"]) - 1, 0))
+    if not len(model["keys"]):
+        return np.zeros((len(model["langs"]), len(grams)))
+    at = np.minimum(np.searchsorted(model["keys"], grams), len(model["keys"]) - 1)
     values = model["logp"][:, at]
     missing = np.flatnonzero(model["keys"][at] != grams)
     rest = grams[missing]
