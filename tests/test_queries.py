@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from lingomark import catalog
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in catalog.QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 ROWS_ONLY = {"train_score_gbt", "train_score_rf", "stacked_score"}
 
 
