@@ -10,7 +10,8 @@ PREFIX_DIGITS = 4
 
 
 def _digest(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """Digest of seed and key; NULL keys have one of their own."""
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.md5(F.lit(f"{seed} NULL")))
 
 
 def _last_validation_key(df: DataFrame, key: str, share: float, seed: int) -> Column:

@@ -124,8 +124,10 @@ def exact_quantiles(
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per numeric column, one row per column.
 
-    The table is read several times; stage expensive features before.
+    A column without values has count 0 and NULLs. The table is read several times; stage expensive
+    features before.
     """
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))
     moments = (
         _long(df, columns)
         .groupBy("column_name")
@@ -144,8 +146,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for q in QUARTILES
         ]
     )
-    return moments.join(F.broadcast(wide), "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    # One row per column on all sides.
+    found = F.broadcast(names).join(moments, "column_name", "left").join(F.broadcast(wide), "column_name", "left")
+    return found.select(
+        "column_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 

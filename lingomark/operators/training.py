@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -62,11 +64,20 @@ def fit_scorer(
 
 
 def apply_scorer(df: DataFrame, scorer: Scorer, output: str = "prediction") -> DataFrame:
-    """Predict for the whole table; a missing feature column is an error."""
+    """Predict for the whole table; a missing feature column is an error.
+
+    Rows with a NULL or NaN feature get a NULL score and do not stop the others. The caller's own
+    columns are kept, whatever the model calls its working columns; one named ``output`` is replaced.
+    """
     require_columns(df, scorer.columns)
-    passed = [c for c in df.columns if c not in ("features", "prediction")]
-    scored = scorer.model.transform(df.select(*passed))
-    return scored.withColumnRenamed("prediction", output).drop("features")
+    kept = [c for c in df.columns if c != output]
+    assembler, *stages = scorer.model.stages
+    model = PipelineModel([assembler.copy().setHandleInvalid("keep"), *stages])
+    plain = [F.col(c).cast("double").alias(c) for c in scorer.columns]
+    rows = df.select(F.struct(*kept).alias("_row"), *plain)
+    usable = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in scorer.columns])
+    scored = model.transform(rows)
+    return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.when(usable, F.col("prediction")).alias(output))
 
 
 def fit_vectors(df: DataFrame, vector: str, regressor) -> PipelineModel:

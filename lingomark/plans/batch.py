@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,13 +108,14 @@ def _manifest_clips(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def hear_clips(
-    files: DataFrame, load_recogniser: Callable[[], Predictor], recognise: str = "content"
+    files: DataFrame, load_recogniser: Callable[[], Predictor], recognise: str = "content", limit: int | None = None
 ) -> DataFrame:
     """One row per clip: audio features, ``transcript``, ``audio_error`` and ``clip_error``.
 
-    ``recognise`` names the column the recogniser gets. Row by row, so it also runs on streams.
+    ``recognise`` names the column the recogniser gets; ``limit`` is the size of clips that uploads
+    may have. Row by row, so it also runs on streams.
     """
-    accepted, rejected = split_by_size(files)
+    accepted, rejected = split_by_size(files, limit)
     heard = accepted.select(
         "filename",
         audio_features(F.col("content")).alias("_audio"),
@@ -186,6 +189,9 @@ def feature_dataset(
     )
     joined = resolve(texts, audio, "filename", "_found")
     blank = F.when(~is_nonblank(F.col("transcript")), F.lit("No transcript"))
+    # Rows the training cannot use: labels that are no number, clips too short for a feature.
+    unlabelled = F.when(F.col("label").isNull(), F.lit("No numeric label"))
+    short = F.when(reduce(or_, [F.col(c).isNull() for c in AUDIO_COLUMNS]), F.lit("Clip too short for audio features"))
     return joined.select(
         "filename",
         *AUDIO_COLUMNS,
@@ -194,7 +200,7 @@ def feature_dataset(
         "corrected_text",
         *TEXT_COLUMNS,
         "label",
-        F.coalesce("error", "audio_error", blank).alias("error"),
+        F.coalesce("error", "audio_error", blank, unlabelled, short).alias("error"),
     )
 
 

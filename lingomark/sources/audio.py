@@ -59,11 +59,14 @@ def size_error(length: Column, limit: int = SIZE_LIMIT) -> Column:
     return F.when(length > limit, message)
 
 
-def split_by_size(files: DataFrame, limit: int = SIZE_LIMIT) -> tuple[DataFrame, DataFrame]:
+def split_by_size(files: DataFrame, limit: int | None = SIZE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Clips within the limit, and the others as ``filename, error`` without their bytes.
 
-    Both filters on ``length`` reach the scan, so an oversized clip is never read.
+    Both filters on ``length`` reach the scan, so an oversized clip is never read. Without a limit
+    all clips are accepted.
     """
+    if limit is None:
+        return files, files.where(F.lit(False)).select("filename", F.lit(None).cast("string").alias("error"))
     accepted = files.where(F.col("length") <= limit)
     rejected = files.where(F.col("length") > limit).select(
         "filename", size_error(F.col("length"), limit).alias("error")
@@ -128,8 +131,11 @@ def validate(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     return checked.unionByName(failed).select("filename", F.col("reason").isNull().alias("valid"), "reason")
 
 
-def feature_table(files: DataFrame, limit: int = SIZE_LIMIT, with_tempo: bool = True) -> DataFrame:
-    """One row per clip with all audio features, or with ``error`` and NULL features."""
+def feature_table(files: DataFrame, limit: int | None = None, with_tempo: bool = True) -> DataFrame:
+    """One row per clip with all audio features, or with ``error`` and NULL features.
+
+    The size limit is one of uploads; batch jobs take clips of any size.
+    """
     accepted, rejected = split_by_size(files, limit)
     done = accepted.select("filename", audio_features(F.col("content"), with_tempo).alias("_f")).select(
         "filename", "_f.*"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,12 +30,20 @@ def _reduce_batches(size: int):
     per batch to the task that holds the state.
     """
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            newest = rows.sort_values(["user_id", "ts", "item_id"], ascending=False)
-            clears = newest[newest["cleared"]].groupby("user_id").head(1)
-            items = newest[~newest["cleared"]].groupby("user_id").head(size)
-            yield pd.concat([items, clears])
+            # Arrow keeps ids whole where a NULL would turn them into floats; NULL is a user of its own.
+            order = pc.sort_indices(
+                rows, sort_keys=[("user_id", "ascending"), ("cleared", "ascending"), ("ts", "descending"), ("item_id", "descending")]
+            )
+            newest = rows.take(order)
+            kept, last, n = [], None, 0
+            for k, key in enumerate(zip(newest["user_id"].to_pylist(), newest["cleared"].to_pylist())):
+                n = n + 1 if key == last else 1
+                last = key
+                if n <= (1 if key[1] else size):
+                    kept.append(k)
+            yield newest.take(pa.array(kept, pa.int64()))
 
     return reduce
 
@@ -55,7 +65,8 @@ def _update(size: int):
         version += 1
         state.update((items, clear[0], clear[1], version))
         listed = [{"ts": ts, "item_id": item_id} for ts, item_id in items]
-        yield pd.DataFrame({"user_id": [key[0]], "version": [version], "items": [listed]})
+        user = pd.array([None if pd.isna(key[0]) else int(key[0])], dtype="Int64")
+        yield pd.DataFrame({"user_id": user, "version": [version], "items": [listed]})
 
     return update
 
@@ -65,9 +76,9 @@ def history_updates(events: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:
 
     ``events`` has the columns of ``ITEMS``. Order is by ``ts`` and ``item_id``, not by arrival, so
     the final list does not depend on how the stream was cut; a clear event drops everything up
-    to it.
+    to it. Events of a NULL user have a list of their own; repeated events count once.
     """
-    reduced = events.mapInPandas(_reduce_batches(size), ITEMS)
+    reduced = events.select("user_id", "ts", "item_id", "cleared").mapInArrow(_reduce_batches(size), ITEMS)
     return reduced.groupBy("user_id").applyInPandasWithState(
         _update(size), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )

@@ -56,7 +56,7 @@ def answer_uploads(
     scorer: Scorer | None = None,
 ) -> DataFrame:
     """Validate, transcribe, correct and score uploaded clips: ``filename`` and response fields."""
-    heard = hear_clips(uploads, load_recogniser, recognise)
+    heard = hear_clips(uploads, load_recogniser, recognise, SIZE_LIMIT)
     refused = upload_error(F.col("filename"), F.coalesce("audio_error", "clip_error"))
     answered = respond(heard, F.lit(None).cast("string"), F.col("transcript"), refused, scorer=scorer)
     return answered.select("filename", *FIELDS)

@@ -297,3 +297,15 @@ def test_stage_and_spread(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     assert session.spread(docs).rdd.getNumPartitions() == 8
     assert session.spread(docs, bytes_per_task=1).count() == docs.count()
+
+
+def test_split_with_null_keys(spark):
+    rows = spark.createDataFrame([(None if k % 2 else k,) for k in range(100)], "k long")
+    parts = {r["split"]: r["count"] for r in split.exact_split(rows, "k", 0.2).groupBy("split").count().collect()}
+    assert sum(parts.values()) == 100 and parts["val"] >= 20
+
+
+def test_describe_keeps_columns_without_values(spark):
+    rows = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    got = {r["column_name"]: r for r in stats.describe(rows, ["a", "b"]).collect()}
+    assert got["b"]["count"] == 0 and got["b"]["mean"] is None and got["a"]["mean"] == 2.0
