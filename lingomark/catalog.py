@@ -122,6 +122,23 @@ def rule_error_counts(spark, folder):
     return stats.hits_by_rule(documents(spark, folder), "doc_id", hits)
 
 
+def _with_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, each with the rules of a table in the column ``rules``."""
+    rows = [(k, *rule) for k, rule in enumerate(RULES)]
+    rules = spark.createDataFrame(rows, "position int, rule_id string, pattern string, replacement string")
+    return documents(spark, folder).withColumn("rules", text.rule_table(rules))
+
+
+def rule_table_counts(spark, folder):
+    """Hits of rules that come as a table."""
+    return stats.hits_by_rule(_with_rules(spark, folder), "doc_id", text.table_hits(F.col("text"), F.col("rules")))
+
+
+def rule_table_correct(spark, folder):
+    corrected = text.apply_table(F.col("text"), F.col("rules"))
+    return _with_rules(spark, folder).select("doc_id", corrected.alias("rule_corrected"))
+
+
 def grammar_ratio(spark, folder):
     counted = documents(spark, folder).select(
         "doc_id",
@@ -706,6 +723,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_predictor,
         word_diff_score,
         rule_error_counts,
+        rule_table_counts,
+        rule_table_correct,
         grammar_ratio,
         prompt_build,
         score_parse,

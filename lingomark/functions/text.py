@@ -224,18 +224,26 @@ def word_diff_score(original: Column, corrected: Column) -> Column:
     )
 
 
-MAX_RULES = 500
+def rule_table(table: DataFrame, order: str = "position") -> Column:
+    """The rules of a table ``rule_id, pattern, replacement`` as one array, in the order of a column.
 
+    A scalar subquery, to be made a column before :func:`table_hits` and :func:`apply_table` use it:
+    the rules go from the table to the tasks, whatever their number, and are collected nowhere.
+    """
+    rules = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *Rule._fields)))
+    return table.agg(rules).scalar()
 
-def load_rules(table: DataFrame, order: str = "position", limit: int = MAX_RULES) -> tuple[Rule, ...]:
-    """Rules of a table ``rule_id, pattern, replacement`` in the order of a column.
 
-    Rules become expressions, so the table has to be small; a larger one is refused, not cut.
-    """
-    rows = table.orderBy(order).select(*Rule._fields).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"More than {limit} rules")
-    return tuple(Rule(*row) for row in rows)
+def table_hits(text: Column, rules: Column) -> Column:
+    """:func:`rule_hits` for the array of :func:`rule_table`."""
+    return F.transform(
+        rules, lambda r: F.struct(r["rule_id"].alias("rule_id"), F.regexp_count(text, r["pattern"]).alias("hits"))
+    )
+
+
+def apply_table(text: Column, rules: Column) -> Column:
+    """:func:`apply_rules` for the array of :func:`rule_table`."""
+    return F.aggregate(rules, text, lambda t, r: F.regexp_replace(t, r["pattern"], r["replacement"]))
 
 
 def rule_hits(text: Column, rules: Sequence[Rule]) -> Column:

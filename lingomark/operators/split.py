@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
-PREFIX_DIGITS = 4
+# Digits of the digest that the two histograms tell apart: at most 65536 rows each.
+PREFIX_DIGITS = (4, 8)
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -14,35 +17,34 @@ def _digest(key: str, seed: int) -> Column:
     return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.md5(F.lit(f"{seed} NULL")))
 
 
+def _at_border(rows: DataFrame, digits: int, wanted: Column, given: Sequence[str] = ()) -> DataFrame:
+    """The rows in whose digest prefix the first ``wanted`` rows end; ``_take`` of them belong to these.
+
+    ``wanted`` is an expression over the histogram (``_n`` rows per prefix) and the ``given`` columns.
+    """
+    prefix = F.substring("_digest", 1, digits)
+    histogram = rows.groupBy(prefix.alias("_prefix"), *given).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = histogram.select("_prefix", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), wanted.alias("_wanted"))
+    border = running.where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
+    border = border.select(F.struct("_prefix", (F.col("_wanted") - F.col("_before")).alias("take")))
+    inside = rows.select("_key", "_digest", border.scalar().alias("_border")).where(prefix == F.col("_border._prefix"))
+    return inside.select("_key", "_digest", F.col("_border.take").alias("_take"))
+
+
 def _last_validation_key(df: DataFrame, key: str, share: float, seed: int) -> Column:
     """Scalar subquery: digest and key of the last validation row in digest order.
 
-    A histogram over digest prefixes (at most 65536 rows) tells in which prefix validation ends;
-    only the keys with this prefix are counted and put in order.
+    Two histograms narrow the digests down to one in 2**32; only those keys are put in order.
     """
-    hashed = df.select(F.col(key).alias("_key"), _digest(key, seed).alias("_digest")).withColumn(
-        "_prefix", F.substring("_digest", 1, PREFIX_DIGITS)
-    )
-    histogram = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hashed = df.select(F.col(key).alias("_key"), _digest(key, seed).alias("_digest"))
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    running = histogram.select(
-        "_prefix",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(upto).alias("_upto"),
-        F.ceil(F.sum("_n").over(everything) * F.lit(share)).alias("_wanted"),
-    )
-    border = running.where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
-    border = border.select(F.struct("_prefix", (F.col("_wanted") - F.col("_before")).alias("take")))
-    at_border = hashed.withColumn("_border", border.scalar()).where(
-        F.col("_prefix") == F.col("_border._prefix")
-    )
-    counted = at_border.groupBy("_digest", "_key", "_border").agg(F.count(F.lit(1)).alias("_n"))
-    in_order = Window.partitionBy("_border").orderBy("_digest", "_key")
-    ranked = counted.withColumn("_rank", F.sum("_n").over(in_order))
-    last = ranked.where(
-        (F.col("_rank") >= F.col("_border.take")) & (F.col("_rank") - F.col("_n") < F.col("_border.take"))
-    )
+    first, second = PREFIX_DIGITS
+    near = _at_border(hashed, first, F.ceil(F.sum("_n").over(everything) * F.lit(share)))
+    nearest = _at_border(near, second, F.col("_take"), ["_take"])
+    counted = nearest.groupBy("_digest", "_key", "_take").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = counted.withColumn("_rank", F.sum("_n").over(Window.partitionBy("_take").orderBy("_digest", "_key")))
+    last = ranked.where((F.col("_rank") >= F.col("_take")) & (F.col("_rank") - F.col("_n") < F.col("_take")))
     return last.select(F.struct("_digest", "_key")).scalar()
 
 
@@ -50,7 +52,7 @@ def exact_split(df: DataFrame, key: str, share: float, seed: int = SEED) -> Data
     """Mark ``ceil(n * share)`` rows as ``val`` and the others as ``train`` (column ``split``).
 
     Rows are ordered by the MD5 of seed and key, so the parts do not depend on partitioning or
-    engine. Two passes over the key column find the last validation key; the table itself is then
+    engine. Three passes over the key column find the last validation key; the table itself is then
     only compared with it: no shuffle, no sort, one read. Rows that share a key stay together.
     """
     last = _last_validation_key(df, key, share, seed)

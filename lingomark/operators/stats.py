@@ -15,7 +15,6 @@ QUARTILES = (0.25, 0.5, 0.75)
 # Accuracy of the quantile sketch, and the share of ranks a bracket reaches to either side.
 SKETCH_ACCURACY = 2000
 BRACKET = 4 / SKETCH_ACCURACY
-SHORT_TABLE = 1_000_000
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,21 +103,20 @@ def _values_at(counted: DataFrame, at: Sequence[float]) -> DataFrame:
     return ends.select("column_name", "q", value.alias("value"), "missed")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUARTILES, short_table: int = SHORT_TABLE
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact quantiles with linear interpolation: ``column_name, q, value``.
 
-    ``percentile`` would build one map of all distinct values in one task. Here, above
-    ``short_table`` rows, only values near the quantiles are counted one by one; should a rank lie
-    elsewhere (brackets are approximate), or in a short table, all values are counted.
+    ``percentile`` would build one map of all distinct values in one task. Here only values near the
+    quantiles are counted one by one. The brackets are approximate: of columns in which a rank lies
+    elsewhere all values are counted.
     """
     long = _long(df, columns)
-    if df.count() > short_table:
-        found = _values_at(_counts_near(long, at), at)
-        if found.where("missed").isEmpty():
-            return found.drop("missed")
-    return _values_at(_counts(long), at).drop("missed")
+    found = _values_at(_counts_near(long, at), at)
+    missed = [r[0] for r in found.where("missed").select("column_name").distinct().collect()]
+    if not missed:
+        return found.drop("missed")
+    again = F.col("column_name").isin(missed)
+    return found.where(~again).union(_values_at(_counts(long.where(again)), at)).drop("missed")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -193,6 +193,7 @@ INTEGERS = {
     "sentence_counts": ("sentences",),
     "correct_cascade": ("variant_length",),
     "rule_error_counts": ("hits",),
+    "rule_table_counts": ("hits",),
     "grammar_ratio": ("num_errors", "num_words"),
     "prompt_build": ("request_length",),
     "vector_guards": ("dim",),
@@ -287,6 +288,8 @@ SELECT id AS doc_id, CASE WHEN contains(text, '###') THEN text ELSE fixed END AS
         "word_diff_score": f"""SELECT doc_id, round({diff_score('before', 'after')}, 9) AS grammar_score_model
 FROM (SELECT doc_id, {words('text')} AS before, {words(ruled('text'))} AS after FROM documents)""",
         "rule_error_counts": hits,
+        "rule_table_counts": hits,
+        "rule_table_correct": f"SELECT doc_id, {ruled('text')} AS rule_corrected FROM documents",
         "grammar_ratio": f"""SELECT doc_id, num_errors, num_words,
   round(num_errors::DOUBLE / greatest(num_words, 1), 9) AS grammar_ratio
 FROM (SELECT doc_id, {errors} AS num_errors, greatest(len({words('text')}), 1) AS num_words FROM documents)""",

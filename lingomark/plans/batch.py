@@ -34,14 +34,14 @@ from lingomark.functions.text import (
 from lingomark.operators.apply_model import Predictor, apply_model
 from lingomark.operators.cleaning import default_audio, keep_failed
 from lingomark.operators.embedding import hashed_embedding
-from lingomark.operators.resolve import merge_features, resolve
+from lingomark.operators.resolve import resolve
 from lingomark.operators.training import Scorer, apply_scorer
 from lingomark.plans.correction import cascade
-from lingomark.session import plan_bytes, stage
+from lingomark.session import stage
 from lingomark.sources.audio import FEATURE_FIELDS, audio_features, feature_table, split_by_size
 
-# Names of a manifest are broadcast to prune the clip scan only below this (file) size.
-BROADCAST_BYTES = 16 * 1024 * 1024
+# Bits of the filter by which a manifest prunes the clip scan: 2 MB, however many names there are.
+FILTER_BITS = 24
 
 # Fixed value: prompts per call of the language model.
 RUBRIC_BATCH = 5
@@ -96,15 +96,18 @@ def flagship(transcripts: DataFrame) -> DataFrame:
 
 
 def _manifest_clips(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Clips the manifest names.
+    """Clips the manifest may name.
 
-    Clip bytes are never shuffled: the names are broadcast when their size is small, otherwise all
-    clips are processed and the later join with the manifest drops the others.
+    Clip bytes are never shuffled: a bitmap of name hashes, of one size for every manifest, drops
+    nearly all clips that nobody asked for, and the later join with the manifest drops the others.
     """
-    names = manifest.select("filename").distinct()
-    if plan_bytes(names) > BROADCAST_BYTES:
-        return files
-    return files.join(F.broadcast(names), "filename", "left_semi")
+    low = F.xxhash64("filename").bitwiseAND((1 << FILTER_BITS) - 1)
+    part, place = F.shiftright(low, 15), low.bitwiseAND((1 << 15) - 1)
+    named = manifest.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    # At most 2**(FILTER_BITS - 15) rows of 4096 bytes.
+    found = files.join(F.broadcast(named), part == F.col("_part"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*files.columns)
 
 
 def hear_clips(
@@ -273,8 +276,3 @@ def batch_job(
         done = model_score(done.drop("grammar_score"), "transcript", scorer)
     done = keep_failed(done, ["transcript", "corrected_text"], "grammar_score", "clip_error")
     return deliver(manifest, done.select("filename", "transcript", "grammar_score", "corrected_text"))
-
-
-def merge_clip_text(audio: DataFrame, text: DataFrame, key: str = "filename") -> DataFrame:
-    """Audio record and text record of a clip as one; the text record wins on equal names."""
-    return merge_features(audio, text, key)

@@ -212,11 +212,14 @@ def test_rule_table(spark):
     table = spark.createDataFrame(
         [(2, "b", "y", "z"), (1, "a", "x", "y")], "position int, rule_id string, pattern string, replacement string"
     )
-    rules = text.load_rules(table)
-    assert [r.rule_id for r in rules] == ["a", "b"]
-    assert spark.range(1).select(text.apply_rules(F.lit("x"), rules)).first()[0] == "z"
-    with pytest.raises(ValueError, match="More than 1 rules"):
-        text.load_rules(table, limit=1)
+    t, rules = F.col("t"), F.col("rules")
+    rows = spark.createDataFrame([("x",), (None,), ("",)], "t string")
+    ruled = rows.withColumn("rules", text.rule_table(table))
+    got = ruled.select(text.apply_table(t, rules).alias("done"), text.table_hits(t, rules).alias("hits")).collect()
+    assert [r["done"] for r in got] == ["z", None, ""]
+    assert [(h["rule_id"], h["hits"]) for h in got[0]["hits"]] == [("a", 1), ("b", 0)]
+    none = rows.withColumn("rules", text.rule_table(table.limit(0))).select(text.apply_table(t, rules).alias("done")).collect()
+    assert [r["done"] for r in none] == ["x", None, ""]
 
 
 def test_words_are_split_once(spark, plan_of):

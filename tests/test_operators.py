@@ -92,7 +92,7 @@ def test_bracketed_quantiles(spark, n):
     frame.loc[: n // 3, "a"] = 0.1
     rows = spark.createDataFrame(frame).repartition(5)
     at = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
-    got = {(r["column_name"], r["q"]): r["value"] for r in stats.exact_quantiles(rows, list("abc"), at, 0).collect()}
+    got = {(r["column_name"], r["q"]): r["value"] for r in stats.exact_quantiles(rows, list("abc"), at).collect()}
     assert got == pytest.approx({(c, q): frame[c].quantile(q) for c in "abc" for q in at})
 
 
