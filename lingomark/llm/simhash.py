@@ -4,13 +4,15 @@ Two 64-bit fingerprints that differ in at most three bits differ in at most one
 32-bit halves. So one vantage-point tree per half, searched with radius one, finds every link. The
 trees are built from a bounded sample of fingerprints and split the Hamming space into leaf shards; a
 fingerprint is stored in one leaf and visits, by the triangle bounds, the leaves whose region its ball
-overlaps. Inside a leaf all 64 bits are compared, and only a spanning forest of the links goes on, so
-a group of near copies costs as many rows as it has fingerprints. Equal fingerprints are one node.
+overlaps. A leaf lists its fingerprints under their half; a visitor looks up the halves its ball holds and
+compares all 64 bits there. Only a spanning forest of the links goes on, so a group of near copies costs
+as many rows as it has fingerprints. Equal fingerprints are one node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ SHINGLE, BITS = 3, 3
 SEED = 42
 SAMPLE = 1 << 16  # fingerprints the trees are built from
 LEAF = 2048  # fingerprints aimed at per leaf
+BLOCK = 1 << 18  # stored fingerprints a task holds of a leaf
 COMPARED = 1 << 21  # pairs of a block
 
 
@@ -104,76 +107,139 @@ def visits(values: np.ndarray, tree: list[tuple[int, int]], reach: int) -> tuple
     return index, node - len(tree), own
 
 
-def leaf_links(fps: np.ndarray, own: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (larger, smaller) of all links of the fingerprints in a leaf to those it stores."""
-    points, at = np.unique(fps, return_inverse=True)
-    stored = np.unique(at[own])
-    home = points[stored].view(np.uint64)
-    label = np.arange(len(points))
-    step = max(1, COMPARED // max(1, len(home)))
-    raw = points.view(np.uint64)
-    for start in range(0, len(points), step):
-        close = np.bitwise_count(raw[start : start + step, None] ^ home[None, :]) <= bits
-        q, h = np.nonzero(close)
-        a, b = q + start, stored[h]
-        while True:
-            la, lb = label[a], label[b]
-            apart = la != lb
-            if not apart.any():
-                break
-            a, b = a[apart], b[apart]
-            np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
-            while (label[label] != label).any():
-                label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(points)))
-    return points[moved], points[label[moved]]
+def near_masks(reach: int) -> np.ndarray:
+    """All 32-bit words of at most ``reach`` ones: what two halves within ``reach`` may differ in."""
+    return np.array(
+        [sum(1 << b for b in ones) for n in range(reach + 1) for ones in combinations(range(32), n)], np.uint32
+    )
+
+
+class Leaf:
+    """Stored fingerprints of a leaf (or of one block of it), listed under their half."""
+
+    def __init__(self, stored: np.ndarray, half: int, bits: int):
+        self.half, self.bits = half, bits
+        values = halves(stored, half)
+        order = np.argsort(values, kind="stable")
+        self.stored = stored[order]
+        self.values, self.starts, self.sizes = np.unique(values[order], return_index=True, return_counts=True)
+        self.masks = near_masks(bits // 2)
+
+    def close(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in ``fps`` and in ``stored`` of all pairs within ``bits``, in blocks of bounded size."""
+        step = max(1, COMPARED // len(self.masks))
+        for start in range(0, len(fps), step):
+            probes = halves(fps[start : start + step], self.half)[:, None] ^ self.masks
+            at = np.minimum(np.searchsorted(self.values, probes), len(self.values) - 1)
+            asks, which = np.nonzero(self.values[at] == probes)
+            groups = at[asks, which]
+            behind = np.cumsum(self.sizes[groups])
+            first = 0
+            while first < len(groups):
+                done = behind[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(behind, done + COMPARED, side="right")))
+                sizes = self.sizes[groups[first:last]]
+                q = np.repeat(asks[first:last] + start, sizes)
+                shift = self.starts[groups[first:last]] - (behind[first:last] - sizes - done)
+                h = np.repeat(shift, sizes) + np.arange(len(q))
+                near = np.bitwise_count((fps[q] ^ self.stored[h]).view(np.uint64)) <= self.bits
+                yield q[near], h[near]
+                first = last
+
+    def links(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning forest (larger, smaller) of the links between ``fps`` and the stored fingerprints."""
+        points, at = np.unique(np.concatenate([fps, self.stored]), return_inverse=True)
+        label = np.arange(len(points))
+        for q, h in self.close(fps):
+            a, b = at[q], at[len(fps) + h]
+            while True:
+                la, lb = label[a], label[b]
+                apart = la != lb
+                if not apart.any():
+                    break
+                a, b = a[apart], b[apart]
+                np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+                while (label[label] != label).any():
+                    label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(points)))
+        return points[moved], points[label[moved]]
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges (a, b), a > b, that connect all fingerprints ``fp`` of the table linked by ``bits`` or fewer."""
+    """Edges (a, b), a > b, that connect all fingerprints ``fp`` of the table linked by ``bits`` or fewer.
+
+    A leaf that the sample shows to hold more than ``BLOCK`` fingerprints is stored in several blocks,
+    each of which all its visitors ask: a task holds one block and a batch of visitors.
+    """
     n = nodes.count()
     # A sample of bounded size, spread by a hash.
     sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64)
     leaves = min(-(-n // LEAF), SAMPLE // 8)
     reach = bits // 2
-    trees = [build_tree(halves(sample, half), leaves) for half in (0, 1)]
+    trees, parts = [], []
+    for half in (0, 1):
+        tree = build_tree(halves(sample, half), leaves)
+        _, leaf, own = visits(halves(sample, half), tree, reach)
+        stored = np.bincount(leaf[own], minlength=len(tree) + 1) * (n / max(1, len(sample)))
+        trees.append(tree)
+        parts.append(np.maximum(1, np.ceil(stored / BLOCK)).astype(np.int64))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for half, tree in enumerate(trees):
                 index, leaf, own = visits(halves(fps, half), tree, reach)
+                many = parts[half][leaf]
+                ask = np.repeat(np.arange(len(leaf)), many)
+                no = np.arange(len(ask)) - np.repeat(np.cumsum(many) - many, many)
+                home = own[ask] & (no == fps[index[ask]].view(np.uint64) % many[ask].astype(np.uint64))
+                key = [pa.array(leaf[ask] * 2 + half, pa.int64()), pa.array(no, pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf * 2 + half, pa.int64()), pa.array(fps[index]), pa.array(own)], ["leaf", "fp", "own"]
+                    [*key, pa.array(~home), pa.array(fps[index[ask]])], ["leaf", "part", "asks", "fp"]
                 )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaf in _leaves(batches):
-            a, b = leaf_links(leaf.column(1).to_numpy(), leaf.column(2).to_numpy(zero_copy_only=False), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        key, home, leaf = None, [], None
+        for leaf_no, part, asks, fps in _runs(batches):
+            if key != (leaf_no, part):
+                if home:
+                    yield _edges(Leaf(np.concatenate(home), key[0] % 2, bits))
+                key, home, leaf = (leaf_no, part), [], None
+            if not asks:
+                home.append(fps)
+                continue
+            if home:
+                leaf, home = Leaf(np.concatenate(home), leaf_no % 2, bits), []
+                yield _edges(leaf)
+            if leaf is not None:
+                yield _edges(leaf, fps)
+        if home:
+            yield _edges(Leaf(np.concatenate(home), key[0] % 2, bits))
 
     return (
         nodes.select("fp")
-        .mapInArrow(route, "leaf long, fp long, own boolean")
-        .repartition("leaf")
-        .sortWithinPartitions("leaf")
+        .mapInArrow(route, "leaf long, part long, asks boolean, fp long")
+        .repartition("leaf", "part")
+        .sortWithinPartitions("leaf", "part", "asks")
         .mapInArrow(search, "a long, b long")
     )
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one leaf after the other, from batches sorted by leaf."""
-    held: list[pa.RecordBatch] = []
+def _edges(leaf: Leaf, fps: np.ndarray | None = None) -> pa.RecordBatch:
+    a, b = leaf.links(leaf.stored if fps is None else fps)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bool, np.ndarray]]:
+    """Leaf, part, kind and fingerprints of each run of equal (leaf, part, kind), cut at batch ends."""
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else [0]
+        if not batch.num_rows:
+            continue
+        leaf, part, asks, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        changes = (np.diff(leaf) != 0) | (np.diff(part) != 0) | (asks[1:] != asks[:-1])
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), len(leaf)]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[-1].column(0)[0].as_py() != keys[start]:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+            yield int(leaf[start]), int(part[start]), bool(asks[start]), fps[start:end]
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -253,14 +253,18 @@ def brute_components(prints):
     return {i: find(i) for i in ids}
 
 
-def test_simhash_components(some, monkeypatch):
+@pytest.mark.parametrize("block", [5, simhash.BLOCK])
+def test_simhash_components(some, monkeypatch, block):
     monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rows = simhash.near_duplicates(some).collect()
     assert {r.doc_id: r.component_id for r in rows} == brute_components({r.doc_id: int(r.fingerprint, 16) for r in rows})
 
 
-def test_simhash_links_of_near_prints(spark, monkeypatch):
+@pytest.mark.parametrize("block", [5, simhash.BLOCK])
+def test_simhash_links_of_near_prints(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "LEAF", 32)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(5)
     prints = set()
     for _ in range(40):
