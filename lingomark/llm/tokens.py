@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 MEMO_BYTES = 64 << 20  # known pre-tokens of a task; beyond it the memo starts anew, results are the same
 BLOCK_BYTES = 8 << 20
+BATCH_CHARS = 1 << 18  # of pre-tokens encoded at a time: the encodings are far larger than their texts
 LONG = 200  # pre-tokens of more characters are counted, but not kept
 
 
@@ -33,6 +34,16 @@ def _blocks(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         start = end
 
 
+def _batches(words: list[str], most: int) -> Iterator[list[str]]:
+    """Consecutive parts of about ``most`` characters, 16 more counted for each word."""
+    start = size = 0
+    for end, word in enumerate(words, 1):
+        size += len(word) + 16
+        if size >= most or end == len(words):
+            yield words[start:end]
+            start, size = end, 0
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT) -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -56,7 +67,9 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT) -> Da
                 coded = words.flatten().dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
                 new = [w for w in distinct if w not in known]
-                pieces = dict(zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
+                pieces: dict[str, int] = {}
+                for some in _batches(new, BATCH_CHARS):
+                    pieces.update(zip(some, map(len, tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
                 each = np.fromiter((known[w] if w in known else pieces[w] for w in distinct), np.int64, len(distinct))
                 kept = {w: n for w, n in pieces.items() if len(w) <= LONG}
                 size = sum(map(len, kept)) + 100 * len(kept)

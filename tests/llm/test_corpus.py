@@ -151,7 +151,9 @@ def test_mixing_odd(spark, odd, empty):
 # Token counts
 
 
-def test_token_counts(spark, some, odd, empty):
+@pytest.mark.parametrize("most", [40, tokens.BATCH_CHARS])
+def test_token_counts(spark, some, odd, empty, monkeypatch, most):
+    monkeypatch.setattr(tokens, "BATCH_CHARS", most)
     file = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(file)
     both = odd.select("doc_id", "text").union(some.select("doc_id", "text"))
