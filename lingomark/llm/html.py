@@ -24,10 +24,13 @@ TRAIN_BLOCKS = 200  # blocks of a training page that are used
 ADJACENT, SAME_PARENT = 0.6, 1.0
 
 # Element names with a meaning for layout.
-HIDDEN = frozenset("head script style noscript template title textarea select option button svg math iframe object canvas audio video".split())
-RAW = "script|style|noscript|template|textarea|title|svg|iframe"
+HIDDEN = frozenset("head script style noscript template title textarea select option button svg iframe object canvas audio video".split())
+RAW = "script|style|noscript|template|textarea|title|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp data output font img br wbr input".split())
+MATH = frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover menclose none semantics annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp data output font img br wbr input svg".split()) | MATH
+# Elements of a page that end an open drawing when they start inside it.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th"}
@@ -35,6 +38,7 @@ CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs combx comment comments complementary contentinfo cookie cookies consent disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related remark reply replies search share shares sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
+START = re.compile(r"<[a-zA-Z](?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({RAW})\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -112,14 +116,40 @@ def blocks_of(page: str | None) -> list[Block]:
         if open_now["a"]:
             current.linked += len(text)
 
-    for m in TOKEN.finditer(page):
+    def drawing() -> int | None:
+        """Place of the open drawing, if what comes belongs to it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "foreignobject":
+                return None
+            if stack[k][0] == "svg":
+                return k
+        return None
+
+    while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
+        svg = drawing() if open_now["hidden"] else None
+        if svg is not None and m[1] and (start := START.match(page, m.start())) and start[0].endswith("/>"):
+            at = start.end()  # in a drawing, <style/> or <title/> is whole
+            continue
         name = m[3] or m[6]
         if not name:
             continue
         name = name.lower()
         closing = m[2] if m[3] else m[5]
+        if svg is not None and not closing and name in BREAKOUT:
+            pop_to(next(k for k, s in enumerate(stack) if s[0] == "svg"))
+            svg = None
+        elif svg is not None and not closing:
+            # The parts of a drawing do not end the text around it.
+            if not (m[4] if m[3] else m[7]).rstrip().endswith("/"):
+                count += 1
+                stack.append((name, count, 0))
+                shift(name, 1)
+            continue
+        elif svg is not None and any(s[0] == name for s in stack[svg:]):
+            pop_to(max(k for k, s in enumerate(stack) if s[0] == name))
+            continue
         if name not in INLINE:
             end_block()
         elif name == "br" and current is not None:

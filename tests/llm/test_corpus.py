@@ -396,6 +396,24 @@ def test_main_text():
     assert html.main_text(None, html.PRIOR) == html.main_text("", html.PRIOR) == html.main_text("<nav>a</nav>", html.PRIOR) == ""
 
 
+def test_icons_and_formulas():
+    page = (
+        '<article><p>Before the icon, some words.</p><svg class="icon"/><p>Behind the icon, some words.</p>'
+        "<p>The area is <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup></math>, as shown.</p>"
+        "<svg viewBox='0 0 1 1'><title>drawn</title><svg><text>label</text></svg><path d='M0'/><g>more</g></svg>"
+        "<p>Last words, behind the drawing.</p></article>"
+    )
+    want = "Before the icon, some words.\n\nBehind the icon, some words.\n\nThe area is a=r2, as shown.\n\nLast words, behind the drawing."
+    assert html.main_text(page, html.PRIOR) == want
+    page = (
+        "<article><p>Words with <svg><style/><title/><g><path d='M0'/><text>label</text></g></svg>an icon, in one paragraph.</p>"
+        "<p>An open drawing, <svg class=icon><g><p>ends at the next paragraph.</p>"
+        "<svg><foreignObject><div>a label</div></foreignObject></svg><p>All is well, at the end.</p></article>"
+    )
+    want = "Words with an icon, in one paragraph.\n\nAn open drawing,\n\nends at the next paragraph.\n\nAll is well, at the end."
+    assert html.main_text(page, html.PRIOR) == want
+
+
 def test_extract(spark):
     rows = [(1, None, None), (2, "u", ""), (None, None, "<article><p>Some words, here.</p></article>"), (3, "u", "<p>" + "long words, " * 20000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
