@@ -1,14 +1,15 @@
 """Soft-membership mixing: rates per document that bring expected domain token totals to targets.
 
 A classifier trained on labelled documents gives every document a posterior over the domains. With
-t_i tokens and posterior p_i, the rates x_i >= 0 minimise the squared distance of sum_i x_i t_i p_i
-from the targets by projected gradient steps. A step needs one sum per domain over all documents;
-the rate of a document is a fold over the steps, so no state is kept or shuffled between them.
+t_i tokens and posterior p_i, the rates x_i >= 0 are those nearest to 1 (by tokens) for which
+sum_i x_i t_i p_i meets the targets. They are max(0, 1 - u p_i) with one number u_d per domain, found by
+Newton steps on the dual. A step needs sums over the documents whose rate is not 0, and no state of them.
 Only DataFrame operations and Spark ML run on the executors.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 
 from lingomark.session import stage
 
+LOG = logging.getLogger(__name__)
+
 TRAIN_ROWS = 20_000  # bound of the labelled sample the classifier is fitted on
 FEATURES = 1 << 12
-STEPS = 20
-TOLERANCE = 1e-4  # of all tokens, by which a domain may miss its target
+TOLERANCE = 1e-6  # of the token total, by which a domain may miss its target
+RIDGE = 1e-9  # keeps the steps finite where no rates meet the targets
+OPTIMUM = 1e-9  # slope, in shares of all tokens, at which no step betters the rates
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
 
@@ -78,44 +82,65 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], train_r
     )
 
 
-def _rate(steps: list[np.ndarray], k: int) -> Column:
-    rate = F.lit(1.0)
-    for g in steps:
-        move = sum((F.col(f"p_{d}") * float(g[d]) for d in range(1, k)), F.col("p_0") * float(g[0]))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+def _rate(pull: np.ndarray) -> Column:
+    move = sum((F.col(f"p_{d}") * float(pull[d]) for d in range(1, len(pull))), F.col("p_0") * float(pull[0]))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - move)
 
 
-def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, steps: int = STEPS) -> Column:
+def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, steps: int | None = None) -> Column:
     """The rate expression for rows with ``n_tokens`` and ``p_0 ...``; ``shares`` are the target weights.
 
-    ``budget`` is the wanted token total (all tokens there are, if not given). The distance is weighted
-    by the inverse Gram matrix of the posteriors, which makes a step length of 1 safe and the descent
-    fast where no rate is cut at 0. Without tokens all rates are 1.
+    ``budget`` is the wanted token total (all tokens there are, if not given). Steps end when every
+    domain meets its target within ``TOLERANCE``, or at the optimum, where no rates meet the targets;
+    the miss that is left is then logged as a warning, as it is when ``steps``, if given, run out.
+    Without tokens all rates are 1.
     """
     k = len(shares)
     t = F.col("n_tokens").cast("double")
-    pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    first = rows.agg(
-        F.sum(t).alias("total"), *[F.sum(t * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g_{a}_{b}") for a, b in pairs]
-    ).first()
-    if not first["total"]:
+    all_tokens = rows.agg(F.sum(t)).first()[0]
+    if not all_tokens:
         return F.lit(1.0)
-    gram = np.zeros((k, k))
-    for a, b in pairs:
-        gram[a, b] = gram[b, a] = first[f"g_{a}_{b}"]
-    weight = np.linalg.inv(gram + np.eye(k) * 1e-6 * first["total"])
-    total = first["total"] if budget is None else budget
-    target = np.array(shares) / sum(shares) * total
-    moves: list[np.ndarray] = []
-    for _ in range(steps):
-        rate = _rate(moves, k)
-        now = rows.agg(*[F.sum(rate * t * F.col(f"p_{d}")).alias(f"s_{d}") for d in range(k)]).first()
-        miss = np.array([now[d] for d in range(k)]) - target
-        if np.abs(miss).max() <= TOLERANCE * total:
+    total = float(all_tokens) if budget is None else float(budget)
+    target = np.array(shares) / sum(shares) * total / all_tokens
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def at(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Dual value, domain totals and Gram matrix of the rows with a rate, as shares of all tokens."""
+        rate = _rate(pull)
+        held = F.when(rate > 0, t).otherwise(0.0)
+        now = rows.agg(
+            F.sum(t * rate * rate),
+            *[F.sum(rate * t * F.col(f"p_{d}")) for d in range(k)],
+            *[F.sum(held * F.col(f"p_{a}") * F.col(f"p_{b}")) for a, b in pairs],
+        ).first()
+        gram = np.zeros((k, k))
+        for (a, b), value in zip(pairs, now[k + 1 :], strict=True):
+            gram[a, b] = gram[b, a] = value / all_tokens
+        return now[0] / all_tokens / 2 + pull @ target + RIDGE / 2 * (pull @ pull), np.array(now[1 : k + 1]) / all_tokens, gram
+
+    pull = np.zeros(k)
+    value, sums, gram = at(pull)
+    done = 0
+    while np.abs(sums - target).max() > TOLERANCE * total / all_tokens and (steps is None or done < steps):
+        slope = target - sums + RIDGE * pull
+        if np.abs(slope).max() <= OPTIMUM + 1e-14 * np.abs(pull).max():  # the rest is rounding
             break
-        moves.append(weight @ miss)
-    return _rate(moves, k)
+        move = -np.linalg.solve(gram + RIDGE * np.eye(k), slope)
+        length = 1.0
+        while length > 1e-12:
+            found = at(pull + length * move)
+            if found[0] < value and found[0] <= value + 1e-4 * length * (slope @ move):
+                break
+            length /= 4
+        else:
+            break  # no descent is left that doubles can tell
+        pull = pull + length * move
+        value, sums, gram = found
+        done += 1
+    miss = (sums - target) * all_tokens / total
+    if np.abs(miss).max() > TOLERANCE:
+        LOG.warning("rates miss the targets by %s of the token total after %d steps", np.round(miss, 6).tolist(), done)
+    return _rate(pull)
 
 
 def mix(

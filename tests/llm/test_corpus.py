@@ -137,6 +137,31 @@ def test_rates_reach_targets(spark):
         assert abs(got[d] - share * got[3]) < 0.01 * got[3]
 
 
+@pytest.mark.parametrize("mix, strength", [((0.72, 0.15, 0.13), 2), ((0.45, 0.42, 0.13), 2), ((0.5, 0.15, 0.35), 2)])
+def test_rates_converge_where_some_are_cut(spark, caplog, mix, strength):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.array(mix) * strength, 2000)
+    schema = "n_tokens long, p_0 double, p_1 double, p_2 double"
+    rows = spark.createDataFrame([(int(rng.integers(1, 500)), *map(float, own)) for own in p], schema)
+    rate = mixing.fit_rates(rows, [0.9, 0.08, 0.02])
+    got = rows.withColumn("x", rate).agg(
+        *[F.sum(F.col("x") * F.col("n_tokens") * F.col(f"p_{d}")) for d in range(3)], F.sum("n_tokens"), F.min("x")
+    ).first()
+    assert got[4] == 0 and not caplog.records
+    for d, share in enumerate([0.9, 0.08, 0.02]):
+        assert abs(got[d] - share * got[3]) <= 2e-6 * got[3]
+
+
+def test_rates_report_unreachable_targets(spark, caplog):
+    rows = spark.createDataFrame([(100, 0.6, 0.4), (50, 0.5, 0.5)], "n_tokens long, p_0 double, p_1 double")
+    rate = mixing.fit_rates(rows, [0.9, 0.1])
+    assert "rates miss the targets" in caplog.text
+    # The nearest point to (135, 15) on the ray of (0.6, 0.4).
+    got = rows.agg(F.sum(rate * F.col("n_tokens") * F.col("p_0")), F.sum(rate * F.col("n_tokens") * F.col("p_1"))).first()
+    scale = (0.6 * 135 + 0.4 * 15) / 0.52
+    assert tuple(got) == pytest.approx((0.6 * scale, 0.4 * scale), rel=1e-4)
+
+
 def test_mixing_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, domain string")
     rows = mixing.mix(odd, none).collect()
