@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lingomark.llm import decontaminate, exact, html, language, mixing, repeats, sharding, simhash, tokens, urls
+from lingomark.llm import decontaminate, exact, html, interactions, language, mixing, repeats, sharding, simhash, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,6 +56,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.filter_interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,10 +71,12 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op7_sharding": sharding.SQL,
+    "op11_filter_audit": interactions.SQL,
 }
