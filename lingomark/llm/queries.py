@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lingomark.llm import decontaminate, exact, html, interactions, language, mixing, repeats, sharding, simhash, tokens, urls
+from lingomark.llm import (
+    decontaminate, exact, html, interactions, language, mixing, quality, repeats, sharding, simhash, tokens, urls, variants,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,6 +62,14 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.filter_interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -72,6 +82,8 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
     "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality": op13_quality,
 }
 
 ORACLES = {
