@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingomark.llm.columns import spare
 from lingomark.session import stage
 
 LOG = logging.getLogger(__name__)
@@ -51,34 +52,37 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], train_r
     A null text counts as empty.
     """
     at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
+    text, words, hashed, vector, label, p, raw, best = spare(
+        docs.columns, "text_", "words", "hashed", "vector", "label", "probability", "raw", "best"
+    )
     # Bounded by train_rows, so it may be broadcast.
     chosen = (
         labelled.where(F.col("domain").isin(domains))
-        .select("doc_id", at.cast("double").alias("_label"))
+        .select("doc_id", at.cast("double").alias(label))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(train_rows)
     )
-    texts = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    sample = texts.select("doc_id", "_text").join(F.broadcast(chosen), "doc_id").select("_text", "_label")
-    counts = F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens")
-    seen = sorted(int(r[0]) for r in chosen.select("_label").distinct().collect())
+    texts = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
+    sample = texts.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select(text, label)
+    counts = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens")
+    seen = sorted(int(r[0]) for r in chosen.select(label).distinct().collect())
     if len(seen) < 2:
         even = [1.0 / len(domains) if not seen else float(k in seen) for k in range(len(domains))]
         return texts.select(*docs.columns, counts, *[F.lit(p).alias(f"p_{k}") for k, p in enumerate(even)])
     features = [
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=FEATURES),
-        Normalizer(inputCol="_counts", outputCol="_features"),
+        RegexTokenizer(inputCol=text, outputCol=words, pattern=r"[^\p{L}\p{N}]+"),
+        HashingTF(inputCol=words, outputCol=hashed, numFeatures=FEATURES),
+        Normalizer(inputCol=hashed, outputCol=vector),
     ]
     fit = LogisticRegression(
-        featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw",
-        predictionCol="_best", family="multinomial", maxIter=15, regParam=1e-3,
+        featuresCol=vector, labelCol=label, probabilityCol=p, rawPredictionCol=raw,
+        predictionCol=best, family="multinomial", maxIter=15, regParam=1e-3,
     )
     scored = Pipeline(stages=[*features, fit]).fit(sample).transform(texts)
-    p = vector_to_array("_p")
+    shares = vector_to_array(p)
     # Domains behind the last one seen have no entry in the model.
     return scored.select(
-        *docs.columns, counts, *[F.coalesce(F.try_element_at(p, F.lit(k + 1)), F.lit(0.0)).alias(f"p_{k}") for k in range(len(domains))]
+        *docs.columns, counts, *[F.coalesce(F.try_element_at(shares, F.lit(k + 1)), F.lit(0.0)).alias(f"p_{k}") for k in range(len(domains))]
     )
 
 
@@ -158,16 +162,18 @@ def mix(
     """
     domains = sorted(targets)
     inner = [f"p_{d}" for d in range(len(domains))]
-    base = docs.drop("n_tokens", "posteriors", "rate", "copies", "_even", *inner)
-    kept = list(keep or base.columns)
+    added = ("n_tokens", "posteriors", "rate", "copies")
+    kept = list(keep or [c for c in docs.columns if c.lower() not in added])
+    own = [f"own_{k}" for k in range(len(kept))]
+    base = docs.select("doc_id", "text", *[F.col(c).alias(o) for c, o in zip(kept, own, strict=True)])
     even = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # One scoring pass; the steps read its table, not the texts.
     rows = stage(
-        posteriors(base, labelled, domains).withColumn("_even", even).select(*kept, "n_tokens", "_even", *inner), "posteriors"
+        posteriors(base, labelled, domains).select(*own, "n_tokens", even.alias("even"), *inner), "posteriors"
     )
     rate = fit_rates(rows, [targets[d] for d in domains], budget)
     return rows.withColumn("rate", rate).select(
-        *kept, "n_tokens",
+        *[F.col(o).alias(c) for c, o in zip(kept, own, strict=True)], "n_tokens",
         F.array(*inner).alias("posteriors"),
-        "rate", F.floor(F.col("rate") + F.col("_even")).cast("int").alias("copies"),
+        "rate", F.floor(F.col("rate") + F.col("even")).cast("int").alias("copies"),
     )

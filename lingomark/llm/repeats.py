@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingomark.llm import suffixes
+from lingomark.llm.columns import spare
 from lingomark.session import stage
 
 LENGTH = 400
@@ -169,7 +170,11 @@ def _work(rows: DataFrame) -> DataFrame:
     common = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("anchor")
     again = stage(rows.join(common, "anchor", "left_semi"), "anchors-again")
     one = F.xxhash64("h", "g", "place")
-    kinds = again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("chosen"))
+    # Written, so that the kinds of an anchor are added up in the map tasks, and the join by anchor, which
+    # the adaptive planner can split, is the only step that brings a hot anchor's kinds together.
+    kinds = stage(
+        again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("chosen")), "kinds"
+    )
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     known = kinds.join(crowds, "anchor")
     # A segment that occurs once is compared for itself, one of several as their representative.
@@ -265,7 +270,7 @@ def _sorted_runs(texts: DataFrame) -> DataFrame:
 
 
 _ENTRY = np.dtype([("lo", "<u8"), ("hi", "<u8"), ("h", "<i8"), ("g", "<i4"), ("many", "?"), ("at", "<i8")])
-_BUCKETS = 1 << 12
+_BUCKET_BYTES = 32 << 20  # entries of a bucket that a task holds
 
 
 def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,7 +294,13 @@ def _by_text(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows["h"][new]), pa.array(rows["g"][new]), ats], ["h", "g", "ats"])
 
 
-def _counted(texts: DataFrame, starts_of, width: int, skip: int) -> DataFrame:
+def _buckets(texts: DataFrame, step: int) -> int:
+    """Buckets for the hashes of every ``step``-th start of the texts: their number follows the input."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1 << 12, -(-size // step * _ENTRY.itemsize // _BUCKET_BYTES))
+
+
+def _counted(texts: DataFrame, starts_of, width: int, skip: int, buckets: int) -> DataFrame:
     """(h, g, ats): starts whose ``width`` bytes, ``skip`` behind them, occur at two starts or more.
 
     Starts that already repeat inside a batch are told by the batch, and only one of them goes on to the
@@ -315,7 +326,7 @@ def _counted(texts: DataFrame, starts_of, width: int, skip: int) -> DataFrame:
                 [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), *told.columns], ["bucket", "data", "h", "g", "ats"]
             )
             rows = rows[opens]
-            bucket = (rows["lo"] % np.uint64(_BUCKETS)).astype(np.int64)
+            bucket = (rows["lo"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -354,14 +365,16 @@ def _compared_runs(docs: DataFrame, work: DataFrame) -> DataFrame:
     """(h, g, runs) at the places where different segments share an anchor."""
     texts = stage(_texts_to_compare(docs, work), "compared")
     # Blocks are counted from the anchor, so that equal surroundings have equal blocks.
-    blocks = _counted(texts, _block_starts, LENGTH - CORE + 1, CORE - 1)
+    blocks = _counted(texts, _block_starts, LENGTH - CORE + 1, CORE - 1, _buckets(texts, CORE))
     chosen = blocks.groupBy("h", "g").agg(F.flatten(F.collect_list("ats")).alias("ats"))
     kept = stage(texts.join(chosen, _KEY).select("h", "g", "places", "text", "ats"), "repeating")
     runs = _sorted_runs(kept).select("h", "g", F.array(F.struct("start", "behind")).alias("runs"))
     crowds = kept.where(F.exists("places", lambda p: p["crowd"]))
     if not crowds.limit(1).count():
         return runs
-    singles = _counted(crowds.select("h", "g", F.struct("places", "ats").alias("places"), "text"), _single_starts, LENGTH, 0)
+    singles = _counted(
+        crowds.select("h", "g", F.struct("places", "ats").alias("places"), "text"), _single_starts, LENGTH, 0, _buckets(crowds, 1)
+    )
     counted = singles.select("h", "g", F.transform("ats", lambda a: F.struct(a.alias("start"), (a + LENGTH).alias("behind"))).alias("runs"))
     return runs.union(counted)
 
@@ -433,7 +446,10 @@ def remaining(text: bytes, spans: list[dict]) -> bytes:
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_run, passage.
+
+    ``longest_run`` is the longest removed run in bytes; ``passage`` says that a part of the text goes and
+    not the text as a whole, as it does for texts that occur twice.
 
     A byte goes if a string of 400 bytes over it also starts anywhere else, in the same text too. A null
     text is empty; texts of fewer than 400 bytes lose nothing; rows with equal texts, repeated rows among
@@ -443,7 +459,8 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     covered = _covered(keyed)
     rows = keyed.select("doc", "h", "g", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    found = rows.join(covered.select("h", "g", "n_removed", F.size("spans").cast("long").alias("n_spans")), _KEY, "left")
+    longest = F.array_max(F.transform("spans", lambda s: s["behind"] - s["start"])).alias("longest")
+    found = rows.join(covered.select("h", "g", "n_removed", F.size("spans").cast("long").alias("n_spans"), longest), _KEY, "left")
     # Only texts of which a part stays have to be read again.
     partial = covered.select("h", "g", "spans")
 
@@ -469,15 +486,19 @@ def repeat_report(docs: DataFrame) -> DataFrame:
             F.when(F.col("n_removed").isNull(), F.col("sha"))
             .when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit(""), 256))
             .otherwise(F.col("kept")).alias("kept_sha256"),
+            F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"),
+            F.coalesce(F.col("n_removed") < F.col("n_bytes"), F.lit(False)).alias("passage"),
         )
     )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the removed bytes cut out of ``text``; characters cut in two go whole."""
-    key = [F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("_g")]
-    covered = _covered(_keyed(docs)).select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("spans").alias("_spans"))
-    rows = docs.select(*docs.columns, *key).join(covered, ["_h", "_g"], "left").select(*docs.columns, "_spans")
+    h, g, spans_of = spare(docs.columns, "h", "g", "spans")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = [F.xxhash64(text).alias(h), F.hash(text).alias(g)]
+    covered = _covered(_keyed(docs)).select(F.col("h").alias(h), F.col("g").alias(g), F.col("spans").alias(spans_of))
+    rows = docs.select(*docs.columns, *key).join(covered, [h, g], "left").select(*docs.columns, spans_of)
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

