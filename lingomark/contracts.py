@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Column names and their order per contract.
@@ -46,6 +46,14 @@ def contract_columns(name: str, embedding_size: int = EMBEDDING_SIZE) -> tuple[s
     return CONTRACTS[name]
 
 
+def scalar_columns(name: str) -> tuple[str, ...]:
+    """Columns of a contract besides its embedding, where that is kept as one array."""
+    heads = {"emb384": (), "full": FULL_HEAD}
+    if name not in heads:
+        raise KeyError(f"Feature contract without an embedding: {name}")
+    return heads[name]
+
+
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     present = set(df.columns)
     return [c for c in required if c not in present]
@@ -90,8 +98,3 @@ def schema_listing(df: DataFrame) -> DataFrame:
     """Columns of a table as a table: position, name, type."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string")
-
-
-def default_features(names: Sequence[str] = AUDIO_COLUMNS) -> list[Column]:
-    """Zero-valued columns that stand in for clips without usable audio."""
-    return [F.lit(0.0).alias(n) for n in names]

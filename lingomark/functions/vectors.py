@@ -48,12 +48,6 @@ def replace_zero(vector: Column, key: Column, size: int, scale: float = NOISE_SC
     return F.when(is_zero(vector), noise(key, size, scale)).otherwise(vector)
 
 
-def norm(vector: Column) -> Column:
-    return F.sqrt(
-        F.aggregate(vector, F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double"))
-    )
-
-
 def masked_mean(hidden: Column, mask: Column, size: int) -> Column:
     """Mean of token vectors (array of arrays) over the tokens whose mask is 1."""
     weighted = F.zip_with(hidden, mask, lambda h, m: F.transform(h, lambda v: v * m))

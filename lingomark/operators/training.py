@@ -8,16 +8,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingomark.contracts import contract_columns, require_columns
+from lingomark.contracts import EMBEDDING_SIZE, contract_columns, require_columns, scalar_columns
 from lingomark.functions.numeric import ensemble_mean
+from lingomark.functions.vectors import guard
 from lingomark.operators.split import SEED, exact_split
 from lingomark.operators.stats import error_metrics
+from lingomark.session import stage
 
 # Trees, step size and depth of the boosted regressors, by use.
 GBT_PRESETS: dict[str, dict[str, float]] = {
@@ -29,14 +31,26 @@ GBT_PRESETS: dict[str, dict[str, float]] = {
 }
 FOREST_TREES = 10
 
+# Feature values of a training task.
+CELLS_PER_TASK = 1 << 20
+
+# Working column of an embedding among the features.
+VECTOR = "_embedding"
+
 
 @dataclass(frozen=True)
 class Scorer:
-    """A fitted model with the feature contract it was trained on."""
+    """A fitted model with the feature contract it was trained on.
+
+    ``columns`` are its numeric columns in their order. Contracts with an embedding have it behind them
+    as one array column, ``vector``, of ``size`` values.
+    """
 
     contract: str
     columns: tuple[str, ...]
     model: PipelineModel
+    vector: str | None = None
+    size: int = 0
 
 
 def gbt(preset: str = "embedding", **changes) -> GBTRegressor:
@@ -52,32 +66,77 @@ def forest(**changes) -> RandomForestRegressor:
     )
 
 
+def compact(df: DataFrame, width: int, cells: int = CELLS_PER_TASK) -> DataFrame:
+    """The rows in as many partitions as their number and ``width`` ask for, written.
+
+    Boosting runs several small jobs per tree over one input, so its tasks should be neither many nor large.
+    """
+    rows = stage(df, "training")
+    parts = max(1, -(-rows.count() * width // cells))
+    return rows.coalesce(parts)
+
+
+def _inputs(columns: Sequence[str], vector: str | None, size: int) -> list[Column]:
+    """The features of a row: numbers as doubles, the array as a vector of its declared size."""
+    plain = [F.col(c).cast("double").alias(c) for c in columns]
+    return plain if vector is None else [*plain, array_to_vector(guard(F.col(vector), size)).alias(VECTOR)]
+
+
+def _usable(columns: Sequence[str], vector: str | None, size: int) -> Column:
+    """Whether a row has every feature: no NULL, no NaN, an array of the declared size."""
+    checks = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    if vector is not None:
+        whole = (F.array_size(vector) == size) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))
+        checks.append(F.coalesce(whole, F.lit(False)))
+    return reduce(and_, checks)
+
+
 def fit_scorer(
-    df: DataFrame, contract: str, regressor, columns: Sequence[str] | None = None
+    df: DataFrame,
+    contract: str,
+    regressor,
+    columns: Sequence[str] | None = None,
+    vector: str | None = None,
+    size: int = EMBEDDING_SIZE,
 ) -> Scorer:
-    """Fit on the contract's columns in the contract's order; ``label`` is the target."""
-    ordered = tuple(columns if columns is not None else contract_columns(contract))
-    require_columns(df, [*ordered, "label"])
-    assembler = VectorAssembler(inputCols=list(ordered), outputCol="features")
-    train = df.select(*[F.col(c).cast("double").alias(c) for c in ordered], F.col("label").cast("double"))
-    return Scorer(contract, ordered, Pipeline(stages=[assembler, regressor]).fit(train))
+    """Fit on the contract's columns in the contract's order; ``label`` is the target.
+
+    With ``vector`` the embedding of a contract stays one array column, which joins the others in the
+    assembler, instead of ``size`` scalar columns. A row without a feature or label is an error: drop
+    or fill such rows before.
+    """
+    if columns is None:
+        columns = contract_columns(contract) if vector is None else scalar_columns(contract)
+    ordered = tuple(columns)
+    require_columns(df, [*ordered, *([] if vector is None else [vector]), "label"])
+    inputs = [*ordered] if vector is None else [*ordered, VECTOR]
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    hint = [] if vector is None else [VectorSizeHint(inputCol=VECTOR, size=size, handleInvalid="optimistic")]
+    target = F.col("label").cast("double").alias("label")
+    whole = _usable(ordered, vector, size) & target.isNotNull()
+    refused = F.raise_error(F.lit("A training row lacks a feature or its label"))
+    train = df.select(*_inputs(ordered, vector, size), F.when(whole, target).otherwise(refused.cast("double")).alias("label"))
+    model = Pipeline(stages=[*hint, assembler, regressor]).fit(train)
+    return Scorer(contract, ordered, model, vector, 0 if vector is None else size)
 
 
 def apply_scorer(df: DataFrame, scorer: Scorer, output: str = "prediction") -> DataFrame:
     """Predict for the whole table; a missing feature column is an error.
 
-    Rows with a NULL or NaN feature get a NULL score and do not stop the others. The caller's own
-    columns are kept, whatever the model calls its working columns; one named ``output`` is replaced.
+    Rows with a NULL or NaN feature, or an array of another size, get a NULL score and do not stop the
+    others. The caller's own columns are kept, whatever the model calls its working columns; one named
+    ``output`` is replaced.
     """
-    require_columns(df, scorer.columns)
+    require_columns(df, [*scorer.columns, *([] if scorer.vector is None else [scorer.vector])])
     kept = [c for c in df.columns if c != output]
-    assembler, *stages = scorer.model.stages
-    model = PipelineModel([assembler.copy().setHandleInvalid("keep"), *stages])
-    plain = [F.col(c).cast("double").alias(c) for c in scorer.columns]
-    rows = df.select(F.struct(*kept).alias("_row"), *plain)
-    usable = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in scorer.columns])
+    *hint, assembler, regressor = scorer.model.stages
+    model = PipelineModel([*hint, assembler.copy().setHandleInvalid("keep"), regressor])
+    usable = _usable(scorer.columns, scorer.vector, scorer.size)
+    rows = df.select(
+        F.struct(*kept).alias("_row"), usable.alias("_usable"), *_inputs(scorer.columns, scorer.vector, scorer.size)
+    )
     scored = model.transform(rows)
-    return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.when(usable, F.col("prediction")).alias(output))
+    return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.when(F.col("_usable"), F.col("prediction")).alias(output))
 
 
 def fit_vectors(df: DataFrame, vector: str, regressor) -> PipelineModel:
@@ -87,23 +146,33 @@ def fit_vectors(df: DataFrame, vector: str, regressor) -> PipelineModel:
 
 
 def apply_vectors(df: DataFrame, vector: str, model: PipelineModel, output: str = "prediction") -> DataFrame:
-    scored = model.transform(df.withColumn("features", array_to_vector(vector)))
-    return scored.withColumnRenamed("prediction", output).drop("features")
+    """Like :func:`apply_scorer` for a model of :func:`fit_vectors`: NULL where the array is not usable."""
+    size = model.stages[-1].numFeatures
+    kept = [c for c in df.columns if c != output]
+    rows = df.select(
+        F.struct(*kept).alias("_row"),
+        _usable((), vector, size).alias("_usable"),
+        array_to_vector(guard(F.col(vector), size)).alias("features"),
+    )
+    scored = model.transform(rows)
+    return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.when(F.col("_usable"), F.col("prediction")).alias(output))
+
+
+CONTRACT_TYPE = "contract string, columns array<string>, vector string, size int"
 
 
 def save_scorer(scorer: Scorer, path: str) -> None:
     """Save the model and, next to it, its contract with the column order."""
     scorer.model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.active()
-    record = spark.createDataFrame(
-        [(scorer.contract, list(scorer.columns))], "contract string, columns array<string>"
-    )
+    record = spark.createDataFrame([(scorer.contract, list(scorer.columns), scorer.vector, scorer.size)], CONTRACT_TYPE)
     record.write.mode("overwrite").json(f"{path}/contract")
 
 
 def load_scorer(spark: SparkSession, path: str) -> Scorer:
-    record = spark.read.schema("contract string, columns array<string>").json(f"{path}/contract").first()
-    return Scorer(record["contract"], tuple(record["columns"]), PipelineModel.load(f"{path}/model"))
+    record = spark.read.schema(CONTRACT_TYPE).json(f"{path}/contract").first()
+    model = PipelineModel.load(f"{path}/model")
+    return Scorer(record["contract"], tuple(record["columns"]), model, record["vector"], record["size"] or 0)
 
 
 def train_and_evaluate(
@@ -124,12 +193,13 @@ def train_and_evaluate(
     return scorer, metrics
 
 
-def stacked_score(df: DataFrame, first: Scorer, second: Scorer, output: str = "grammar_score") -> DataFrame:
-    """The first score becomes feature ``grammar_score_model`` of the second; both are averaged."""
+def stacked_score(
+    df: DataFrame, first: Scorer, second: Scorer, output: str = "grammar_score", second_output: str = "second_score"
+) -> DataFrame:
+    """The first score becomes feature ``grammar_score_model`` of the second; both are kept, and averaged."""
     base = apply_scorer(df, first, "grammar_score_model")
-    stacked = apply_scorer(base, second, "_second")
-    score = ensemble_mean(F.col("grammar_score_model"), F.col("_second"))
-    return stacked.withColumn(output, score).drop("_second")
+    stacked = apply_scorer(base, second, second_output)
+    return stacked.withColumn(output, ensemble_mean(F.col("grammar_score_model"), F.col(second_output)))
 
 
 def compare_scores(df: DataFrame, key: str, first: Column, second: Column) -> DataFrame:

@@ -36,7 +36,7 @@ from lingomark.operators.cleaning import default_audio, keep_failed
 from lingomark.operators.embedding import hashed_embedding
 from lingomark.operators.resolve import resolve
 from lingomark.operators.training import Scorer, apply_scorer
-from lingomark.plans.correction import cascade
+from lingomark.plans.correction import cascade, corrected
 from lingomark.session import stage
 from lingomark.sources.audio import FEATURE_FIELDS, audio_features, feature_table, split_by_size
 
@@ -72,20 +72,35 @@ def rule_score(text: Column, corrected: Column) -> Column:
 
 
 def correct_and_score(
-    df: DataFrame, text: str, corrector: Corrector = cascade, error: str | None = None
+    df: DataFrame,
+    text: str,
+    corrector: Corrector = cascade,
+    error: str | None = None,
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
+    correction_error: str | None = None,
 ) -> DataFrame:
-    """Add ``corrected_text`` and ``grammar_score``; failed rows keep their error as text."""
-    corrected = df.withColumn("corrected_text", F.coalesce(corrector(F.col(text)), F.col(text)))
-    scored = corrected.withColumn("grammar_score", rule_score(F.col(text), F.col("corrected_text")))
+    """Add ``corrected_text`` and ``grammar_score``; failed rows keep their error as text.
+
+    ``load_corrector`` is a Python model to correct with, followed by ``rules``; ``correction_error``
+    names a column for its failures, which leave the text as it is.
+    """
+    fixed = corrected(df, text, corrector, load_corrector, rules, "corrected_text", correction_error)
+    scored = fixed.withColumn("grammar_score", rule_score(F.col(text), F.col("corrected_text")))
     if error is None:
         return scored
     return keep_failed(scored, [text, "corrected_text"], "grammar_score", error)
 
 
-def results_from_transcripts(transcripts: DataFrame, corrector: Corrector = cascade) -> DataFrame:
+def results_from_transcripts(
+    transcripts: DataFrame,
+    corrector: Corrector = cascade,
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
+) -> DataFrame:
     """Detail table of a transcript table; ``error`` marks failed transcriptions when present."""
     error = "error" if "error" in transcripts.columns else None
-    done = correct_and_score(transcripts, "transcript", corrector, error)
+    done = correct_and_score(transcripts, "transcript", corrector, error, load_corrector, rules)
     return done.select("filename", "transcript", "grammar_score", "corrected_text")
 
 
@@ -170,7 +185,12 @@ AUDIO_VARIANTS = {
 
 
 def feature_dataset(
-    transcripts: DataFrame, files: DataFrame, corrector: Corrector = cascade, variant: str = "framed"
+    transcripts: DataFrame,
+    files: DataFrame,
+    corrector: Corrector = cascade,
+    variant: str = "framed",
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
 ) -> DataFrame:
     """Training table: audio features, text features, difference score and label per clip.
 
@@ -186,7 +206,7 @@ def feature_dataset(
         F.lit(True).alias("_found"),
     )
     texts = with_text_features(transcripts, "transcript", at_least_one=True)
-    texts = texts.withColumn("corrected_text", corrector(F.col("transcript")))
+    texts = corrected(texts, "transcript", corrector, load_corrector, rules)
     texts = texts.withColumn(
         "grammar_score_model", word_diff_score(F.col("transcript"), F.col("corrected_text"))
     )
@@ -213,8 +233,8 @@ def with_error_features(df: DataFrame, text: str, rules: Sequence[Rule]) -> Data
     return counted.withColumn("grammar_ratio", grammar_ratio(F.col("num_errors"), num_words(F.col(text))))
 
 
-def full_features(df: DataFrame, text: str, rules: Sequence[Rule], size: int = EMBEDDING_SIZE) -> DataFrame:
-    """The widest contract: text, rule, audio and embedding features as scalar columns.
+def full_vectors(df: DataFrame, text: str, rules: Sequence[Rule], size: int = EMBEDDING_SIZE) -> DataFrame:
+    """The widest contract: text, rule and audio features as columns, the embedding as one array.
 
     Audio columns that are absent become 0, as does the score of a first model.
     """
@@ -222,7 +242,12 @@ def full_features(df: DataFrame, text: str, rules: Sequence[Rule], size: int = E
     present = set(df.columns)
     ready = df.withColumns({c: F.lit(0.0) for c in names if c not in present})
     ready = with_error_features(with_text_features(default_audio(ready, names), text), text, rules)
-    return widen(hashed_embedding(ready, text, size), "embedding", size)
+    return hashed_embedding(ready, text, size)
+
+
+def full_features(df: DataFrame, text: str, rules: Sequence[Rule], size: int = EMBEDDING_SIZE) -> DataFrame:
+    """:func:`full_vectors` with the embedding as ``size`` scalar columns, for wide exports."""
+    return widen(full_vectors(df, text, rules, size), "embedding", size)
 
 
 def model_score(df: DataFrame, text: str, scorer: Scorer, output: str = "grammar_score") -> DataFrame:
@@ -264,14 +289,17 @@ def batch_job(
     scorer: Scorer | None = None,
     corrector: Corrector = cascade,
     recognise: str = "content",
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
 ) -> DataFrame:
     """Detail table of a manifest of clips.
 
-    A clip without usable features is scored with zeros for them, as long as it has a transcript;
+    With ``load_corrector`` a Python model corrects each distinct chunk of the transcripts once,
+    followed by ``rules``; a transcript it fails on stays as it is and scores as unchanged. A clip without usable features is scored with zeros for them, as long as it has a transcript;
     a clip that could not be transcribed keeps its error as text and scores 0.
     """
     clips = clip_table(manifest, files, load_recogniser, recognise)
-    done = correct_and_score(clips, "transcript", corrector)
+    done = correct_and_score(clips, "transcript", corrector, load_corrector=load_corrector, rules=rules)
     if scorer is not None:
         done = model_score(done.drop("grammar_score"), "transcript", scorer)
     done = keep_failed(done, ["transcript", "corrected_text"], "grammar_score", "clip_error")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingomark.functions.text import choose_text
+from lingomark.functions.text import Rule, choose_text
+from lingomark.operators.apply_model import Predictor
 from lingomark.operators.training import Scorer
 from lingomark.plans.batch import model_score, rule_score
-from lingomark.plans.correction import cascade
+from lingomark.plans.correction import cascade, corrected
 
 # Messages and field names of a response.
 NO_INPUT = "Please provide either an audio file or text input."
@@ -46,11 +47,15 @@ def respond(
     scorer: Scorer | None = None,
     prefer_audio: bool = False,
     no_input: str = NO_INPUT,
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
 ) -> DataFrame:
     """Add the response fields to a request table.
 
-    Scores with ``scorer`` when given, otherwise by the share of changed words. Row by row, so the
-    same function serves batch tables and streams.
+    Scores with ``scorer`` when given, otherwise by the share of changed words. The same function
+    serves batch tables and streams. A Python model (``load_corrector``, followed by ``rules``) sees
+    each distinct chunk of a table once, and the chunks of a stream row by row; it is not asked about
+    refused requests.
     """
     heard = F.lit(None).cast("string") if transcript is None else transcript
     failure = F.lit(None).cast("string") if audio_error is None else audio_error
@@ -62,7 +67,11 @@ def respond(
             "originalText": choose_text(text_input, heard, prefer_audio),
         }
     )
-    fixed = chosen.withColumn("correctedText", corrector(F.col("originalText")))
+    if load_corrector is None:
+        fixed = chosen.withColumn("correctedText", corrector(F.col("originalText")))
+    else:
+        asked = chosen.withColumn("_asked", F.when(F.col("error").isNull(), F.col("originalText")))
+        fixed = corrected(asked, "_asked", load_corrector=load_corrector, rules=rules, output="correctedText").drop("_asked")
     if scorer is None:
         score = rule_score(F.col("originalText"), F.col("correctedText"))
         scored = fixed.withColumn("grammarScore", score)

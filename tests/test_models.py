@@ -88,6 +88,100 @@ def test_cascade_with_predictor(spark):
     assert got[3] == long + "bad" and got[4] == "bad"
 
 
+def test_distinct_units_are_asked_once(spark, tmp_path):
+    """The predictor leaves a file per call: every distinct unit stands in exactly one of them."""
+    calls = str(tmp_path)
+
+    def load():
+        import uuid
+
+        def predict(units):
+            with open(f"{calls}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\0".join(units))
+            if any("bad" in unit for unit in units):
+                raise ValueError("refused")
+            return [unit.upper() for unit in units]
+
+        return predict
+
+    long = "first part. " * 60
+    texts = ["short i.", None, long, long + "bad", "bad", ""] * 3 + ["short i."] * 500
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    done = correction.cascade_distinct(rows, "t", load, output="t2", error="why")
+    plain = correction.cascade_with_predictor(rows, "t", upper, output="t2", error="why")
+    assert done.columns == ["id", "t", "t2", "why"]
+    got = {r["id"]: (r["t2"], r["why"]) for r in done.collect()}
+    want = {r["id"]: (r["t2"], "refused" if r["why"] else None) for r in plain.collect()}
+    assert got == want and got[0] == ("SHORT I.", None) and got[4] == ("bad", "refused") and got[1] == (None, None)
+    asked = [unit for file in tmp_path.iterdir() for unit in file.read_text().split("\0") if "bad" not in unit]
+    assert asked.count("short i.") <= 4  # once, and again in the halves of a batch with a unit that failed
+
+
+def test_own_columns_survive_a_distinct_correction(spark):
+    rows = spark.createDataFrame([("a", "x", 1, 2), ("a", "x", 1, 2)], "t string, unit string, at int, answer int")
+    done = correction.cascade_distinct(rows, "t", upper)
+    assert done.columns == ["t", "unit", "at", "answer", "corrected_text"]
+    assert [tuple(r) for r in done.collect()] == [("a", "x", 1, 2, "A")] * 2
+    assert correction.cascade_distinct(rows.limit(0), "t", upper).count() == 0
+
+
+def test_a_dead_model_ends_the_job(spark):
+    def dead():
+        def predict(items):
+            raise RuntimeError("no weights")
+
+        return predict
+
+    rows = spark.range(300, numPartitions=2).select("id", F.col("id").cast("string").alias("t"))
+    with pytest.raises(Exception, match="the model failed on .* of .* inputs of a task, last: no weights"):
+        rows.select(apply_model.apply_model(F.col("t"), dead)).collect()
+    with pytest.raises(Exception, match="no weights"):
+        correction.cascade_with_predictor(rows, "t", dead).collect()
+    # Too few inputs to judge: they are error rows.
+    few = rows.limit(10).select("id", apply_model.apply_model(F.col("t"), dead).alias("a"))
+    assert few.where("a.error = 'no weights'").count() == 10
+
+
+def test_a_budget_of_failures(spark):
+    def half():
+        def predict(items):
+            if any(int(i) % 2 for i in items):
+                raise ValueError("odd")
+            return items
+
+        return predict
+
+    rows = spark.range(400, numPartitions=2).select(F.col("id").cast("string").alias("t"))
+    done = rows.select(apply_model.apply_model(F.col("t"), half).alias("a")).select("a.*")
+    assert done.where("error IS NOT NULL").count() == 200
+    with pytest.raises(Exception, match="of a task"):
+        rows.select(apply_model.apply_model(F.col("t"), half, max_failed=0.4)).collect()
+    assert apply_model.require_success(done, "error").count() == 400
+    with pytest.raises(apply_model.ModelFailed, match="200 of 400"):
+        apply_model.require_success(done, "error", 0.5)
+
+
+def test_a_loader_that_fails_ends_the_job(spark):
+    def load():
+        raise OSError("no such model")
+
+    with pytest.raises(Exception, match="no such model"):
+        spark.range(3).select(apply_model.apply_model(F.col("id").cast("string"), load)).collect()
+
+
+def test_hot_keys_are_spread(spark):
+    from lingomark.operators import resolve
+
+    keys = ["hot"] * 3000 + [None] * 1000 + [f"k{k % 400}" for k in range(2000)] + ["gone"]
+    left = spark.createDataFrame([(k, key) for k, key in enumerate(keys)], "id int, key string")
+    right = spark.createDataFrame([("hot", 1)] + [(f"k{k}", k) for k in range(400)], "key string, value int")
+    done = resolve.join_content(left, right, "key", ["id"], parts=16)
+    got = {r["id"]: r["value"] for r in done.collect()}
+    known = {"hot": 1} | {f"k{k}": k for k in range(400)}
+    assert got == {k: known.get(key) for k, key in enumerate(keys)} and done.count() == len(keys)
+    assert done.columns == ["key", "id", "value"]
+
+
 @pytest.fixture(scope="module")
 def features(spark):
     rows = spark.range(300).select(
@@ -140,6 +234,58 @@ def test_vectors_need_no_widening(spark):
         assert abs(row["prediction"] - row["label"]) < 1.5
 
 
+def test_vectors_keep_the_callers_columns(spark):
+    rows = spark.range(200).select(
+        "id", F.array(F.col("id") % 10 / 10.0, F.lit(1.0)).alias("e"), (F.col("id") % 10 / 2.0).alias("label"),
+        F.lit("mine").alias("features"), F.lit("own").alias("prediction"),
+    )
+    model = training.fit_vectors(rows, "e", training.forest(numTrees=2))
+    odd = rows.withColumn("e", F.when(F.col("id") == 3, F.array(F.lit(1.0))).when(F.col("id") > 4, F.col("e")))
+    done = training.apply_vectors(odd, "e", model, "score")
+    assert done.columns == [*rows.columns, "score"]
+    got = {r["id"]: r for r in done.collect()}
+    assert got[3]["score"] is None and got[4]["score"] is None and got[5]["score"] is not None
+    assert got[5]["features"] == "mine" and got[5]["prediction"] == "own"
+
+
+@pytest.mark.parametrize("contract", ["full", "emb384"])
+def test_array_contracts(spark, features, contract, tmp_path):
+    """The same trees, whether the embedding is one array column or a column per value."""
+    size = 6
+    extra = [F.lit(float(k)).alias(c) for k, c in enumerate(("num_errors", "grammar_ratio", "grammar_score_model"))]
+    vector = F.array(*[(F.col("id") * (k + 3) % 11 / 11.0) for k in range(size)]).alias("embedding")
+    rows = features.select("*", *extra, vector)
+    scorer = training.fit_scorer(rows, contract, training.forest(numTrees=3), vector="embedding", size=size)
+    columns = contracts.contract_columns(contract, size)
+    wide = contracts.widen(rows, "embedding", size)
+    plain = training.fit_scorer(wide, contract, training.forest(numTrees=3), columns)
+    one = {r["id"]: r["prediction"] for r in training.apply_scorer(rows, scorer).collect()}
+    assert one == {r["id"]: r["prediction"] for r in training.apply_scorer(wide, plain).collect()}
+    training.save_scorer(scorer, str(tmp_path / contract))
+    loaded = training.load_scorer(spark, str(tmp_path / contract))
+    assert (loaded.columns, loaded.vector, loaded.size) == (scorer.columns, "embedding", size)
+    broken = rows.withColumn(
+        "embedding", F.when(F.col("id") == 0, F.array(F.lit(1.0))).when(F.col("id") == 1, F.lit(None)).when(
+            F.col("id") == 2, F.transform("embedding", lambda v: v * F.lit(float("nan")))).otherwise(F.col("embedding"))
+    )
+    got = {r["id"]: r["prediction"] for r in training.apply_scorer(broken, loaded).collect()}
+    assert [got[k] for k in range(3)] == [None] * 3 and {k: v for k, v in got.items() if k > 2} == {k: v for k, v in one.items() if k > 2}
+    with pytest.raises(Exception, match="lacks a feature"):
+        training.fit_scorer(broken, contract, training.forest(numTrees=1), vector="embedding", size=size)
+
+
+def test_stacked_full_contract(spark, features):
+    rows = features.withColumn("t", F.concat_ws(" ", F.lit("u r"), "id"))
+    first = training.fit_scorer(rows, "hybrid7", training.forest(numTrees=2))
+    ready = batch.full_vectors(rows, "t", text.WORD_RULES, size=5).drop("grammar_score_model")
+    with_first = training.apply_scorer(ready, first, "grammar_score_model")
+    second = training.fit_scorer(with_first, "full", training.forest(numTrees=2), vector="embedding", size=5)
+    done = training.stacked_score(ready, first, second)
+    assert not [c for c in done.columns if c.startswith("emb_")]
+    for r in done.collect():
+        assert r["grammar_score"] == pytest.approx((r["grammar_score_model"] + r["second_score"]) / 2)
+
+
 def test_contract_probe(spark, features):
     scorer = training.fit_scorer(features, "hybrid7", training.forest(numTrees=2))
     basic = {"num_words": 10, "avg_word_len": 5.0, "text_length": 50}
