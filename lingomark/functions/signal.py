@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,19 @@ def frames(samples: Column, length: int = FRAME_LENGTH, hop: int = HOP_LENGTH) -
 
 def frame_rms(frame: Column) -> Column:
     return rms_global(frame)
+
+
+def frame_mean(
+    samples: Column, feature: Callable[[Column], Column], length: int = FRAME_LENGTH, hop: int = HOP_LENGTH
+) -> Column:
+    """Mean of a per-frame feature over the full frames of a waveform, inside its row.
+
+    One frame is cut at a time: neither the frames nor their rows are held, and nothing is shuffled. NULL
+    when the waveform is shorter than one frame.
+    """
+    count = F.floor((F.array_size(samples) - length) / hop).cast("int") + 1
+    starts = F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)
+    total = F.aggregate(
+        starts, F.lit(0.0), lambda sum_, i: sum_ + feature(F.slice(samples, i * hop + 1, F.lit(length)))
+    )
+    return F.when(F.array_size(samples) >= length, total / count)

@@ -18,6 +18,9 @@ TEMPO_PRIOR = 120.0
 TEMPO_RANGE = (30.0, 300.0)
 FRAMES_PER_BLOCK = 512
 
+# Samples per channel that are decoded at a time.
+BLOCK_SAMPLES = 1 << 18
+
 ROW_FIELDS = [
     "sr",
     "channels",
@@ -35,25 +38,42 @@ ROW_FIELDS = [
 ]
 
 
-def read_wav(content: bytes, seconds: float | None = None) -> tuple[int, int, np.ndarray]:
-    """Sample rate, channel count and samples (frames x channels) in [-1, 1)."""
-    with wave.open(io.BytesIO(content)) as clip:
-        rate, channels, width = clip.getframerate(), clip.getnchannels(), clip.getsampwidth()
-        count = clip.getnframes() if seconds is None else min(clip.getnframes(), int(rate * seconds))
-        raw = clip.readframes(count)
-    if rate <= 0 or len(raw) == 0:
-        raise ValueError("no audio data")
+def _values(raw: bytes, width: int) -> np.ndarray:
+    """Samples in [-1, 1) of little-endian PCM bytes."""
     if width == 1:
-        values = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128.0) / 128.0
-    elif width == 3:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128.0) / 128.0
+    if width == 3:
         triples = np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3)
         wide = np.zeros((len(triples), 4), np.uint8)
         wide[:, 1:] = triples
-        values = wide.view("<i4")[:, 0] / 2147483648.0
-    else:
-        values = np.frombuffer(raw[: len(raw) // width * width], f"<i{width}") / float(1 << (8 * width - 1))
-    whole = len(values) // channels * channels
-    return rate, channels, values[:whole].reshape(-1, channels)
+        return wide.view("<i4")[:, 0] / 2147483648.0
+    return np.frombuffer(raw[: len(raw) // width * width], f"<i{width}") / float(1 << (8 * width - 1))
+
+
+def wav_blocks(content: bytes, seconds: float | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Sample rate, channel count and consecutive blocks of samples (frames x channels)."""
+    with wave.open(io.BytesIO(content)) as clip:
+        rate, channels, width = clip.getframerate(), clip.getnchannels(), clip.getsampwidth()
+        left = clip.getnframes() if seconds is None else min(clip.getnframes(), int(rate * seconds))
+        if rate <= 0:
+            raise ValueError("no audio data")
+        found = False
+        while left > 0:
+            values = _values(clip.readframes(min(left, BLOCK_SAMPLES)), width)
+            whole = len(values) // channels * channels
+            if not whole:
+                break
+            found = True
+            left -= whole // channels
+            yield rate, channels, values[:whole].reshape(-1, channels)
+    if not found:
+        raise ValueError("no audio data")
+
+
+def read_wav(content: bytes, seconds: float | None = None) -> tuple[int, int, np.ndarray]:
+    """Sample rate, channel count and all samples (frames x channels)."""
+    blocks = list(wav_blocks(content, seconds))
+    return blocks[0][0], blocks[0][1], np.concatenate([samples for _, _, samples in blocks])
 
 
 def write_wav(values, rate: int) -> bytes:
@@ -70,53 +90,119 @@ def write_wav(values, rate: int) -> bytes:
     return out.getvalue()
 
 
-def frame_blocks(padded: np.ndarray, length: int, hop: int) -> Iterator[np.ndarray]:
-    """Overlapping frames in blocks of rows, so a long clip never holds all its frames at once."""
-    view = np.lib.stride_tricks.sliding_window_view(padded, length)[::hop]
-    for start in range(0, len(view), FRAMES_PER_BLOCK):
-        yield view[start : start + FRAMES_PER_BLOCK]
+class Frames:
+    """Centred overlapping frames of a signal that comes in blocks; a block's end is carried over.
+
+    The signal is padded by half a frame on either side: with zeros, its edge values or its mirror image.
+    """
+
+    def __init__(self, length: int, hop: int, pad: str):
+        self.length, self.hop, self.pad, self.half = length, hop, pad, length // 2
+        self.held, self.tail, self.opened = np.zeros(0), np.zeros(0), False
+
+    def _padding(self, near: np.ndarray, before: bool) -> np.ndarray:
+        if self.pad == "constant":
+            return np.zeros(self.half)
+        if self.pad == "edge":
+            return np.full(self.half, near[0] if before else near[-1])
+        mirrored = near[1 : self.half + 1] if before else near[-self.half - 1 : -1]
+        return mirrored[::-1]
+
+    def _cut(self) -> Iterator[np.ndarray]:
+        if len(self.held) < self.length:
+            return
+        view = np.lib.stride_tricks.sliding_window_view(self.held, self.length)[:: self.hop]
+        for start in range(0, len(view), FRAMES_PER_BLOCK):
+            yield view[start : start + FRAMES_PER_BLOCK]
+        self.held = self.held[len(view) * self.hop :]
+
+    def feed(self, samples: np.ndarray) -> Iterator[np.ndarray]:
+        self.held = np.concatenate([self.held, samples])
+        self.tail = np.concatenate([self.tail, samples])[-self.half - 1 :]
+        if not self.opened:
+            if len(self.held) <= self.half:
+                return
+            self.held, self.opened = np.concatenate([self._padding(self.held, True), self.held]), True
+        yield from self._cut()
+
+    def close(self) -> Iterator[np.ndarray]:
+        """The frames at the signal's end. A signal too short to mirror has none with that padding."""
+        if not self.opened:
+            if self.pad == "reflect" or not len(self.tail):
+                return
+            self.held = np.concatenate([self._padding(self.tail, True), self.held])
+        self.held = np.concatenate([self.held, self._padding(self.tail, False)])
+        yield from self._cut()
 
 
 def hann(length: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(length) / length)
 
 
-def framed_zero_crossings(samples: np.ndarray) -> float:
+class Crossings:
     """Mean share of sign changes per frame; values near zero count as positive."""
-    half = FRAME_LENGTH // 2
-    negative = np.where(np.abs(samples) <= SILENCE, 0.0, samples) < 0
-    changed = np.diff(np.pad(negative, half, mode="edge")).astype(np.int64)
-    totals = np.concatenate(([0], np.cumsum(changed)))
-    starts = np.arange(0, len(samples) + 1, HOP_LENGTH)
-    return float(np.mean((totals[starts + FRAME_LENGTH - 1] - totals[starts]) / FRAME_LENGTH))
+
+    def __init__(self):
+        self.frames, self.total, self.count = Frames(FRAME_LENGTH, HOP_LENGTH, "edge"), 0.0, 0
+
+    def add(self, blocks: Iterator[np.ndarray]) -> None:
+        for block in blocks:
+            changed = block[:, 1:] != block[:, :-1]
+            self.total += float(np.count_nonzero(changed)) / FRAME_LENGTH
+            self.count += len(block)
+
+    def feed(self, samples: np.ndarray) -> None:
+        self.add(self.frames.feed((np.where(np.abs(samples) <= SILENCE, 0.0, samples) < 0).astype(np.float64)))
+
+    def mean(self) -> float:
+        self.add(self.frames.close())
+        return self.total / self.count
+
+
+class Spectrum:
+    """Mean centroid, roll-off and RMS over frames, and the spectral flux of each frame."""
+
+    def __init__(self, rate: int):
+        self.frames, self.window = Frames(FRAME_LENGTH, HOP_LENGTH, "constant"), hann(FRAME_LENGTH)
+        self.bins = np.fft.rfftfreq(FRAME_LENGTH, 1.0 / rate)
+        self.sums, self.flux, self.previous = np.zeros(3), [], None
+
+    def add(self, blocks: Iterator[np.ndarray]) -> None:
+        for block in blocks:
+            magnitude = np.abs(np.fft.rfft(block * self.window, axis=1))
+            total = magnitude.sum(axis=1)
+            weighted = magnitude @ self.bins
+            running = np.cumsum(magnitude, axis=1)
+            reached = running >= ROLLOFF_SHARE * running[:, -1:]
+            self.sums += (
+                np.divide(weighted, total, out=np.zeros_like(total), where=total > 0).sum(),
+                self.bins[np.argmax(reached, axis=1)].sum(),
+                np.sqrt(np.mean(block * block, axis=1)).sum(),
+            )
+            loud = np.log1p(magnitude)
+            before = np.vstack([loud[:1] if self.previous is None else self.previous, loud[:-1]])
+            self.flux.append(np.maximum(loud - before, 0.0).sum(axis=1))
+            self.previous = loud[-1:]
+
+    def feed(self, samples: np.ndarray) -> None:
+        self.add(self.frames.feed(samples))
+
+    def means(self) -> tuple[float, float, float, np.ndarray]:
+        self.add(self.frames.close())
+        flux = np.concatenate(self.flux)
+        return (*(self.sums / len(flux)).tolist(), flux)
+
+
+def framed_zero_crossings(samples: np.ndarray) -> float:
+    crossings = Crossings()
+    crossings.feed(samples)
+    return crossings.mean()
 
 
 def framed_spectrum(samples: np.ndarray, rate: int) -> tuple[float, float, float, np.ndarray]:
-    """Mean centroid, roll-off and RMS over centred frames, and the spectral flux per frame."""
-    padded = np.pad(samples, FRAME_LENGTH // 2)
-    window = hann(FRAME_LENGTH)
-    bins = np.fft.rfftfreq(FRAME_LENGTH, 1.0 / rate)
-    centroids, rolloffs, levels, flux = [], [], [], []
-    previous = None
-    for block in frame_blocks(padded, FRAME_LENGTH, HOP_LENGTH):
-        magnitude = np.abs(np.fft.rfft(block * window, axis=1))
-        total = magnitude.sum(axis=1)
-        weighted = magnitude @ bins
-        centroids.append(np.divide(weighted, total, out=np.zeros_like(total), where=total > 0))
-        running = np.cumsum(magnitude, axis=1)
-        reached = running >= ROLLOFF_SHARE * running[:, -1:]
-        rolloffs.append(bins[np.argmax(reached, axis=1)])
-        levels.append(np.sqrt(np.mean(block * block, axis=1)))
-        loud = np.log1p(magnitude)
-        before = np.vstack([loud[:1] if previous is None else previous, loud[:-1]])
-        flux.append(np.maximum(loud - before, 0.0).sum(axis=1))
-        previous = loud[-1:]
-    return (
-        float(np.mean(np.concatenate(centroids))),
-        float(np.mean(np.concatenate(rolloffs))),
-        float(np.mean(np.concatenate(levels))),
-        np.concatenate(flux),
-    )
+    spectrum = Spectrum(rate)
+    spectrum.feed(samples)
+    return spectrum.means()
 
 
 def mel_filters(rate: int) -> np.ndarray:
@@ -129,20 +215,34 @@ def mel_filters(rate: int) -> np.ndarray:
     return np.maximum(0.0, np.minimum(rising, falling))
 
 
-def mel_power_mean(channels: np.ndarray, rate: int) -> float | None:
+class MelPower:
     """Mean mel power over bands, frames and channels; None for clips too short to mirror."""
-    if len(channels) <= MEL_FFT // 2:
-        return None
-    window, filters = hann(MEL_FFT), mel_filters(rate)
-    total, cells = 0.0, 0
-    for column in channels.T:
-        padded = np.pad(column, MEL_FFT // 2, mode="reflect")
-        for block in frame_blocks(padded, MEL_FFT, MEL_HOP):
-            power = np.abs(np.fft.rfft(block * window, axis=1)) ** 2
-            mel = power @ filters
-            total += float(mel.sum())
-            cells += mel.size
-    return total / cells
+
+    def __init__(self, rate: int, channels: int):
+        self.frames = [Frames(MEL_FFT, MEL_HOP, "reflect") for _ in range(channels)]
+        self.window, self.filters = hann(MEL_FFT), mel_filters(rate)
+        self.total, self.cells = 0.0, 0
+
+    def add(self, blocks: Iterator[np.ndarray]) -> None:
+        for block in blocks:
+            mel = np.abs(np.fft.rfft(block * self.window, axis=1)) ** 2 @ self.filters
+            self.total += float(mel.sum())
+            self.cells += mel.size
+
+    def feed(self, channels: np.ndarray) -> None:
+        for frames, column in zip(self.frames, channels.T, strict=True):
+            self.add(frames.feed(column))
+
+    def mean(self) -> float | None:
+        for frames in self.frames:
+            self.add(frames.close())
+        return self.total / self.cells if self.cells else None
+
+
+def mel_power_mean(channels: np.ndarray, rate: int) -> float | None:
+    power = MelPower(rate, channels.shape[1])
+    power.feed(channels)
+    return power.mean()
 
 
 def tempo(flux: np.ndarray, rate: int) -> float | None:
@@ -163,33 +263,56 @@ def tempo(flux: np.ndarray, rate: int) -> float | None:
     return float(beats[usable][best])
 
 
-def whole_clip(channels: np.ndarray) -> tuple[float, float]:
+class WholeClip:
     """Mean absolute step of the sign, and root mean square, over all samples of all channels."""
-    steps = np.abs(np.diff(np.sign(channels), axis=0))
-    crossings = float(steps.mean()) if steps.size else 0.0
-    return crossings, float(np.sqrt(np.mean(channels * channels)))
+
+    def __init__(self):
+        self.last, self.steps, self.squares, self.cells = None, 0.0, 0.0, 0
+
+    def feed(self, channels: np.ndarray) -> None:
+        signs = np.sign(channels)
+        before = signs[:1] if self.last is None else self.last
+        self.steps += float(np.abs(np.diff(np.concatenate([before, signs]), axis=0)).sum())
+        self.squares += float((channels * channels).sum())
+        self.cells += channels.size
+        self.last = signs[-1:]
+
+    def means(self) -> tuple[float, float]:
+        moves = self.cells - self.last.size
+        return self.steps / moves if moves else 0.0, float(np.sqrt(self.squares / self.cells))
 
 
 def feature_row(content: bytes | None, with_tempo: bool = True) -> tuple:
-    """One row of ``ROW_FIELDS``; a clip that cannot be read yields only its error."""
+    """One row of ``ROW_FIELDS``; a clip that cannot be read yields only its error.
+
+    The clip is decoded block by block, so its length does not matter for memory: besides a block there
+    is one number per frame, the flux that the tempo needs.
+    """
     try:
         if content is None:
             raise ValueError("no audio data")
-        rate, count, channels = read_wav(content)
-        mono = channels.mean(axis=1)
-        centroid, rolloff, level, flux = framed_spectrum(mono, rate)
+        parts, size = None, 0
+        for rate, count, channels in wav_blocks(content):
+            if parts is None:
+                parts = Crossings(), Spectrum(rate), MelPower(rate, count), WholeClip()
+            mono = channels.mean(axis=1)
+            for part, samples in zip(parts, (mono, mono, channels, channels), strict=True):
+                part.feed(samples)
+            size += len(mono)
+        crossings, spectrum, power, whole = parts
+        centroid, rolloff, level, flux = spectrum.means()
         return (
             rate,
             count,
-            len(mono),
-            len(mono) / rate,
-            framed_zero_crossings(mono),
+            size,
+            size / rate,
+            crossings.mean(),
             centroid,
             level,
             rolloff,
-            mel_power_mean(channels, rate),
+            power.mean(),
             tempo(flux, rate) if with_tempo else None,
-            *whole_clip(channels),
+            *whole.means(),
             None,
         )
     except Exception as error:  # an unreadable clip is a data error, not a task failure

@@ -1,14 +1,18 @@
 """Audio scan, validation and features on synthetic clips with known answers."""
 
+import io
+import wave
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lingomark.functions import signal
-from lingomark.operators import apply_model, training
+from lingomark.functions.text import WORD_RULES
+from lingomark.operators import training
 from lingomark.plans import batch
 from lingomark.sources import audio, tables, waveform
-from wavs import RATE, clicks, save, tone
+from wavs import RATE, clicks, lookup_recogniser, save, tone
 
 
 @pytest.fixture(scope="module")
@@ -115,17 +119,77 @@ def test_long_clip_is_cut_into_blocks():
     assert waveform.framed_zero_crossings(wave) == pytest.approx(crossings)
 
 
+def whole_row(samples):
+    """Features of a mono clip computed from all of its frames at once."""
+    half = 1024
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(samples, half), 2 * half)[::512]
+    size = np.abs(np.fft.rfft(frames * waveform.hann(2048), axis=1))
+    bins = np.fft.rfftfreq(2048, 1 / RATE)
+    signs = np.lib.stride_tricks.sliding_window_view(np.pad(samples, half, mode="edge") < 0, 2 * half)[::512]
+    mirrored = np.lib.stride_tricks.sliding_window_view(np.pad(samples, 200, mode="reflect"), 400)[::200]
+    power = np.abs(np.fft.rfft(mirrored * waveform.hann(400), axis=1)) ** 2 @ waveform.mel_filters(RATE)
+    return [
+        np.mean(np.diff(signs, axis=1).sum(axis=1) / 2048),
+        np.mean(size @ bins / size.sum(axis=1)),
+        np.mean(np.sqrt(np.mean(frames**2, axis=1))),
+        np.mean(bins[(np.cumsum(size, axis=1) >= 0.85 * size.sum(axis=1, keepdims=True) * (1 - 1e-12)).argmax(axis=1)]),
+        power.mean(),
+        np.abs(np.diff(np.sign(samples))).mean(),
+        np.sqrt(np.mean(samples**2)),
+    ]
+
+
+@pytest.mark.parametrize("block", [37, 512, 1 << 18])
+@pytest.mark.parametrize("size", [201, 1023, 1025, 2048, 40_000])
+def test_blocks_give_the_features_of_the_whole_clip(block, size, monkeypatch):
+    monkeypatch.setattr(waveform, "BLOCK_SAMPLES", block)
+    clip = waveform.write_wav(np.random.default_rng(size).normal(size=size) * 0.1, RATE)
+    row = dict(zip(waveform.ROW_FIELDS, waveform.feature_row(clip), strict=True))
+    names = ("zero_crossing_rate", "spectral_centroid", "rmse", "spectral_rolloff", "mel_power_mean", "zero_crossing_global", "rms_global")
+    _, _, samples = waveform.read_wav(clip)
+    assert [row[n] for n in names] == pytest.approx(whole_row(samples[:, 0]), rel=1e-9)
+    assert row["n_samples"] == size and row["error"] is None
+
+
+def test_an_hour_is_decoded_in_bounded_memory():
+    import tracemalloc
+
+    rate, seconds = 8000, 3600
+    body = np.random.default_rng(3).integers(0, 255, rate * 60, np.uint8).tobytes() * (seconds // 60)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as clip:
+        clip.setparams((1, 1, rate, 0, "NONE", None))
+        clip.writeframes(body)
+    content = out.getvalue()
+    del out, body
+    tracemalloc.start()
+    row = dict(zip(waveform.ROW_FIELDS, waveform.feature_row(content), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["duration"] == seconds and row["error"] is None and 0.3 < row["rms_global"] < 0.7
+    # The samples alone would be 230 MB as doubles; the bytes that wave holds are the clip once more.
+    assert peak < 1.5 * len(content) + (40 << 20)
+
+
+def test_frames_inside_a_row(spark, plan_of):
+    values = [float(k % 7 - 3) for k in range(100)]
+    rows = spark.createDataFrame([(1, values), (2, values[:9]), (3, None), (4, values[:10])], "id int, samples array<double>")
+    done = rows.select("id", signal.frame_mean(F.col("samples"), signal.frame_rms, 10, 4).alias("level"))
+    assert "Exchange" not in plan_of(done) and "Generate" not in plan_of(done)
+    frames = np.lib.stride_tricks.sliding_window_view(np.array(values), 10)[::4]
+    got = {r["id"]: r["level"] for r in done.collect()}
+    assert got[1] == pytest.approx(np.mean(np.sqrt(np.mean(frames**2, axis=1))))
+    assert got[2] is None and got[3] is None and got[4] == pytest.approx(np.sqrt(np.mean(frames[0] ** 2)))
+
+
 @pytest.mark.parametrize("width, scale", [(1, 128), (2, 32768), (3, 8388608), (4, 2147483648)])
 def test_sample_widths(width, scale):
-    import io
-    import wave as wavefile
-
     values = np.array([0, scale // 2, -scale // 2])
     raw = (values + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(
         int(v).to_bytes(width, "little", signed=True) for v in values
     )
     out = io.BytesIO()
-    with wavefile.open(out, "wb") as clip:
+    with wave.open(out, "wb") as clip:
         clip.setnchannels(1)
         clip.setsampwidth(width)
         clip.setframerate(8000)
@@ -160,7 +224,7 @@ def test_validation(spark, corpus):
 
 
 def transcripts():
-    return apply_model.lookup_recogniser(
+    return lookup_recogniser(
         {"tone_440.wav": "i am u", "tone_1000.wav": "all is well", "silence.wav": "quiet", "short.wav": "r"}
     )
 
@@ -219,6 +283,25 @@ def test_batch_job_end_to_end(spark, corpus, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "sub"), tables.SUBMISSION).count() == 6
 
 
+def test_batch_job_with_a_model(spark, corpus):
+    def load():
+        def predict(units):
+            if any("quiet" in unit for unit in units):
+                raise ValueError("refused")
+            return [unit.replace("am", "was") for unit in units]
+
+        return predict
+
+    names = ["tone_440.wav", "silence.wav", "gone.wav", "corrupt.wav"]
+    manifest = spark.createDataFrame([(n, 0.0) for n in names], tables.MANIFEST)
+    files = audio.scan(spark, str(corpus))
+    results = batch.batch_job(manifest, files, transcripts(), recognise="filename", load_corrector=load, rules=WORD_RULES)
+    got = {r["filename"]: r for r in results.collect()}
+    assert got["tone_440.wav"]["corrected_text"] == "I was you" and got["tone_440.wav"]["grammar_score"] == 0.0
+    assert got["silence.wav"]["corrected_text"] == "quiet" and got["silence.wav"]["grammar_score"] == 5.0
+    assert got["gone.wav"]["corrected_text"].startswith("Error: ") and got["corrupt.wav"]["grammar_score"] == 0.0
+
+
 def test_batch_job_with_a_trained_scorer(spark, corpus):
     from lingomark.contracts import contract_columns
 

@@ -23,3 +23,18 @@ def save(folder, name, samples, rate=RATE):
     path = folder / name
     path.write_bytes(write_wav(samples, rate))
     return path
+
+
+def lookup_recogniser(transcripts):
+    """A recogniser that knows the transcripts by clip name."""
+
+    def load():
+        def predict(names):
+            for name in names:
+                if name not in transcripts:
+                    raise KeyError(f"no transcript for {name}")
+            return [transcripts[name] for name in names]
+
+        return predict
+
+    return load
