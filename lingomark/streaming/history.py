@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed value: results kept per user.
 HISTORY_SIZE = 10
 
 ITEMS = "user_id bigint, ts bigint, item_id bigint, cleared boolean"
-STATE = "items array<struct<ts: bigint, item_id: bigint>>, clear_ts bigint, clear_id bigint, version bigint"
+POINT = "ts bigint, item_id bigint"
 OUTPUT = "user_id bigint, version bigint, items array<struct<ts: bigint, item_id: bigint>>"
 
-
-def _newest(items: list[tuple], clear: tuple, size: int) -> list[tuple]:
-    return sorted({i for i in items if i > clear}, reverse=True)[:size]
+# Fixed value: Spark's state store that keeps its state in files and not on the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _reduce_batches(size: int):
@@ -48,47 +48,77 @@ def _reduce_batches(size: int):
     return reduce
 
 
-def _update(size: int):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, clear, version = [], (-(2**63), -(2**63)), 0
-        if state.exists:
-            kept, clear_ts, clear_id, version = state.get
-            items, clear = [(i[0], i[1]) for i in kept], (clear_ts, clear_id)
-        for rows in batches:
-            for ts, item_id, cleared in zip(rows["ts"].tolist(), rows["item_id"].tolist(), rows["cleared"].tolist()):
+class Newest(StatefulProcessor):
+    """State of one user: the newest items, the newest clear event and the number of lists sent.
+
+    A clear event is an input like others and drops all items up to it, also those that arrive later.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getListState("items", POINT)
+        self.clear = handle.getValueState("clear", POINT)
+        self.version = handle.getValueState("version", "version bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = {tuple(item) for item in self.items.get()}
+        clear = tuple(self.clear.get()) if self.clear.exists() else None
+        for part in rows:
+            for ts, item_id, cleared in zip(part["ts"].tolist(), part["item_id"].tolist(), part["cleared"].tolist()):
                 if cleared:
-                    clear = max(clear, (ts, item_id))
+                    clear = max(clear or (ts, item_id), (ts, item_id))
                 else:
-                    items.append((ts, item_id))
-            items = _newest(items, clear, size)
-        items = _newest(items, clear, size)
-        version += 1
-        state.update((items, clear[0], clear[1], version))
-        listed = [{"ts": ts, "item_id": item_id} for ts, item_id in items]
-        user = pd.array([None if pd.isna(key[0]) else int(key[0])], dtype="Int64")
-        yield pd.DataFrame({"user_id": user, "version": [version], "items": [listed]})
+                    kept.add((ts, item_id))
+            kept = set(heapq.nlargest(self.size, (i for i in kept if clear is None or i > clear)))
+        newest = sorted(kept, reverse=True)
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        # An empty list state is one that is not there.
+        self.items.put(newest) if newest else self.items.clear()
+        if clear is not None:
+            self.clear.update(clear)
+        self.version.update((version,))
+        listed = [{"ts": ts, "item_id": item_id} for ts, item_id in newest]
+        yield pd.DataFrame({"user_id": pd.array([_user(key[0])], dtype="Int64"), "version": [version], "items": [listed]})
+
+    def close(self) -> None:
+        pass
 
-    return update
+
+def _user(packed: str) -> int | None:
+    return int(packed) if packed else None
 
 
 def history_updates(events: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:
     """Stream of ``user_id, version, items``: the whole list again whenever a user's list changes.
 
+    The state of a user is a list of at most ``size`` items, in the files of RocksDB. Queries that start
+    after this call use that store; a stream keeps the one it began with.
+
     ``events`` has the columns of ``ITEMS``. Order is by ``ts`` and ``item_id``, not by arrival, so
     the final list does not depend on how the stream was cut; a clear event drops everything up
     to it. Events of a NULL user have a list of their own; repeated events count once.
     """
     reduced = events.select("user_id", "ts", "item_id", "cleared").mapInArrow(_reduce_batches(size), ITEMS)
-    return reduced.groupBy("user_id").applyInPandasWithState(
-        _update(size), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # State keys are never NULL.
+    keyed = reduced.withColumn("user_key", F.coalesce(F.col("user_id").cast("string"), F.lit("")))
+    return keyed.groupBy("user_key").transformWithStateInPandas(Newest(size), OUTPUT, "append", "none")
+
+
+def newest_lists(updates: DataFrame) -> DataFrame:
+    """The newest version of every user's list, one row per user.
+
+    Also the compaction of the log of lists: written in its place, it holds each user once.
+    """
+    newest = F.max_by(F.struct("version", "items"), "version").alias("last")
+    return updates.groupBy("user_id").agg(newest).select("user_id", "last.version", "last.items")
 
 
 def current_history(updates: DataFrame) -> DataFrame:
-    """Newest version of every user's list, one row per item with its rank (1 = newest)."""
-    latest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("version")))
-    lists = updates.withColumn("_age", latest).where(F.col("_age") == 1)
-    ranked = lists.select("user_id", F.posexplode("items").alias("pos", "item"))
+    """Newest list of every user, one row per item with its rank (1 = newest)."""
+    ranked = newest_lists(updates).select("user_id", F.posexplode("items").alias("pos", "item"))
     return ranked.select(
         "user_id", (F.col("pos") + 1).alias("rank"), F.col("item.ts").alias("ts"), F.col("item.item_id").alias("item_id")
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from lingomark.functions.text import Rule
 from lingomark.operators.apply_model import Predictor
 from lingomark.operators.training import Scorer
 from lingomark.plans.batch import hear_clips
@@ -28,8 +30,16 @@ def text_requests(
     return reader.json(folder)
 
 
-def score_requests(requests: DataFrame, text: str = "text", scorer: Scorer | None = None) -> DataFrame:
-    return respond(requests, F.col(text), scorer=scorer, no_input=NO_REQUEST_TEXT)
+def score_requests(
+    requests: DataFrame,
+    text: str = "text",
+    scorer: Scorer | None = None,
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
+) -> DataFrame:
+    return respond(
+        requests, F.col(text), scorer=scorer, no_input=NO_REQUEST_TEXT, load_corrector=load_corrector, rules=rules
+    )
 
 
 def audio_uploads(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -54,11 +64,16 @@ def answer_uploads(
     load_recogniser: Callable[[], Predictor],
     recognise: str = "content",
     scorer: Scorer | None = None,
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
+    limit: int = SIZE_LIMIT,
 ) -> DataFrame:
     """Validate, transcribe, correct and score uploaded clips: ``filename`` and response fields."""
-    heard = hear_clips(uploads, load_recogniser, recognise, SIZE_LIMIT)
+    heard = hear_clips(uploads, load_recogniser, recognise, limit)
     refused = upload_error(F.col("filename"), F.coalesce("audio_error", "clip_error"))
-    answered = respond(heard, F.lit(None).cast("string"), F.col("transcript"), refused, scorer=scorer)
+    answered = respond(
+        heard, F.lit(None).cast("string"), F.col("transcript"), refused, scorer=scorer, load_corrector=load_corrector, rules=rules
+    )
     return answered.select("filename", *FIELDS)
 
 
@@ -86,3 +101,16 @@ def append_results(
     if interval is None:
         query.awaitTermination()
     return query
+
+def batch_folder(output: str) -> Callable[[DataFrame, int], None]:
+    """Writer of micro-batches, one folder each: a batch that is run again replaces what its first run left."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    return write
+
+
+def read_batches(spark: SparkSession, output: str, schema: StructType) -> DataFrame:
+    """The rows of all folders that :func:`batch_folder` wrote."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(output)

@@ -6,11 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lingomark.operators import apply_model, ordering
+from lingomark.operators import ordering
 from lingomark.plans.request import FIELDS, respond
 from lingomark.sources import audio
 from lingomark.streaming import history, scoring
-from wavs import save, tone
+from wavs import lookup_recogniser, save, tone
 
 
 def drop_requests(folder, name, rows):
@@ -64,10 +64,12 @@ def test_killed_run_leaves_no_gap_and_no_duplicate(spark, tmp_path):
         drop_requests(inbox, f"{i}.json", [{"id": i * 10 + j, "text": "u"} for j in range(10)])
     state = {"fail": True}
 
+    save_batch = scoring.batch_folder(out)
+
     def write(df, batch_id):
+        save_batch(df, batch_id)
         if batch_id == 2 and state["fail"]:
             raise RuntimeError("lost")
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     def run():
         requests = scoring.text_requests(spark, str(inbox), files_per_batch=1)
@@ -107,7 +109,7 @@ def test_uploads_are_answered(spark, tmp_path):
     save(inbox, "a.wav", tone(440))
     save(inbox, "b.wav", tone(440))
     (inbox / "bad.wav").write_bytes(b"RIFF")
-    recogniser = apply_model.lookup_recogniser({"a.wav": "u r fine", "bad.wav": "x"})
+    recogniser = lookup_recogniser({"a.wav": "u r fine", "bad.wav": "x"})
     answered = scoring.answer_uploads(scoring.audio_uploads(spark, str(inbox)), recogniser, "filename")
     scoring.append_results(answered, out, mark)
     got = {r["filename"]: r for r in spark.read.parquet(out).collect()}
@@ -117,6 +119,29 @@ def test_uploads_are_answered(spark, tmp_path):
     assert "no transcript" in got["b.wav"]["error"]
 
 
+def model():
+    def predict(units):
+        if any("bad" in unit for unit in units):
+            raise ValueError("refused")
+        return [unit.upper() for unit in units]
+
+    return predict
+
+
+def test_a_model_answers_streams_as_it_does_tables(spark, tmp_path):
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    long = "one more part. " * 80
+    rows = [{"id": i, "text": t} for i, t in enumerate(["u r", "bad", long, long + "bad", "", None, "u r", long])]
+    drop_requests(inbox, "a.json", rows)
+    answered = scoring.score_requests(scoring.text_requests(spark, str(inbox)), load_corrector=model)
+    scoring.append_results(answered.select("id", *FIELDS), out, mark)
+    table = spark.read.schema("id bigint, text string").json(str(inbox))
+    same = respond(table, F.col("text"), no_input="No text provided", load_corrector=model).select("id", *FIELDS)
+    got = {r["id"]: tuple(r) for r in spark.read.parquet(out).collect()}
+    assert got == {r["id"]: tuple(r) for r in same.collect()}
+    assert got[0][3] == "U R" and got[1][3] == "bad" and got[3][3] == long + "bad" and "part" not in got[2][3]
+
+
 def events(n, clears=()):
     """One user owns a third of all events."""
     order = random.Random(5)
@@ -156,3 +181,16 @@ def test_clear_events_drop_older_items(spark, tmp_path):
         kept = sorted((i for i in items if i > clear), reverse=True)[:10]
         expected |= {(user, n + 1, item) for n, (_, item) in enumerate(kept)}
     assert got == expected
+
+
+def test_null_users_and_compaction(spark, tmp_path):
+    rows = [{"user_id": u, "ts": i, "item_id": i, "cleared": False} for i in range(60) for u in (None, 7)]
+    rows += [{"user_id": 7, "ts": 100, "item_id": 100, "cleared": True}, {"user_id": 7, "ts": 90, "item_id": 90, "cleared": False}]
+    got = stream_events(spark, tmp_path, list(rows), 2)
+    assert got == {(None, n + 1, 59 - n) for n in range(10)}
+    updates = spark.read.parquet(str(tmp_path / "out"))
+    compact = history.newest_lists(updates)
+    assert compact.count() == 2 and updates.count() > 2
+    assert {tuple(r) for r in history.current_history(compact).collect()} == {
+        tuple(r) for r in history.current_history(updates).collect()
+    }
