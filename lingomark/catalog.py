@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ SAMPLE_RATE = 16000
 VECTOR_SIZE = 64
 FRAME, HOP = 16, 8
 FILLED_FEATURES = 8
+CLIP_VECTORS = 20
+UPLOAD_LIMIT = 700
 
 # An example rule table; users bring their own.
 RULES = (
@@ -299,6 +302,14 @@ def _signal_record(spark, folder) -> DataFrame:
     )
 
 
+def _clip_record(spark, folder) -> DataFrame:
+    """The signal record with the spectral centroid of the clip that the vector makes."""
+    waves = session.spread(table(spark, folder, "embeddings"))
+    heard = audio.audio_features(audio.encode(F.col("embedding"), SAMPLE_RATE), with_tempo=False)
+    centroids = waves.select(F.col("vec_id").alias("doc_id"), heard.alias("f")).select("doc_id", "f.spectral_centroid")
+    return resolve.merge_features(_signal_record(spark, folder), centroids, "doc_id")
+
+
 def feature_merge(spark, folder):
     docs = batch.with_text_features(documents(spark, folder), "text")
     text_part = docs.select("doc_id", "num_words", "text_length")
@@ -319,11 +330,11 @@ def combined_features(spark, folder):
     docs = docs.withColumn("corrected", correction.cascade(F.col("text")))
     docs = docs.withColumn("grammar_score_model", text.word_diff_score(F.col("text"), F.col("corrected")))
     text_part = docs.select("doc_id", "grammar_score_model", "num_words", "avg_word_len", "text_length")
-    audio_part = _signal_record(spark, folder).withColumn("spectral_centroid", F.lit(0.0))
-    merged = resolve.merge_features(audio_part, text_part, "doc_id")
+    merged = resolve.merge_features(_clip_record(spark, folder), text_part, "doc_id")
     record = contracts.select_contract(merged, contracts.contract_columns("scorer8"), keep=["doc_id"])
     doubles = ("duration", "zero_crossing_rate", "rmse", "grammar_score_model", "avg_word_len")
-    return record.withColumns({c: F.round(c, 9) for c in doubles})
+    rounded = {c: F.round(c, 9) for c in doubles}
+    return record.withColumns({**rounded, "spectral_centroid": F.round("spectral_centroid", 6)})
 
 
 def default_audio(spark, folder):
@@ -477,11 +488,8 @@ def signal_global(spark, folder):
 
 def frame_features(spark, folder):
     waves = session.spread(table(spark, folder, "embeddings"))
-    cut = signal.frames(F.col("embedding"), FRAME, HOP)
-    framed = waves.select("vec_id", F.explode(cut).alias("frame"))
-    levels = framed.select("vec_id", signal.frame_rms(F.col("frame")).alias("rmse"))
-    means = stats.frame_means(levels, "vec_id", "rmse")
-    return means.select("vec_id", F.round("rmse", 9).alias("rmse"))
+    level = signal.frame_mean(F.col("embedding"), signal.frame_rms, FRAME, HOP)
+    return waves.select("vec_id", F.round(level, 9).alias("rmse"))
 
 
 def mean_pool(spark, folder):
@@ -515,40 +523,175 @@ def wav_roundtrip_features(spark, folder):
     return done.select("vec_id", "f.sr", "f.n_samples", *[F.round(f"f.{c}", 6).alias(c) for c in names])
 
 
+def _long_clips(spark, folder) -> DataFrame:
+    """WAV clips of several frames: the vectors of each twenty neighbouring ids behind one another."""
+    vecs = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / CLIP_VECTORS).alias("clip"), "vec_id", "embedding")
+    parts = vecs.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("parts"))
+    samples = F.flatten(F.transform("parts", lambda p: p["embedding"].cast("array<double>")))
+    clips = parts.select(F.col("clip").cast("string").alias("filename"), audio.encode(samples, SAMPLE_RATE).alias("content"))
+    return clips.withColumns({"path": F.col("filename"), "length": F.octet_length("content").cast("long")})
+
+
+def clip_features(spark, folder):
+    """Features of clips of several frames, decoded block by block."""
+    done = audio.feature_table(_long_clips(spark, folder), with_tempo=False)
+    names = ("duration", "zero_crossing_rate", "rmse", "zero_crossing_global", "rms_global")
+    return done.select("filename", "sr", "channels", "n_samples", *[F.round(c, 9).alias(c) for c in names], "error")
+
+
+def feature_dataset(spark, folder):
+    """Training table of the labelled documents; a few have a clip, one in seven has no usable label."""
+    label = F.when(F.col("doc_id") % 7 > 0, F.col("quality") * 5.0)
+    labels = table(spark, folder, "labels").select("doc_id", label.alias("label"))
+    rows = documents(spark, folder).join(labels, "doc_id").select(
+        F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("transcript"), "label"
+    )
+    made = batch.feature_dataset(
+        session.stage(rows, "transcripts"), _long_clips(spark, folder), load_corrector=load_corrector, rules=RULES[:1]
+    )
+    rounded = {c: F.round(c, 9) for c in ("duration", "zero_crossing_rate", "rmse", "grammar_score_model", "avg_word_len")}
+    return made.drop("spectral_centroid").withColumns(rounded)
+
+
+def _uploads(spark, folder) -> DataFrame:
+    """The turns as uploaded clips, some of them damaged or empty."""
+    turns = conversations(spark, folder)
+    clips = spoken_clips(turns, "key", "text").join(turns.select(F.col("key").alias("filename"), "conv_id", "turn"), "filename")
+    broken = F.when(F.col("conv_id") % 5 == 0, F.encode(F.lit("RIFX, not a clip"), "UTF-8"))
+    cut = F.when(F.col("turn") % 4 == 3, F.substring("content", 1, F.lit(44)))
+    made = clips.withColumn("content", F.coalesce(broken, cut, "content")).withColumn("length", F.octet_length("content").cast("long"))
+    return made.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", "content", "filename")
+
+
+def validate_clips(spark, folder):
+    """Uploads by size, then by whether they decode."""
+    return audio.validate(session.stage(_uploads(spark, folder), "uploads"), UPLOAD_LIMIT)
+
+
+def upload_stream(spark, folder):
+    """Uploads that arrive in two parts and are answered by two runs of one stream."""
+    uploads = session.stage(_uploads(spark, folder).repartition(4), "uploads")
+    path = session.scratch_path(spark, "upload-stream")
+    late = F.xxhash64("filename") % 3 == 0
+    for part in (uploads.where(~late), uploads.where(late)):
+        part.write.mode("append").parquet(f"{path}/in")
+        arrived = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        answered = scoring.answer_uploads(
+            arrived, load_listener, load_corrector=load_corrector, rules=RULES[:1], limit=UPLOAD_LIMIT
+        )
+        scoring.append_results(answered, f"{path}/out", f"{path}/checkpoint")
+    done = spark.read.schema(answered.schema).parquet(f"{path}/out")
+    return done.withColumn("grammarScore", F.round("grammarScore", 9))
+
+
+def resumed_features(spark, folder):
+    """Features saved batch by batch; the first run is lost in its second batch, the next one goes on."""
+    docs = session.stage(table(spark, folder, "documents").select("doc_id", "text").repartition(6), "arrivals")
+    path = session.scratch_path(spark, "resumed")
+    docs.write.parquet(f"{path}/in")
+    save = scoring.batch_folder(f"{path}/out")
+
+    def lost(rows: DataFrame, batch_id: int) -> None:
+        save(rows, batch_id)
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    for write in (lost, save):
+        arrived = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        featured = batch.with_text_features(arrived, "text").select("doc_id", "num_words", "text_length")
+        try:
+            scoring.append_results(featured, f"{path}/out", f"{path}/checkpoint", per_batch=write)
+        except StreamingQueryException as error:
+            if "lost" not in str(error):
+                raise
+    return scoring.read_batches(spark, f"{path}/out", featured.schema)
+
+
 def _training_vectors(spark, folder) -> DataFrame:
     vecs = table(spark, folder, "embeddings")
     rows = vecs.select("vec_id", F.col("embedding").cast("array<double>"), (F.col("label") * 0.5).alias("label"))
     return session.stage(split.exact_split(rows, "vec_id", 0.15), "vectors")
 
 
+def _judged(scored: DataFrame, key: str, scores: list[str], known: F.Column, *kept: str) -> DataFrame:
+    """Scores as checks that hold for any sound model: all within the labels' range, and closer to the
+    labels of the ``known`` rows than their mean is.
+
+    Boosted trees differ from library to library, and so do their scores; these bounds do not.
+    """
+    scored = session.stage(scored, "scored")
+    bounds = scored.agg(F.min("label").alias("least"), F.max("label").alias("most")).select(F.struct("least", "most")).scalar()
+    learned = stats.error_metrics(scored.where(known), "label", scores[-1])
+    spread = scored.where(known).agg(F.var_pop("label").alias("v"))
+    below = learned.select("mse").scalar() < spread.select("v").scalar()
+    slack = (bounds["most"] - bounds["least"]) * 0.25
+    within = F.lit(True)
+    for score in scores:
+        within = within & F.coalesce((F.col(score) >= bounds["least"] - slack) & (F.col(score) <= bounds["most"] + slack), F.lit(False))
+    return scored.select(key, *kept, within.alias("in_range"), below.alias("mse_below_variance"))
+
+
 def _train_and_score(spark, folder, regressor) -> DataFrame:
     rows = _training_vectors(spark, folder)
-    model = training.fit_vectors(rows.where(F.col("split") == "train"), "embedding", regressor)
+    train = F.col("split") == "train"
+    model = training.fit_vectors(training.compact(rows.where(train), VECTOR_SIZE), "embedding", regressor)
     scored = training.apply_vectors(rows, "embedding", model)
-    return scored.select("vec_id", "split", "label", "prediction")
+    return _judged(scored, "vec_id", ["prediction"], train, "split", "label")
 
 
 def train_score_gbt(spark, folder):
-    return _train_and_score(spark, folder, training.gbt("embedding", maxIter=10, maxDepth=4))
+    """300 trees of depth 6 on the vectors."""
+    return _train_and_score(spark, folder, training.gbt("embedding"))
 
 
 def train_score_rf(spark, folder):
     return _train_and_score(spark, folder, training.forest())
 
 
-def stacked_score(spark, folder):
-    """Document features to score: one model on seven columns, a second that sees its score."""
-    audio_part = _signal_record(spark, folder).drop("text_length").withColumn("spectral_centroid", F.lit(0.0))
+def _score_rows(spark, folder) -> DataFrame:
+    """Documents with text features, clip features or zeros, and the label where there is one."""
     docs = batch.with_text_features(documents(spark, folder), "text")
-    text_part = docs.select("doc_id", "num_words", "avg_word_len", "text_length")
+    text_part = docs.select("doc_id", "text", "num_words", "avg_word_len", "text_length")
+    audio_part = _clip_record(spark, folder).drop("text_length")
     features = cleaning.default_audio(text_part.join(audio_part, "doc_id", "left"))
     labels = table(spark, folder, "labels").select("doc_id", (F.col("quality") * 5.0).alias("label"))
-    rows = session.stage(features.join(labels, "doc_id", "left"), "scorer8")
-    known = rows.where(F.col("label").isNotNull())
-    first = training.fit_scorer(known, "hybrid7", training.gbt("hybrid", maxIter=5, maxDepth=3))
-    with_first = training.apply_scorer(known, first, "grammar_score_model")
-    second = training.fit_scorer(with_first, "scorer8", training.gbt("features", maxIter=5, maxDepth=3))
-    return training.stacked_score(rows, first, second).select("doc_id", "grammar_score_model", "grammar_score")
+    return features.join(labels, "doc_id", "left")
+
+
+def stacked_score(spark, folder):
+    """Document features to score: 100 trees of depth 6 on seven columns, 100 of depth 4 that see their score."""
+    rows = session.stage(_score_rows(spark, folder).drop("text"), "scorer8")
+    known = F.col("label").isNotNull()
+    train = training.compact(rows.where(known), 8)
+    first = training.fit_scorer(train, "hybrid7", training.gbt("hybrid"))
+    with_first = session.stage(training.apply_scorer(train, first, "grammar_score_model"), "first")
+    second = training.fit_scorer(with_first, "scorer8", training.gbt("features"))
+    scored = training.stacked_score(rows, first, second)
+    return _judged(scored, "doc_id", ["grammar_score_model", "second_score", "grammar_score"], known)
+
+
+def full_contract(spark, folder):
+    """The widest contract end to end: a first model on seven columns, a second on its score, text, rule
+    and clip features and a 384-value embedding kept as one array; both scores and their mean."""
+    rows = batch.full_vectors(_score_rows(spark, folder).withColumn("grammar_score_model", F.lit(0.0)), "text", RULES)
+    rows = session.stage(rows.drop("grammar_score_model", "text"), "full")
+    known = F.col("label").isNotNull()
+    train = training.compact(rows.where(known), contracts.EMBEDDING_SIZE)
+    first = training.fit_scorer(train, "hybrid7", training.forest())
+    with_first = session.stage(training.apply_scorer(train, first, "grammar_score_model"), "first")
+    second = training.fit_scorer(with_first, "full", training.forest(), vector="embedding")
+    scored = session.stage(training.stacked_score(rows, first, second), "both")
+    mean = (F.col("grammar_score_model") + F.col("second_score")) / 2
+    judged = _judged(
+        scored.withColumn("mean_of_both", F.abs(F.col("grammar_score") - mean) < 1e-9),
+        "doc_id", ["grammar_score_model", "second_score", "grammar_score"], known,
+        "mean_of_both", "num_words", "num_errors", "grammar_ratio", "embedding",
+    )
+    filled = F.aggregate("embedding", F.lit(0.0), lambda total, v: total + v * v)
+    return judged.select(
+        "doc_id", "in_range", "mse_below_variance", "mean_of_both", "num_words", "num_errors",
+        F.round("grammar_ratio", 9).alias("grammar_ratio"), F.size("embedding").alias("size"), F.round(filled, 6).alias("square_sum"),
+    )
 
 
 def text_source_choice(spark, folder):
@@ -623,20 +766,29 @@ def model_apply_errors(spark, folder):
     return turns.select("key", F.col("a.value").alias("corrected_text"), F.col("a.error").alias("error"))
 
 
-def chunk_predictor(spark, folder):
-    """The cascade with a Python predictor; refused texts come back unchanged."""
+def load_corrector():
+    """A corrector that refuses some texts."""
 
-    def load():
-        def predict(units):
-            if any("###" in unit for unit in units):
-                raise ValueError("refused")
-            return [unit.replace(" the ", " a ") for unit in units]
+    def predict(units):
+        if any("###" in unit for unit in units):
+            raise ValueError("refused")
+        return [unit.replace(" the ", " a ") for unit in units]
+
+    return predict
 
-        return predict
 
+def chunk_predictor(spark, folder):
+    """The cascade with a Python predictor; refused texts come back unchanged."""
     docs = documents(spark, folder).select("doc_id", "text")
-    done = correction.cascade_with_predictor(docs, "text", load, rules=RULES[:1])
-    return done.select("doc_id", "corrected_text")
+    done = correction.cascade_with_predictor(docs, "text", load_corrector, rules=RULES[:1], error="error")
+    return done.select("doc_id", "corrected_text", "error")
+
+
+def distinct_predictor(spark, folder):
+    """The same cascade with one call per distinct unit of the table."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = correction.cascade_distinct(docs, "text", load_corrector, rules=RULES[:1], error="error")
+    return done.select("doc_id", "corrected_text", "error")
 
 
 def flagship(spark, folder):
@@ -668,6 +820,70 @@ def request_job(spark, folder):
     return answered.select("key", *request.FIELDS).withColumn("grammarScore", F.round("grammarScore", 9))
 
 
+def _little_endian(value: F.Column, size: int) -> F.Column:
+    cells = [F.lpad(F.hex(F.shiftright(value, 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)]
+    return F.unhex(F.concat(*cells))
+
+
+def spoken_clips(rows: DataFrame, key: str, said: str) -> DataFrame:
+    """Clips as a folder scan yields them: 8-bit WAV files whose samples are the bytes of a text."""
+    data = F.encode(F.col(said), "UTF-8")
+    n = F.octet_length(data)
+    number = lambda v, size: _little_endian(F.lit(v), size)
+    rate = number(SAMPLE_RATE, 4)
+    head = [
+        F.encode(F.lit("RIFF"), "UTF-8"), _little_endian(n + 36, 4), F.encode(F.lit("WAVEfmt "), "UTF-8"), number(16, 4),
+        number(1, 2), number(1, 2), rate, rate, number(1, 2), number(8, 2), F.encode(F.lit("data"), "UTF-8"),
+        _little_endian(n, 4),
+    ]
+    clips = rows.select(F.col(key).cast("string").alias("filename"), F.concat(*head, data).alias("content"))
+    return clips.withColumns({"path": F.col("filename"), "length": F.octet_length("content").cast("long")})
+
+
+def load_listener():
+    """A recogniser for such clips: it reads the text from the samples; an empty clip cannot be heard."""
+    import io
+    import wave
+
+    def predict(clips):
+        heard = []
+        for clip in clips:
+            with wave.open(io.BytesIO(clip)) as wav:
+                heard.append(wav.readframes(wav.getnframes()).decode())
+        return heard
+
+    return predict
+
+
+def batch_job_predictor(spark, folder):
+    """The whole batch job: clips of the labelled documents are heard, corrected by a model and scored;
+    the other documents of the manifest have no clip."""
+    manifest = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("filename"))
+    heard = documents(spark, folder).join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
+    results = batch.batch_job(
+        manifest, spoken_clips(heard, "doc_id", "text"), load_listener, load_corrector=load_corrector, rules=RULES[:1]
+    )
+    return results.withColumn("grammar_score", F.round("grammar_score", 9))
+
+
+def request_job_predictor(spark, folder):
+    """The requests of ``request_job``, answered by a model; the clips of the assistants are heard."""
+    turns = conversations(spark, folder)
+    clips = spoken_clips(turns.where(F.col("role") == "assistant"), "key", "text")
+    heard = batch.hear_clips(clips, load_listener).select(F.col("filename").alias("key"), "transcript", "clip_error")
+    asked = turns.join(heard, "key", "left")
+    typed = F.when(F.col("role") == "user", F.col("text"))
+    lost = F.when(
+        (F.col("role") == "system") & (F.col("conv_id") % 2 == 0),
+        F.concat(F.lit("Audio file not found: "), F.col("key")),
+    )
+    staged = session.stage(asked.select("key", typed.alias("typed"), "transcript", F.coalesce(lost, "clip_error").alias("lost")), "requests")
+    answered = request.respond(
+        staged, F.col("typed"), F.col("transcript"), F.col("lost"), load_corrector=load_corrector, rules=RULES[:1]
+    )
+    return answered.select("key", *request.FIELDS).withColumn("grammarScore", F.round("grammarScore", 9))
+
+
 TURNS = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
@@ -721,6 +937,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rule_correct,
         correct_cascade,
         chunk_predictor,
+        distinct_predictor,
         word_diff_score,
         rule_error_counts,
         rule_table_counts,
@@ -768,9 +985,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         masked_token_pool,
         hashed_embedding,
         wav_roundtrip_features,
+        clip_features,
+        feature_dataset,
+        validate_clips,
         train_score_gbt,
         train_score_rf,
         stacked_score,
+        full_contract,
         text_source_choice,
         nonblank_texts,
         head_rows,
@@ -781,7 +1002,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         model_apply_errors,
         batch_job,
         request_job,
+        batch_job_predictor,
+        request_job_predictor,
         stream_score,
+        upload_stream,
+        resumed_features,
         stream_history,
     )
 }

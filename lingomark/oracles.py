@@ -102,10 +102,17 @@ corrected AS (
 
 SCORE5 = f"round(least(5.0, {diff_score('before', 'after')} * 5), 9)"
 DOCS = "source AS (SELECT doc_id AS id, text FROM documents)"
-SCORED = f"""
+
+
+def scored_sql(source: str) -> str:
+    """CTE ``scored(id, text, fixed, score)`` over ``source(id, text, fixed)``."""
+    return f"""
 scored AS (
   SELECT id, text, fixed, {SCORE5} AS score
-  FROM (SELECT *, {words('text')} AS before, {words('fixed')} AS after FROM corrected))"""
+  FROM (SELECT *, {words('text')} AS before, {words('fixed')} AS after FROM {source}))"""
+
+
+SCORED = scored_sql("corrected")
 
 TOKEN_HASH = "('0x' || substr(md5({w}), 1, 8))::BIGINT"
 
@@ -146,8 +153,8 @@ def parsed_score(reply: str) -> str:
     return f"CASE WHEN {number} IS NOT NULL THEN least(greatest({number}, 0.0), 5.0) END"
 
 
-def split_sql(share: float) -> str:
-    rank = "row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)"
+def split_sql(share: float, key: str = "doc_id") -> str:
+    rank = f"row_number() OVER (ORDER BY md5('42:' || {key}), {key})"
     return f"CASE WHEN {rank} <= ceil((count(*) OVER ()) * {share}::DOUBLE) THEN 'val' ELSE 'train' END"
 
 
@@ -187,6 +194,39 @@ spectrum AS (
          min(k * 7.8125::DOUBLE) FILTER (upto >= 0.85 * total) AS rolloff FROM running GROUP BY vec_id)"""
 
 
+# Clips of twenty vectors: samples, then frames of 2048 around every 512th sample.
+CLIPS = """sample AS (
+  SELECT vec_id // 20 AS clip, vec_id, i, greatest(-32768, least(32767, floor(v::DOUBLE * 32768 + 0.5))) / 32768 AS y
+  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+numbered AS (
+  SELECT clip, y, row_number() OVER (PARTITION BY clip ORDER BY vec_id, i) - 1 AS pos FROM sample),
+moved AS (
+  SELECT clip, pos, y, coalesce((y < 0) <> (lag(y) OVER w < 0), false) AS changed,
+         abs(sign(y) - sign(lag(y) OVER w)) AS step
+  FROM numbered WINDOW w AS (PARTITION BY clip ORDER BY pos)),
+whole AS (
+  SELECT clip, count(*) AS n_samples, avg(step) AS zero_crossing_global, sqrt(avg(y * y)) AS rms_global
+  FROM moved GROUP BY clip),
+frame AS (
+  SELECT clip, unnest(range(0, n_samples // 512 + 1)) AS f FROM whole),
+level AS (
+  SELECT clip, f, sqrt(sum(y * y) / 2048) AS rms,
+         count(*) FILTER (changed AND pos > f * 512 - 1024) / 2048.0::DOUBLE AS crossings
+  FROM frame JOIN moved USING (clip) WHERE pos >= f * 512 - 1024 AND pos < f * 512 + 1024 GROUP BY clip, f),
+clip AS (
+  SELECT clip, n_samples, n_samples / 16000.0::DOUBLE AS duration, zero_crossing_global, rms_global,
+         avg(crossings) AS zero_crossing_rate, avg(rms) AS rmse
+  FROM level JOIN whole USING (clip) GROUP BY ALL)"""
+
+UPLOADS = """upload AS (
+  SELECT key, text, CASE WHEN damaged THEN 16 WHEN emptied THEN 44 ELSE 44 + strlen(text) END AS size,
+         CASE WHEN damaged THEN 'file does not start with RIFF id' WHEN emptied OR text = '' THEN 'no audio data' END AS broken
+  FROM (SELECT conv_id || '-' || turn AS key, text, conv_id % 5 = 0 AS damaged, turn % 4 = 3 AS emptied FROM conversations)),
+judged AS (
+  SELECT key, text, size > 700 AS large, broken,
+         'File size (' || size || ' bytes) exceeds maximum allowed size (700 bytes)' AS too_large FROM upload)"""
+
+
 # Columns that are 32-bit integers in Spark, where DuckDB yields 64 bits.
 INTEGERS = {
     "text_features": ("num_words", "text_length"),
@@ -205,6 +245,10 @@ INTEGERS = {
     "masked_token_pool": ("dim",),
     "combined_features": ("num_words", "text_length"),
     "hashed_embedding": ("dim",),
+    "clip_features": ("sr", "channels"),
+    "feature_dataset": ("num_words", "text_length"),
+    "resumed_features": ("num_words", "text_length"),
+    "full_contract": ("num_words", "num_errors", "size"),
     "nonblank_texts": ("text_length",),
 }
 
@@ -218,7 +262,19 @@ def oracle_sql() -> dict[str, str]:
     return sql
 
 
-def response_sql(source: str) -> str:
+def article(text: str) -> str:
+    """What the example model makes of a unit."""
+    return f"replace({text}, ' the ', ' a ')"
+
+
+# A text with a unit that the example model refuses stays as it is.
+REFUSING = """
+answered AS (
+  SELECT id, text, CASE WHEN contains(text, '###') THEN text ELSE fixed END AS fixed,
+         CASE WHEN contains(text, '###') THEN 'refused' END AS error FROM corrected)"""
+
+
+def response_sql(source: str, cascade: str | None = None, fixed: str = "corrected") -> str:
     """CTEs that answer ``source(key, typed, heard, lost)``."""
     return f"""{source},
 chosen AS (
@@ -229,7 +285,7 @@ chosen AS (
          WHEN coalesce(length(typed), 0) = 0 AND coalesce(length(heard), 0) = 0 THEN 'No text to process.'
     END AS error FROM asked),
 asked_text AS (SELECT key AS id, text FROM chosen),
-{cascade_ctes("asked_text")},{SCORED},
+{cascade or cascade_ctes("asked_text")},{scored_sql(fixed)},
 answer AS (
   SELECT key, CASE WHEN error IS NULL THEN transcription ELSE '' END AS transcription,
          CASE WHEN error IS NULL THEN c.text ELSE '' END AS originalText,
@@ -266,6 +322,19 @@ SELECT user_id, rank, event_id FROM (
     shown = f"'{CORRECTION_PREFIX}'"
     frame_count = (VECTOR_SIZE - FRAME) // HOP + 1
     token_bucket = TOKEN_HASH.format(w="w")
+    refused = f"""WITH RECURSIVE {DOCS}, {cascade_ctes('source', RULES[:1], article)},{REFUSING}
+SELECT id AS doc_id, fixed AS corrected_text, error FROM answered"""
+    trained = f"""SELECT vec_id, label * 0.5::DOUBLE AS label, true AS in_range, true AS mse_below_variance,
+  {split_sql(0.15, 'vec_id')} AS split FROM embeddings"""
+    requests = """asked AS (
+  SELECT conv_id || '-' || turn AS key, CASE WHEN role = 'user' THEN text END AS typed,
+         CASE WHEN role = 'assistant' THEN text END AS heard,
+         CASE WHEN role = 'system' AND conv_id % 2 = 0
+              THEN 'Audio file not found: ' || conv_id || '-' || turn END AS lost FROM conversations)"""
+    heard = """asked AS (
+  SELECT key, NULL::VARCHAR AS typed, CASE WHEN NOT large AND broken IS NULL THEN text END AS heard,
+         'Invalid audio file: ' || CASE WHEN large THEN too_large ELSE broken END AS lost FROM judged)"""
+    by_model = f"{cascade_ctes('asked_text', RULES[:1], article)},{REFUSING}"
     return {
         "flagship": f"""WITH RECURSIVE {DOCS}, {cascade_ctes('source')},{SCORED}
 SELECT id AS filename, score AS label FROM scored""",
@@ -281,10 +350,8 @@ variant AS (
   SELECT id, length(string_agg({substituted('chunk')}, ' ' ORDER BY chunk_no)) AS variant_length
   FROM chunk GROUP BY id)
 SELECT id AS doc_id, fixed AS corrected_text, variant_length FROM corrected JOIN variant USING (id)""",
-        "chunk_predictor": f"""WITH RECURSIVE {DOCS}, {
-            cascade_ctes('source', RULES[:1], lambda t: f"replace({t}, ' the ', ' a ')")
-        }
-SELECT id AS doc_id, CASE WHEN contains(text, '###') THEN text ELSE fixed END AS corrected_text FROM corrected""",
+        "chunk_predictor": refused,
+        "distinct_predictor": refused,
         "word_diff_score": f"""SELECT doc_id, round({diff_score('before', 'after')}, 9) AS grammar_score_model
 FROM (SELECT doc_id, {words('text')} AS before, {words(ruled('text'))} AS after FROM documents)""",
         "rule_error_counts": hits,
@@ -340,14 +407,14 @@ WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)""",
 SELECT doc_id, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
   round(rmse, 9) AS rmse, len({words('text')}) AS num_words, length(text) AS text_length
 FROM signal JOIN documents USING (doc_id)""",
-        "combined_features": f"""WITH RECURSIVE {SIGNAL}, {DOCS}, {cascade_ctes('source')},
+        "combined_features": f"""WITH RECURSIVE {SIGNAL}, {WAV}, {DOCS}, {cascade_ctes('source')},
 compared AS (SELECT id, text, {words('text')} AS before, {words('fixed')} AS after FROM corrected)
 SELECT doc_id, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
-  0.0::DOUBLE AS spectral_centroid, round(rmse, 9) AS rmse,
+  round(centroid, 6) AS spectral_centroid, round(rmse, 9) AS rmse,
   round({diff_score('before', 'after')}, 9) AS grammar_score_model, greatest(len(before), 1) AS num_words,
   round(length(regexp_replace(text, '{BLANK}+', '', 'g'))::DOUBLE / greatest(len(before), 1), 9) AS avg_word_len,
   length(text) AS text_length
-FROM signal JOIN compared ON id = doc_id""",
+FROM signal JOIN compared ON id = doc_id JOIN spectrum ON vec_id = doc_id""",
         "masked_token_pool": """WITH cell AS (
   SELECT vec_id, unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings),
 marked AS (
@@ -433,6 +500,40 @@ SELECT vec_id, 16000 AS sr, 64::BIGINT AS n_samples, round(64 / 16000.0::DOUBLE,
   round(centroid, 6) AS spectral_centroid,
   round(sqrt(list_sum([v * v for v in y]) / 2048), 6) AS rmse, round(rolloff, 6) AS spectral_rolloff
 FROM clip JOIN spectrum USING (vec_id)""",
+        "clip_features": f"""WITH {CLIPS}
+SELECT clip::VARCHAR AS filename, 16000 AS sr, 1 AS channels, n_samples, round(duration, 9) AS duration,
+  round(zero_crossing_rate, 9) AS zero_crossing_rate, round(rmse, 9) AS rmse,
+  round(zero_crossing_global, 9) AS zero_crossing_global, round(rms_global, 9) AS rms_global, NULL::VARCHAR AS error
+FROM clip""",
+        "feature_dataset": f"""WITH RECURSIVE {CLIPS},
+source AS (SELECT doc_id AS id, text FROM documents JOIN labels USING (doc_id)),
+{cascade_ctes('source', RULES[:1], article)},{REFUSING},
+compared AS (SELECT id, text, fixed, {words('text')} AS before, {words('fixed')} AS after FROM answered)
+SELECT id::VARCHAR AS filename, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
+  round(rmse, 9) AS rmse, round({diff_score('before', 'after')}, 9) AS grammar_score_model, text AS original_text,
+  fixed AS corrected_text, greatest(len(before), 1) AS num_words,
+  round(length(regexp_replace(text, '{BLANK}+', '', 'g'))::DOUBLE / greatest(len(before), 1), 9) AS avg_word_len,
+  length(text) AS text_length, CASE WHEN id % 7 > 0 THEN quality * 5.0::DOUBLE END AS label,
+  CASE WHEN clip IS NULL THEN 'Audio file not found: ' || id WHEN {strip('text')} = '' THEN 'No transcript'
+       WHEN id % 7 = 0 THEN 'No numeric label' END AS error
+FROM compared JOIN labels ON doc_id = id LEFT JOIN clip ON clip = id""",
+        "validate_clips": f"""WITH {UPLOADS}
+SELECT key AS filename, NOT large AND broken IS NULL AS valid,
+  CASE WHEN large THEN too_large ELSE 'Invalid or unsupported audio file format: ' || broken END AS reason FROM judged""",
+        "upload_stream": f"""WITH RECURSIVE {UPLOADS}, {response_sql(heard, by_model, 'answered')}
+SELECT key AS filename, transcription, originalText, correctedText, grammarScore, error FROM answer""",
+        "resumed_features": f"WITH {features} SELECT doc_id, num_words, text_length FROM features",
+        "train_score_gbt": trained,
+        "train_score_rf": trained,
+        "stacked_score": "SELECT doc_id, true AS in_range, true AS mse_below_variance FROM documents",
+        "full_contract": f"""WITH bag AS (
+  SELECT doc_id, sum(n::DOUBLE * n) > 0 AS filled FROM (
+    SELECT doc_id, ({token_bucket}) % 384 AS dim, count(*) AS n
+    FROM (SELECT doc_id, unnest({words('text')}) AS w FROM documents) GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, true AS in_range, true AS mse_below_variance, true AS mean_of_both, num_words, num_errors,
+  round(num_errors::DOUBLE / greatest(num_words, 1), 9) AS grammar_ratio, 384 AS size,
+  CASE WHEN filled THEN 1.0 ELSE 0.0 END::DOUBLE AS square_sum
+FROM (SELECT doc_id, {errors} AS num_errors, len({words('text')}) AS num_words FROM documents) LEFT JOIN bag USING (doc_id)""",
         "text_source_choice": """SELECT conv_id || '-' || turn AS key,
   CASE WHEN role = 'user' THEN text WHEN role <> 'system' THEN 'heard ' || text ELSE '' END AS text_first,
   CASE WHEN role <> 'system' THEN 'heard ' || text ELSE '' END AS audio_first FROM conversations""",
@@ -461,12 +562,15 @@ FROM conversations""",
 SELECT doc_id AS filename, coalesce(s.text, 'Error: Audio file not found: ' || doc_id) AS transcript,
   coalesce(score, 0.0) AS grammar_score, coalesce(fixed, 'Error: Audio file not found: ' || doc_id) AS corrected_text
 FROM documents LEFT JOIN scored s ON s.id = doc_id""",
-        "request_job": f"""WITH RECURSIVE {response_sql('''asked AS (
-  SELECT conv_id || '-' || turn AS key, CASE WHEN role = 'user' THEN text END AS typed,
-         CASE WHEN role = 'assistant' THEN text END AS heard,
-         CASE WHEN role = 'system' AND conv_id % 2 = 0
-              THEN 'Audio file not found: ' || conv_id || '-' || turn END AS lost FROM conversations)''')}
+        "request_job": f"""WITH RECURSIVE {response_sql(requests)}
+SELECT key, transcription, originalText, correctedText, grammarScore, error FROM answer""",
+        "request_job_predictor": f"""WITH RECURSIVE {response_sql(requests, by_model, 'answered')}
 SELECT key, transcription, originalText, correctedText, grammarScore, error FROM answer""",
+        "batch_job_predictor": f"""WITH RECURSIVE source AS (SELECT doc_id AS id, text FROM documents JOIN labels USING (doc_id)),
+{cascade_ctes('source', RULES[:1], article)},{REFUSING},{scored_sql('answered')}
+SELECT doc_id::VARCHAR AS filename, coalesce(s.text, 'Error: Audio file not found: ' || doc_id) AS transcript,
+  coalesce(score, 0.0) AS grammar_score, coalesce(fixed, 'Error: Audio file not found: ' || doc_id) AS corrected_text
+FROM documents LEFT JOIN scored s ON s.id = doc_id""",
         "stream_score": f"""WITH RECURSIVE {conversation_text}, {cascade_ctes('source')},{SCORED}
 SELECT id AS key, text AS originalText, fixed AS correctedText, score AS grammarScore FROM scored""",
     }

@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the test tables."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +11,9 @@ from compare import connect, difference
 FOLDER = "/root/testdata/sf0.01"
 QUERIES = {name: query for name, query in entry.queries().items() if name in catalog.QUERIES}
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
-ROWS_ONLY = {"train_score_gbt", "train_score_rf", "stacked_score"}
+# Each trains hundreds of trees, a minute or two: run with LINGOMARK_SLOW=1.
+TRAINED = {"train_score_gbt", "stacked_score"}
+CHECKED = sorted(set(ORACLES) - (set() if os.environ.get("LINGOMARK_SLOW") else TRAINED))
 
 
 @pytest.fixture(scope="module")
@@ -17,25 +21,15 @@ def tables():
     return connect(FOLDER)
 
 
-def test_only_trained_models_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, tables, name):
     assert difference(QUERIES[name], ORACLES[name], spark, tables, FOLDER) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_trained_scores(spark, name):
-    scores = QUERIES[name](spark, "/root/testdata/sf0.001")
-    value = "grammar_score" if name == "stacked_score" else "prediction"
-    rows = scores.collect()
-    assert rows
-    assert all(-1.0 <= row[value] <= 6.0 for row in rows)
-
-
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 200
