@@ -1,10 +1,10 @@
 """Soft-membership mixing: rates per document that bring expected domain token totals to targets.
 
 A classifier trained on labelled documents gives every document a posterior over the domains. With
-t_i tokens and posterior p_i, the rates x_i >= 0 are those nearest to 1 (by tokens) for which
-sum_i x_i t_i p_i meets the targets. They are max(0, 1 - u p_i) with one number u_d per domain, found by
-Newton steps on the dual. A step needs sums over the documents whose rate is not 0, and no state of them.
-Only DataFrame operations and Spark ML run on the executors.
+t_i tokens and posterior p_i, rates x_i >= 0 are fitted for which sum_i x_i t_i p_i meets the targets:
+least squares by projected gradients, each step one or two aggregations over all documents. The steps
+are a few numbers per domain, from which a document's rate follows. Only DataFrame operations and
+Spark ML run on the executors.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ LOG = logging.getLogger(__name__)
 TRAIN_ROWS = 20_000  # bound of the labelled sample the classifier is fitted on
 FEATURES = 1 << 12
 TOLERANCE = 1e-6  # of the token total, by which a domain may miss its target
-RIDGE = 1e-9  # keeps the steps finite where no rates meet the targets
+PROGRESS = 1e-3  # of the squared misses, which a step has to take off
+RIDGE = 1e-9  # keeps the dual steps finite where no rates meet the targets
 OPTIMUM = 1e-9  # slope, in shares of all tokens, at which no step betters the rates
+NEWTON_LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03)
+GRADIENT_LENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
+STEPS_PER_STAGE = 8  # steps between writing the rates, and in one expression
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
 
@@ -86,65 +90,130 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], train_r
     )
 
 
-def _rate(pull: np.ndarray) -> Column:
-    move = sum((F.col(f"p_{d}") * float(pull[d]) for d in range(1, len(pull))), F.col("p_0") * float(pull[0]))
-    return F.greatest(F.lit(0.0), F.lit(1.0) - move)
+def _pull(u: np.ndarray) -> Column:
+    return sum((F.col(f"p_{d}") * float(u[d]) for d in range(1, len(u))), F.col("p_0") * float(u[0]))
 
 
-def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, steps: int | None = None) -> Column:
-    """The rate expression for rows with ``n_tokens`` and ``p_0 ...``; ``shares`` are the target weights.
+def _walked(start: Column, steps: list[np.ndarray]) -> Column:
+    """The rate after projected steps: each moves along the posterior and is cut at 0."""
+    for u in steps:
+        start = F.greatest(F.lit(0.0), start - _pull(u))
+    return start
 
-    ``budget`` is the wanted token total (all tokens there are, if not given). Steps end when every
-    domain meets its target within ``TOLERANCE``, or at the optimum, where no rates meet the targets;
-    the miss that is left is then logged as a warning, as it is when ``steps``, if given, run out.
-    Without tokens all rates are 1.
+
+def _dual_rates(known: DataFrame, target: np.ndarray, all_tokens: float, tolerance: float) -> tuple[Column, np.ndarray]:
+    """Rates nearest to 1 that meet the targets, or come nearest to them where no rates do, and the misses.
+
+    They are max(0, 1 - u p_i); Newton steps on the dual find u, one number per domain. Used where
+    projected steps stall, as they do on the way to targets that no rates meet.
     """
-    k = len(shares)
-    t = F.col("n_tokens").cast("double")
-    all_tokens = rows.agg(F.sum(t)).first()[0]
-    if not all_tokens:
-        return F.lit(1.0)
-    total = float(all_tokens) if budget is None else float(budget)
-    target = np.array(shares) / sum(shares) * total / all_tokens
+    k = len(target)
+    p = [F.col(f"p_{d}") for d in range(k)]
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
 
-    def at(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Dual value, domain totals and Gram matrix of the rows with a rate, as shares of all tokens."""
-        rate = _rate(pull)
-        held = F.when(rate > 0, t).otherwise(0.0)
-        now = rows.agg(
-            F.sum(t * rate * rate),
-            *[F.sum(rate * t * F.col(f"p_{d}")) for d in range(k)],
-            *[F.sum(held * F.col(f"p_{a}") * F.col(f"p_{b}")) for a, b in pairs],
+        rated = known.select("t", *p, _walked(F.lit(1.0), [u]).alias("x"))
+        held = F.when(F.col("x") > 0, F.col("t")).otherwise(0.0)
+        now = rated.agg(
+            F.sum(F.col("t") * F.col("x") * F.col("x")),
+            *[F.sum(F.col("x") * F.col("t") * p[d]) for d in range(k)],
+            *[F.sum(held * p[a] * p[b]) for a, b in pairs],
         ).first()
         gram = np.zeros((k, k))
         for (a, b), value in zip(pairs, now[k + 1 :], strict=True):
             gram[a, b] = gram[b, a] = value / all_tokens
-        return now[0] / all_tokens / 2 + pull @ target + RIDGE / 2 * (pull @ pull), np.array(now[1 : k + 1]) / all_tokens, gram
-
-    pull = np.zeros(k)
-    value, sums, gram = at(pull)
-    done = 0
-    while np.abs(sums - target).max() > TOLERANCE * total / all_tokens and (steps is None or done < steps):
-        slope = target - sums + RIDGE * pull
-        if np.abs(slope).max() <= OPTIMUM + 1e-14 * np.abs(pull).max():  # the rest is rounding
+        return now[0] / all_tokens / 2 + u @ target + RIDGE / 2 * (u @ u), np.array(now[1 : k + 1]) / all_tokens, gram
+
+    u = np.zeros(k)
+    value, sums, gram = at(u)
+    while np.abs(sums - target).max() > tolerance:
+        slope = target - sums + RIDGE * u
+        if np.abs(slope).max() <= OPTIMUM + 1e-14 * np.abs(u).max():  # the rest is rounding
             break
         move = -np.linalg.solve(gram + RIDGE * np.eye(k), slope)
         length = 1.0
         while length > 1e-12:
-            found = at(pull + length * move)
+            found = at(u + length * move)
             if found[0] < value and found[0] <= value + 1e-4 * length * (slope @ move):
                 break
             length /= 4
         else:
             break  # no descent is left that doubles can tell
-        pull = pull + length * move
+        u = u + length * move
         value, sums, gram = found
-        done += 1
-    miss = (sums - target) * all_tokens / total
-    if np.abs(miss).max() > TOLERANCE:
-        LOG.warning("rates miss the targets by %s of the token total after %d steps", np.round(miss, 6).tolist(), done)
-    return _rate(pull)
+    return _walked(F.lit(1.0), [u]), sums - target
+
+
+def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, steps: int | None = None) -> Column:
+    """The rate expression for rows with ``n_tokens`` and ``p_0 ...``; ``shares`` are the target weights.
+
+    Projected-gradient least squares on the rates, from 1: with the misses r of the domain totals, the
+    gradient of half their square is r p_i for document i, so that a step x_i <- max(0, x_i - u p_i) is
+    told by one number u_d per domain. Two directions are tried at several lengths in one aggregation:
+    the gradient over its largest curvature, and Newton's for the documents that are free to move, those
+    with a rate or with a gradient that raises it. The best one is taken.
+
+    ``budget`` is the wanted token total (all tokens there are, if not given). Steps end when every
+    domain meets its target within ``TOLERANCE``. Where a step no longer takes ``PROGRESS`` off the squared
+    misses, hardly any document is free or no rates meet the targets: :func:`_dual_rates` settles it. A
+    miss that is left is logged as a warning, as it is when ``steps``, if given, run out. Without tokens
+    all rates are 1.
+    """
+    k = len(shares)
+    t = F.col("n_tokens").cast("double")
+    p = [F.col(f"p_{d}") for d in range(k)]
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    known = rows.select(t.alias("t"), *p, F.lit(1.0).alias("x"))
+    all_tokens = known.agg(F.sum("t")).first()[0]
+    if not all_tokens:
+        return F.lit(1.0)
+    scale = 1.0 if budget is None else float(budget) / all_tokens
+    target = np.array(shares) / sum(shares) * scale
+
+    def gram(free: Column) -> np.ndarray:
+        held = F.when(free, F.col("t")).otherwise(0.0)
+        sums = known.agg(*[F.sum(held * p[a] * p[b]) for a, b in pairs]).first()
+        out = np.zeros((k, k))
+        for (a, b), value in zip(pairs, sums, strict=True):
+            out[a, b] = out[b, a] = value / all_tokens
+        return out
+
+    def misses(moves: list[np.ndarray]) -> np.ndarray:
+        """What the domains miss after each of the moves, as shares of all tokens."""
+        rates = known.select("t", *p, *[_walked(F.col("x"), [u]).alias(f"x_{n}") for n, u in enumerate(moves)])
+        sums = rates.agg(*[F.sum(F.col("t") * F.col(f"x_{n}") * p[d]) for n in range(len(moves)) for d in range(k)]).first()
+        return np.array(sums).reshape(len(moves), k) / all_tokens - target
+
+    steepest = float(np.linalg.eigvalsh(gram(F.lit(True)))[-1])
+    miss = misses([np.zeros(k)])[0]
+    done: list[np.ndarray] = []
+    while np.abs(miss).max() > TOLERANCE * scale and (steps is None or len(done) < steps):
+        free = gram((F.col("x") > 0) | (_pull(miss) < 0))
+        newton, gradient = np.linalg.pinv(free, rcond=1e-10) @ miss, miss / steepest
+        moves = [length * newton for length in NEWTON_LENGTHS] + [length * gradient for length in GRADIENT_LENGTHS]
+        found = misses(moves)
+        best = int(np.argmin((found**2).sum(1)))
+        if (found[best] ** 2).sum() > (1 - PROGRESS) * (miss**2).sum():
+            rate, miss = _dual_rates(known.select("t", *p), target, all_tokens, TOLERANCE * scale)
+            break
+        miss = found[best]
+        done.append(moves[best])
+        known = known.withColumn("x", _walked(F.col("x"), [moves[best]]))
+        if len(done) % STEPS_PER_STAGE == 0:
+            known = stage(known, "rates")
+    else:
+        rate = None
+    if np.abs(miss).max() > TOLERANCE * scale:
+        LOG.warning("rates miss the targets by %s of the token total after %d steps", np.round(miss / scale, 6).tolist(), len(done))
+    if rate is not None:
+        return rate
+    if len(done) <= STEPS_PER_STAGE:
+        return _walked(F.lit(1.0), done)
+    # Many steps are a constant array that is folded over, not an expression of that depth.
+    path = F.lit([u.tolist() for u in done])
+    cut = lambda x, u: F.greatest(F.lit(0.0), x - sum((u[d] * p[d] for d in range(1, k)), u[0] * p[0]))
+    return F.aggregate(path, F.lit(1.0), cut)
 
 
 def mix(
