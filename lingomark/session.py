@@ -16,8 +16,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Audio clips reach 16 MiB each, so Arrow batches are cut by bytes, not only by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Rows of clips and long texts are large, so Arrow batches are cut by bytes, not only by rows. Each
+    # task holds a batch several times: in the JVM on its way out and back, and in Python.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
 }
 
 _local_roots: dict[str, str] = {}
