@@ -27,6 +27,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")  # in text whose A-Z are lower-cased
 SHORTEST, FEWEST, TYPO = 5, 3, 97
 BLOCK = 8192  # stored words of a task, and
 BLOCK_CHARS = 1 << 20  # their code points
+HELD_WORDS = 1 << 18  # distinct words a task counts before it hands them on
 WORDS_PER_TASK = 1 << 14  # of the vocabulary, each some three times in its groups
 FAR = 9  # outside the band
 
@@ -43,8 +44,14 @@ def word_counts(docs: DataFrame, shortest: int = SHORTEST, typo: int = TYPO) ->
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words, counts = pa.array(found, pa.string()), pa.array(found.values(), pa.int64())
+            found.clear()
+            return pa.RecordBatch.from_arrays([words, counts], ["word", "n"])
+
         for batch in batches:
-            found: Counter[str] = Counter()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 start = zlib.crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
                 own = Counter(runs_of(text.as_py() or ""))
@@ -58,8 +65,9 @@ def word_counts(docs: DataFrame, shortest: int = SHORTEST, typo: int = TYPO) ->
                         if len(run) < shortest:
                             continue
                     found[run] += n
-            words, counts = pa.array(found, pa.string()), pa.array(found.values(), pa.int64())
-            yield pa.RecordBatch.from_arrays([words, counts], ["word", "n"])
+            if len(found) >= HELD_WORDS:
+                yield flush()
+        yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
