@@ -25,7 +25,7 @@ ADJACENT, SAME_PARENT = 0.6, 1.0
 
 # Element names with a meaning for layout.
 HIDDEN = frozenset("head script style noscript template title textarea select option button svg iframe object canvas audio video".split())
-RAW = "script|style|noscript|template|textarea|title|iframe"
+RAW = "script style noscript template textarea title iframe".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MATH = frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover menclose none semantics annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp data output font img br wbr input svg".split()) | MATH
@@ -33,26 +33,23 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
-CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th"}
+CLOSES = {"li": ("li",), "dt": ("dd", "dt"), "dd": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 # Words in class, id or role that speak for one side.
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs combx comment comments complementary contentinfo cookie cookies consent disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related remark reply replies search share shares sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
-START = re.compile(r"<[a-zA-Z](?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({RAW})\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][\w:-]*)([^>]*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"/?([a-zA-Z][\w:-]*)")
+# The rest of a tag with quoted values, and up to where such a scan is stuck.
+QUOTED = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
+STATES = re.compile(r"[\"'<]")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 # Weights before any page is seen: bias, log words, link share, sentence marks, paragraph, list item,
 # heading, boilerplate word, content word.
-PRIOR = np.array([-0.4, 0.5, -4.0, 1.5, 0.8, -0.6, 0.3, -4.0, 1.0])
-CONTAINER = 6.0  # weight of a content or boilerplate element around the block
+PRIOR = np.array([-0.4, 0.5, -4.0, 1.5, 0.8, -0.6, 0.3, -7.0, 1.0])
+CONTAINER = 9.0  # weight of a content or boilerplate element around the block
+EXAMPLES = 200.0  # what the sample's examples of either kind weigh together, against one for the prior
 
 
 @dataclass
@@ -67,31 +64,143 @@ class Block:
     text: str = ""
 
 
+class Tags:
+    """The tags of a page and the text between them, in time linear in the page.
+
+    A quote that is never closed makes a scan run to the page's end. Such a scan passes each later tag
+    with one of three states (no quote, either quote), and one without a quote would fail just the
+    same: those tags are remembered, so that at most three scans run to the end.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.stuck: set[int] = set()
+
+    def _end(self, start: int, at: int) -> int:
+        """Behind the ``>`` of the tag that begins at ``start``: the first outside quotes, else the first."""
+        if start not in self.stuck:
+            found = QUOTED.match(self.page, at)
+            if found:
+                return found.end()
+            quote = ""
+            for m in STATES.finditer(self.page, at):
+                mark = m[0]
+                if mark == "<":
+                    if not quote:
+                        self.stuck.add(m.start())
+                elif not quote:
+                    quote = mark
+                elif quote == mark:
+                    quote = ""
+        return self.page.find(">", at) + 1
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, str]]:
+        """(text before, name, whether it closes, attributes); the name is empty behind the last tag.
+
+        Comments, declarations and the contents of elements such as ``script`` are passed over.
+        """
+        page, size = self.page, len(self.page)
+        text_from = at = 0
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                break
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                yield page[text_from:start], "", False, ""
+                text_from = at = size if end < 0 else end + 3
+                continue
+            at = start + 1
+            if start > self.last:
+                continue  # no tag ends any more, but a comment may begin
+            if page.startswith(("!", "?"), at):
+                yield page[text_from:start], "", False, ""
+                text_from = at = page.find(">", at) + 1
+                continue
+            name = NAME.match(page, at)
+            if name is None:
+                continue
+            closing, own = page[at] == "/", name[1].lower()
+            end = self._end(start, name.end())
+            attributes = page[name.end() : end - 1]
+            before, text_from, at = page[text_from:start], end, end
+            self.raw = None if closing else RAW_END.get(own)
+            yield before, own, closing, attributes
+            if self.raw is not None:  # what it holds is no markup
+                found = self.raw.search(page, end)
+                text_from = at = found.end() if found else size
+        yield page[text_from:], "", False, ""
+
+    def keep_contents(self) -> None:
+        """The element of the tag just given is whole: what follows is markup again."""
+        self.raw = None
+
+
 def _cue(attributes: str) -> int:
     found = ATTRIBUTE.findall(attributes) if "=" in attributes else ()
     words = {w for groups in found for w in re.split(r"[^a-z]+", "".join(groups).lower())}
     return -1 if words & BOILERPLATE_WORDS else 1 if words & CONTENT_WORDS else 0
 
 
+@dataclass
+class Element:
+    name: str
+    number: int
+    cue: int  # its own, or that of the nearest element around it that has one
+    block: int  # place of the nearest element, itself included, that is not inline; -1 without
+
+
+class Open:
+    """The open elements, with what is asked of them kept up to date, so that nothing walks them."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.content = self.boilerplate = self.hidden = self.links = 0
+
+    def _shift(self, name: str, by: int) -> None:
+        self.content += by * (name in CONTENT_TAGS)
+        self.boilerplate += by * (name in BOILERPLATE_TAGS)
+        self.hidden += by * (name in HIDDEN)
+        self.links += by * (name == "a")
+
+    def push(self, name: str, number: int, cue: int) -> None:
+        top = self.stack[-1] if self.stack else None
+        place = len(self.stack)
+        block = place if name not in INLINE else top.block if top else -1
+        self.stack.append(Element(name, number, cue or (top.cue if top else 0), block))
+        self.places.setdefault(name, []).append(place)
+        self._shift(name, 1)
+
+    def pop_to(self, place: int) -> None:
+        for element in self.stack[place:]:
+            self.places[element.name].pop()
+            self._shift(element.name, -1)
+        del self.stack[place:]
+
+    def nearest(self, name: str) -> int:
+        """Place of the innermost open element of that name, -1 without."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    @property
+    def block(self) -> Element | None:
+        """The innermost open element that is not inline."""
+        place = self.stack[-1].block if self.stack else -1
+        return self.stack[place] if place >= 0 else None
+
+    def drawing(self) -> int:
+        """Place of the open drawing if what comes belongs to it, else -1."""
+        place = self.nearest("svg")
+        return place if place > self.nearest("foreignobject") else -1
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order, white space collapsed, character references decoded, none empty."""
-    page = page or ""
-    # Open elements: name, number, cue.
-    stack: list[tuple[str, int, int]] = []
-    open_now = {"content": 0, "boilerplate": 0, "hidden": 0, "a": 0}
+    opened = Open()
     done: list[Block] = []
     current: Block | None = None
-    count = at = 0
-
-    def shift(name: str, by: int) -> None:
-        for key, names in (("content", CONTENT_TAGS), ("boilerplate", BOILERPLATE_TAGS), ("hidden", HIDDEN), ("a", ("a",))):
-            if name in names:
-                open_now[key] += by
-
-    def pop_to(place: int) -> None:
-        for name, _, _ in stack[place:]:
-            shift(name, -1)
-        del stack[place:]
+    count = 0
 
     def end_block() -> None:
         nonlocal current
@@ -103,80 +212,62 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal current
-        if open_now["hidden"] or not raw:
+        if opened.hidden or not raw:
             return
         if current is None:
             if raw.isspace():
                 return
-            blocks = [s for s in stack if s[0] not in INLINE]
-            cue = next((c for _, _, c in reversed(stack) if c), 0)
-            current = Block(blocks[-1][1] if blocks else -1, blocks[-1][0] if blocks else "", open_now["content"], open_now["boilerplate"], cue)
+            around = opened.block
+            cue = opened.stack[-1].cue if opened.stack else 0
+            current = Block(
+                around.number if around else -1, around.name if around else "", opened.content, opened.boilerplate, cue
+            )
         text = html.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
-        if open_now["a"]:
+        if opened.links:
             current.linked += len(text)
 
-    def drawing() -> int | None:
-        """Place of the open drawing, if what comes belongs to it."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "foreignobject":
-                return None
-            if stack[k][0] == "svg":
-                return k
-        return None
-
-    while m := TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        svg = drawing() if open_now["hidden"] else None
-        if svg is not None and m[1] and (start := START.match(page, m.start())) and start[0].endswith("/>"):
-            at = start.end()  # in a drawing, <style/> or <title/> is whole
-            continue
-        name = m[3] or m[6]
+    tags = Tags(page or "")
+    for text, name, closing, attributes in tags:
+        add(text)
         if not name:
             continue
-        name = name.lower()
-        closing = m[2] if m[3] else m[5]
-        if svg is not None and not closing and name in BREAKOUT:
-            pop_to(next(k for k, s in enumerate(stack) if s[0] == "svg"))
-            svg = None
-        elif svg is not None and not closing:
+        whole = attributes.rstrip().endswith("/")
+        svg = opened.drawing() if opened.hidden else -1
+        if not closing and name in RAW_END:
+            if svg >= 0 and whole:  # in a drawing, <style/> or <title/> has no contents
+                tags.keep_contents()
+            continue
+        if svg >= 0 and not closing and name in BREAKOUT:
+            opened.pop_to(opened.places["svg"][0])
+        elif svg >= 0 and not closing:
             # The parts of a drawing do not end the text around it.
-            if not (m[4] if m[3] else m[7]).rstrip().endswith("/"):
+            if not whole:
                 count += 1
-                stack.append((name, count, 0))
-                shift(name, 1)
+                opened.push(name, count, 0)
             continue
-        elif svg is not None and any(s[0] == name for s in stack[svg:]):
-            pop_to(max(k for k, s in enumerate(stack) if s[0] == name))
+        elif svg >= 0 and opened.nearest(name) >= svg:
+            opened.pop_to(opened.nearest(name))
             continue
         if name not in INLINE:
             end_block()
         elif name == "br" and current is not None:
             current.parts.append(" ")
         if closing:
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if place is not None:
-                pop_to(place)
+            if opened.nearest(name) >= 0:
+                opened.pop_to(opened.nearest(name))
             continue
         if name in VOID:
             continue
-        if name not in INLINE:
+        around = opened.block
+        if name not in INLINE and around is not None:
             # A paragraph ends at the next block element, list items and cells at the next of their kind.
-            ends = CLOSES.get(name, "").split()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends or stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        attributes = m[4] if m[3] else m[7]
-        if attributes.rstrip().endswith("/") and name in ("svg", "math"):
+            if around.name == "p" or around.name in CLOSES.get(name, ()):
+                opened.pop_to(around.block)
+        if whole and name in ("svg", "math"):
             continue
         count += 1
-        stack.append((name, count, _cue(attributes)))
-        shift(name, 1)
-    add(page[at:])
+        opened.push(name, count, _cue(attributes))
     end_block()
     return done
 
@@ -192,7 +283,11 @@ def features(block: Block) -> list[float]:
 
 
 def cost(block: Block, weights: np.ndarray) -> float:
-    """Log odds of content: the classifier's, and a fixed weight for meaningful elements around."""
+    """Log odds of content: the classifier's, and a fixed weight for meaningful elements around.
+
+    Elements and class words that name a part of the page outweigh the classifier; where a page has
+    none, as most blocks do, it decides.
+    """
     odds = float(np.dot(weights, features(block)))
     if block.boilerplate:
         return odds - CONTAINER
@@ -242,7 +337,11 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 
 def _flow(cost: list[float], around: list[dict[int, float]], names: list[int]) -> list[bool]:
-    """Source side of the minimum cut by Dinic's blocking flows, with an explicit stack."""
+    """Source side of the minimum cut by Dinic's blocking flows, with an explicit stack.
+
+    Behind a full path the search goes on at the first edge it has used up, and no edge is tried twice
+    in a phase.
+    """
     place = {v: k for k, v in enumerate(names)}
     n = len(names)
     source, sink = n, n + 1
@@ -252,6 +351,7 @@ def _flow(cost: list[float], around: list[dict[int, float]], names: list[int]) -
             room[source][k], room[k][source] = c, 0.0
         elif c < 0:
             room[k][sink], room[sink][k] = -c, 0.0
+    ways = [list(r) for r in room]
     tiny = 1e-12
     while True:
         level = [-1] * (n + 2)
@@ -265,26 +365,30 @@ def _flow(cost: list[float], around: list[dict[int, float]], names: list[int]) -
                     queue.append(u)
         if level[sink] < 0:
             return [level[k] >= 0 for k in range(n)]
-        following = [iter(list(r)) for r in room]
+        tried = [0] * (n + 2)
         path = [source]
         while path:
             v = path[-1]
             if v == sink:
                 least = min(room[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
+                used_up = None
+                for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
                     room[a][b] -= least
                     room[b][a] += least
-                path = [source]
-                following[source] = iter(list(room[source]))
+                    if used_up is None and room[a][b] <= tiny:
+                        used_up = k
+                del path[used_up + 1 :]
                 continue
-            for u in following[v]:
+            while tried[v] < len(ways[v]):
+                u = ways[v][tried[v]]
                 if room[v][u] > tiny and level[u] == level[v] + 1:
                     path.append(u)
-                    following[v] = iter([u, *following[v]])
                     break
+                tried[v] += 1
             else:
                 path.pop()
-                level[v] = -1
+                if path:
+                    tried[path[-1]] += 1
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
@@ -322,9 +426,8 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> np.ndarray:
         return PRIOR
     x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float)
     n = np.array([r["count"] for r in found], float)
-    # Both kinds weigh alike, and together as much as the prior can bear.
-    for kind in (0.0, 1.0):
-        n[y == kind] *= 20.0 / max(n[y == kind].sum(), 1.0)
+    for kind in (0.0, 1.0):  # both kinds weigh alike
+        n[y == kind] *= EXAMPLES / max(n[y == kind].sum(), 1.0)
     weights = PRIOR.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))

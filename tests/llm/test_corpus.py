@@ -439,6 +439,55 @@ def test_icons_and_formulas():
     assert html.main_text(page, html.PRIOR) == want
 
 
+HOSTILE = {
+    "open elements": "<div>" * 200_000,
+    "no end of a tag": "<b " * 350_000,
+    "quotes never closed": "<b \">\" " * 120_000,
+    "mixed quotes": "<b '\"> " * 120_000,
+    "inline elements and paragraphs": "<b><p>x" * 130_000,
+    "closed without an opening": "<div>" * 100_000 + "</x>" * 100_000,
+    "drawings": "<svg>" * 100_000 + "<g>" * 100_000,
+    "undecided blocks": "<p>a b</p>" * 50_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_long_pages_take_linear_time(kind):
+    import time
+
+    # Five times the page, at most some ten times the time: a quadratic step would show as 25.
+    took = []
+    for part in (5, 1):
+        page = HOSTILE[kind][: len(HOSTILE[kind]) // part]
+        start = time.process_time()
+        html.main_text(page, html.PRIOR)
+        took.append(time.process_time() - start)
+    assert took[1] < max(0.5, 12 * took[0]) and took[1] < 10
+
+
+def test_tags_with_open_quotes():
+    page = '<p title="never closed>First words.</p><p>Second words.</p>'
+    assert [b.text for b in html.blocks_of(page)] == ["First words.", "Second words."]
+    assert [b.text for b in html.blocks_of("a < b and <p>c > d<!-- never closed <p>gone")] == ["a < b and", "c > d"]
+    assert [b.text for b in html.blocks_of("<p>one <script>var a = '<p>';</script>two</p>")] == ["one two"]
+
+
+def test_classifier_decides_where_lists_are_silent(spark):
+    """Fitted weights alone, without any named element or class word, part article and rest."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    weights = html.train(pages)
+    right = total = 0
+    for row in pages.collect():
+        blocks = html.blocks_of(row.html)
+        truth = [b.content > 0 for b in blocks]
+        for b in blocks:
+            b.content = b.boilerplate = b.cue = 0
+        sides = html.minimum_cut([html.cost(b, weights) for b in blocks], html.edges_of(blocks))
+        right += sum(a == b for a, b in zip(truth, sides, strict=True))
+        total += len(truth)
+    assert right / total > 0.98
+
+
 def test_extract(spark):
     rows = [(1, None, None), (2, "u", ""), (None, None, "<article><p>Some words, here.</p></article>"), (3, "u", "<p>" + "long words, " * 20000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
