@@ -17,6 +17,7 @@ from lingomark.operators import (
     embedding,
     ordering,
     resolve,
+    rules,
     split,
     stats,
     training,
@@ -30,6 +31,7 @@ VECTOR_SIZE = 64
 FRAME, HOP = 16, 8
 FILLED_FEATURES = 8
 CLIP_VECTORS = 20
+SOUND_RATE, SOUND_SECONDS = 4000, 6
 UPLOAD_LIMIT = 700
 
 # An example rule table; users bring their own.
@@ -128,8 +130,8 @@ def rule_error_counts(spark, folder):
 def _with_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The documents, each with the rules of a table in the column ``rules``."""
     rows = [(k, *rule) for k, rule in enumerate(RULES)]
-    rules = spark.createDataFrame(rows, "position int, rule_id string, pattern string, replacement string")
-    return documents(spark, folder).withColumn("rules", text.rule_table(rules))
+    listed = spark.createDataFrame(rows, "position int, rule_id string, pattern string, replacement string")
+    return documents(spark, folder).withColumn("rules", text.rule_table(listed))
 
 
 def rule_table_counts(spark, folder):
@@ -142,6 +144,24 @@ def rule_table_correct(spark, folder):
     return _with_rules(spark, folder).select("doc_id", corrected.alias("rule_corrected"))
 
 
+def rule_dictionary_counts(spark, folder):
+    """A rule for every longer plain word of the corpus, beside the example rules: tens of thousands."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("literal")).distinct()
+    words = runs.where(F.col("literal").rlike("^[A-Za-z]{5,}$")).select(
+        F.xxhash64("literal").alias("position"),
+        F.concat(F.lit("word_"), "literal").alias("rule_id"),
+        F.concat("literal", F.lit("(?<![A-Za-z0-9_]"), "literal", F.lit(")(?![A-Za-z0-9_])")).alias("pattern"),
+        "literal",
+        F.lit(True).alias("whole"),
+    )
+    # Literals that every match of an example rule contains, where there is one.
+    literals = {"word_the the": "the the", "article": " "}
+    own = [(k, r.rule_id, r.pattern, literals.get(r.rule_id), False) for k, r in enumerate(RULES)]
+    examples = spark.createDataFrame(own, "position bigint, rule_id string, pattern string, literal string, whole boolean")
+    return rules.rule_matches(docs, "doc_id", "text", words.unionByName(examples))
+
+
 def grammar_ratio(spark, folder):
     counted = documents(spark, folder).select(
         "doc_id",
@@ -607,6 +627,36 @@ def resumed_features(spark, folder):
     return scoring.read_batches(spark, f"{path}/out", featured.schema)
 
 
+def made_sounds(spark, folder):
+    """Clicks at a known rate and noise at a known level per supplier: what tempo and mel power make of them."""
+    number = F.col("s_suppkey")
+    beats = 90 + F.pmod(number, F.lit(3)) * 30
+    at = F.sequence(F.lit(0), F.lit(SOUND_RATE * SOUND_SECONDS - 1))
+    # A noise that every row can make anew: a hash of row and place.
+    noise = lambda i: (F.pmod(F.xxhash64(number, i), F.lit(2001)) - 1000) / 1000
+    beat = (F.lit(SOUND_RATE * 60) / beats).cast("int")
+    sounds = session.spread(table(spark, folder, "supplier")).select("s_suppkey", beats.alias("beats"), beat.alias("beat"))
+    made = sounds.select(
+        "s_suppkey", "beats",
+        F.transform(at, lambda i: F.when(i % F.col("beat") < 50, noise(i) * 0.8).otherwise(0.0)).alias("clicks"),
+        F.transform(at, lambda i: noise(i) * 0.25).alias("quiet"),
+        F.transform(at, lambda i: noise(i) * 0.5).alias("loud"),
+    )
+    heard = made.select(
+        "s_suppkey", "beats",
+        *[audio.audio_features(audio.encode(F.col(c), SOUND_RATE)).alias(c) for c in ("clicks", "quiet", "loud")],
+    )
+    ratio = F.col("loud.mel_power_mean") / F.col("quiet.mel_power_mean")
+    # Uniform noise of amplitude a has the mean square a * a / 3.
+    level = F.col("loud.rms_global") / (0.5 / F.sqrt(F.lit(3.0)))
+    return heard.select(
+        "s_suppkey", "beats",
+        (F.abs(F.col("clicks.tempo") - F.col("beats")) <= 8).alias("tempo_found"),
+        (F.abs(ratio - 4) < 0.01).alias("power_grows_with_the_square"),
+        (F.abs(level - 1) < 0.03).alias("level_found"),
+    )
+
+
 def _training_vectors(spark, folder) -> DataFrame:
     vecs = table(spark, folder, "embeddings")
     rows = vecs.select("vec_id", F.col("embedding").cast("array<double>"), (F.col("label") * 0.5).alias("label"))
@@ -942,6 +992,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rule_error_counts,
         rule_table_counts,
         rule_table_correct,
+        rule_dictionary_counts,
         grammar_ratio,
         prompt_build,
         score_parse,
@@ -988,6 +1039,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clip_features,
         feature_dataset,
         validate_clips,
+        made_sounds,
         train_score_gbt,
         train_score_rf,
         stacked_score,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
-# Digits of the digest that the two histograms tell apart: at most 65536 rows each.
-PREFIX_DIGITS = (4, 8)
+# Digits by which a histogram of digests grows finer, at most 65536 rows each, and the digests that are
+# put in order one by one.
+DIGITS = 4
+FEW = 1 << 17
+MD5_DIGITS = 32
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -17,47 +18,40 @@ def _digest(key: str, seed: int) -> Column:
     return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.md5(F.lit(f"{seed} NULL")))
 
 
-def _at_border(rows: DataFrame, digits: int, wanted: Column, given: Sequence[str] = ()) -> DataFrame:
-    """The rows in whose digest prefix the first ``wanted`` rows end; ``_take`` of them belong to these.
-
-    ``wanted`` is an expression over the histogram (``_n`` rows per prefix) and the ``given`` columns.
-    """
-    prefix = F.substring("_digest", 1, digits)
-    histogram = rows.groupBy(prefix.alias("_prefix"), *given).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = histogram.select("_prefix", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), wanted.alias("_wanted"))
-    border = running.where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
-    border = border.select(F.struct("_prefix", (F.col("_wanted") - F.col("_before")).alias("take")))
-    inside = rows.select("_key", "_digest", border.scalar().alias("_border")).where(prefix == F.col("_border._prefix"))
-    return inside.select("_key", "_digest", F.col("_border.take").alias("_take"))
-
-
-def _last_validation_key(df: DataFrame, key: str, share: float, seed: int) -> Column:
-    """Scalar subquery: digest and key of the last validation row in digest order.
+def _last_validation_digest(df: DataFrame, key: str, share: float, seed: int) -> str | None:
+    """Digest of the last validation row in digest order; None without validation rows.
 
-    Two histograms narrow the digests down to one in 2**32; only those keys are put in order.
+    Histograms of growing prefixes narrow the digests down until few are left under one prefix, which
+    the first does for any table of less than some billion rows.
     """
-    hashed = df.select(F.col(key).alias("_key"), _digest(key, seed).alias("_digest"))
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, second = PREFIX_DIGITS
-    near = _at_border(hashed, first, F.ceil(F.sum("_n").over(everything) * F.lit(share)))
-    nearest = _at_border(near, second, F.col("_take"), ["_take"])
-    counted = nearest.groupBy("_digest", "_key", "_take").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counted.withColumn("_rank", F.sum("_n").over(Window.partitionBy("_take").orderBy("_digest", "_key")))
-    last = ranked.where((F.col("_rank") >= F.col("_take")) & (F.col("_rank") - F.col("_n") < F.col("_take")))
-    return last.select(F.struct("_digest", "_key")).scalar()
+    hashed = df.select(_digest(key, seed).alias("digest"))
+    prefix, wanted, digits = "", None, DIGITS
+    while True:
+        rows = hashed.where(F.col("digest").startswith(prefix))
+        histogram = rows.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        # At most 65536 rows, or the few digests of one prefix.
+        upto = F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        everything = F.sum("n").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        rank = F.ceil(everything * F.lit(share)) if wanted is None else F.lit(wanted)
+        running = histogram.select("prefix", "n", upto.alias("upto"), rank.alias("wanted"))
+        border = running.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted"))).first()
+        if border is None:
+            return None
+        prefix = border["prefix"]
+        if digits == MD5_DIGITS:
+            return prefix
+        wanted = border["wanted"] - (border["upto"] - border["n"])
+        digits = MD5_DIGITS if border["n"] <= FEW else digits + DIGITS
 
 
 def exact_split(df: DataFrame, key: str, share: float, seed: int = SEED) -> DataFrame:
     """Mark ``ceil(n * share)`` rows as ``val`` and the others as ``train`` (column ``split``).
 
     Rows are ordered by the MD5 of seed and key, so the parts do not depend on partitioning or
-    engine. Three passes over the key column find the last validation key; the table itself is then
-    only compared with it: no shuffle, no sort, one read. Rows that share a key stay together.
+    engine. Two passes over the key column find the digest of the last validation row, at once; the
+    table itself is then only compared with it: no shuffle, no sort, one read. Rows that share a key
+    stay together.
     """
-    last = _last_validation_key(df, key, share, seed)
-    marked = df.withColumn("_last", last)
-    place = F.struct(_digest(key, seed).alias("_digest"), F.col(key).alias("_key"))
-    chosen = F.coalesce(place <= F.col("_last"), F.lit(False))
-    part = F.when(chosen, F.lit("val")).otherwise(F.lit("train"))
-    return marked.withColumn("split", part).drop("_last")
+    last = _last_validation_digest(df, key, share, seed)
+    chosen = F.lit(False) if last is None else _digest(key, seed) <= F.lit(last)
+    return df.withColumn("split", F.when(chosen, F.lit("val")).otherwise(F.lit("train")))

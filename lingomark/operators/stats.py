@@ -2,153 +2,157 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingomark.functions.numeric import mse_term
-from lingomark.operators.ordering import PART_NO, part_starts, range_parts, with_row_index
+from lingomark.operators.ordering import with_row_index
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Accuracy of the quantile sketch, and the share of ranks a bracket reaches to either side.
-SKETCH_ACCURACY = 2000
-BRACKET = 4 / SKETCH_ACCURACY
+# Size of a quantile sketch (its ranks err by some 0.3 %), the ranks it is asked for, how many of them a
+# bracket reaches to either side, and the values in a bracket that are told one by one.
+SKETCH_SIZE = 800
+GRID = 256
+REACH = 3
+FEW = 1 << 17
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column and usable value."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    long = df.select(F.inline(cells))
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+def _value(column: str) -> Column:
+    """The column as a double, NULL where it is NaN."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
-def _counts(long: DataFrame) -> DataFrame:
-    """How often each value occurs."""
-    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("gap", F.lit(False))
+def _between(value: Column, low: float | None, high: float | None) -> Column:
+    inside = value.isNotNull()
+    inside = inside if low is None else inside & (value >= low)
+    return inside if high is None else inside & (value <= high)
 
 
-def _counts_near(long: DataFrame, at: Sequence[float]) -> DataFrame:
-    """Like :func:`_counts`, with values far from the wanted quantiles merged into gaps.
+def _grid(value: Column) -> Column:
+    """About the quantiles at 0, 1/GRID, ..., 1, from a mergeable sketch; NULL without values."""
+    sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
+    ranks = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
 
-    Approximate quantiles bracket each wanted one. A value between two brackets is counted under
-    the upper end of the bracket below it, as a gap; below the first bracket under NULL. So about
-    one value in a hundred is shuffled, whatever the number of distinct values.
-    """
-    shares = [min(max(q + side * BRACKET, 0.0), 1.0) for q in at for side in (-1, 1)]
-    ends = long.groupBy("column_name").agg(
-        F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("_ends")
-    )
-    # One row per column.
-    placed = long.join(F.broadcast(ends), "column_name")
-    value = F.col("value")
-    inside, below = F.lit(False), F.lit(None).cast("double")
-    for i in range(len(at)):
-        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
-        inside = inside | ((value >= low) & (value <= high))
-        below = F.when(value > high, high).otherwise(below)
-    snapped = placed.select(
-        "column_name", F.when(inside, value).otherwise(below).alias("value"), (~inside).alias("gap")
-    )
-    return snapped.groupBy("column_name", "value", "gap").agg(F.count(F.lit(1)).alias("n"))
 
+def _bracket(grid: Sequence[float], least: float, most: float) -> tuple[float | None, float | None]:
+    """Values around the ranks ``least`` to ``most`` (shares); open at the ends of the sketch."""
+    low, high = math.floor(least * GRID) - REACH, math.ceil(most * GRID) + REACH
+    return None if low <= 0 else grid[low], None if high >= GRID else grid[high]
 
-def _values_at(counted: DataFrame, at: Sequence[float]) -> DataFrame:
-    """Quantiles from value counts: ``column_name, q, value, missed``.
 
-    Counts are sorted into range partitions, and only the partitions that hold a wanted rank are
-    read. ``missed`` marks a rank that fell into a gap.
-    """
-    order = ["column_name", "value", "gap"]
-    parts = range_parts(counted, order, "quantiles")
-    starts = part_starts(parts, F.sum("n"), ["column_name"])
-    totals = starts.groupBy("column_name").agg(F.sum("_size").alias("total"))
-    points = totals.select(
-        "column_name", F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("q"), "total"
-    )
-    points = points.withColumn("position", (F.col("total") - 1) * F.col("q"))
-    ranks = points.select(
-        "column_name",
-        "q",
-        (F.col("position") - F.floor("position")).alias("share"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("low").alias("side"), F.floor("position").alias("rank")),
-                F.struct(F.lit("high").alias("side"), F.ceil("position").alias("rank")),
-            )
-        ),
-    )
-    # Two ranks per quantile and column: a few rows, whatever the table size.
-    wanted = ranks.join(starts, "column_name").where(
-        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_size"))
-    )
-    wanted = F.broadcast(wanted.drop("_size"))
-    inside = Window.partitionBy("column_name", PART_NO).orderBy("value", "gap")
-    read = parts.join(wanted.select("column_name", PART_NO).distinct(), ["column_name", PART_NO], "left_semi")
-    ranked = read.withColumn("upto", F.sum("n").over(inside))
-    hits = ranked.join(wanted, ["column_name", PART_NO]).where(
-        (F.col("rank") < F.col("_start") + F.col("upto"))
-        & (F.col("rank") >= F.col("_start") + F.col("upto") - F.col("n"))
-    )
-    ends = hits.groupBy("column_name", "q", "share").agg(
-        F.max(F.when(F.col("side") == "low", F.col("value"))).alias("low"),
-        F.max(F.when(F.col("side") == "high", F.col("value"))).alias("high"),
-        F.max("gap").alias("missed"),
+def _value_ranks(df: DataFrame, brackets: dict[int, tuple], ranks: dict[int, tuple[int, int]]) -> dict[int, dict[int, float]]:
+    """The values at given ranks inside brackets of few values: number -> rank -> value."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), F.when(_between(_value(c), low, high), _value(c)).alias("value"))
+            for k, (c, low, high) in brackets.items()
+        ]
     )
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
-    return ends.select("column_name", "q", value.alias("value"), "missed")
+    inside = df.select(F.inline(F.filter(cells, lambda cell: cell["value"].isNotNull())))
+    counted = inside.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
+    # A bracket has few values, by its count or by the number of different ones.
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("value"))
+    steps = counted.withColumn("upto", upto)
+    asked = [(k, rank) for k, pair in ranks.items() for rank in set(pair)]
+    wanted = F.lit(False)
+    for k, rank in asked:
+        wanted = wanted | ((F.col("k") == k) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+    found: dict[int, dict[int, float]] = {}
+    for row in steps.where(wanted).collect():  # at most two rows per quantile
+        for k, rank in asked:
+            if row["k"] == k and row["upto"] - row["n"] <= rank < row["upto"]:
+                found.setdefault(k, {})[rank] = row["value"]
+    return found
+
+
+def _quantiles(df: DataFrame, grids: dict[str, tuple[int, Sequence[float]]], at: Sequence[float]) -> dict[tuple[str, float], float]:
+    """Exact quantiles from the counts and grids of the columns.
+
+    A bracket around each wanted rank is taken from the grid and its values are counted; a bracket that
+    missed its rank is opened, one that holds too many different values gets a grid of its own. So each
+    pass over the table leaves about one value in fifty, and no task holds more than ``FEW``.
+    """
+    out: dict[tuple[str, float], float] = {}
+    open_now: dict[tuple[str, float], tuple] = {}
+    ranks: dict[tuple[str, float], tuple[int, int]] = {}
+    for c, (n, grid) in grids.items():
+        for q in at:
+            if n:
+                position = (n - 1) * q
+                ranks[c, q] = math.floor(position), math.ceil(position)
+                open_now[c, q] = _bracket(grid, position / n, (position + 1) / n)
+    while open_now:
+        keys = list(open_now)
+        asked = []
+        for k, (c, q) in enumerate(keys):
+            value, (low, high) = _value(c), open_now[c, q]
+            inside = F.when(_between(value, low, high), value)
+            asked += [
+                (F.lit(0) if low is None else F.count_if(value < low)).alias(f"below_{k}"),
+                F.count(inside).alias(f"inside_{k}"),
+                F.approx_count_distinct(inside).alias(f"kinds_{k}"),
+            ]
+            if grids[c][0] * 4 * REACH // GRID > FEW:
+                asked.append(_grid(inside).alias(f"grid_{k}"))
+        row = df.agg(*asked).first()
+        ready: dict[int, tuple] = {}
+        wanted: dict[int, tuple[int, int]] = {}
+        for k, (c, q) in enumerate(keys):
+            low, high = open_now[c, q]
+            below, inside = row[f"below_{k}"], row[f"inside_{k}"]
+            first, last = ranks[c, q]
+            if first < below or last >= below + inside:
+                open_now[c, q] = (None if first < below else low), (None if last >= below + inside else high)
+            elif min(inside, row[f"kinds_{k}"]) <= FEW or f"grid_{k}" not in row:
+                ready[k], wanted[k] = (c, low, high), (first - below, last - below)
+            else:
+                inner = _bracket(row[f"grid_{k}"], (first - below) / inside, (last - below + 1) / inside)
+                open_now[c, q] = tuple(o if i is None else i for i, o in zip(inner, (low, high)))
+        if ready:
+            for k, values in _value_ranks(df, ready, wanted).items():
+                c, q = keys[k]
+                position = (grids[c][0] - 1) * q
+                start, end = values[wanted[k][0]], values[wanted[k][1]]
+                out[c, q] = start if start == end else start + (end - start) * (position - math.floor(position))
+                del open_now[c, q]
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``column_name, q, value``.
+    """Exact quantiles with linear interpolation: ``column_name, q, value``; none for a column without values.
 
-    ``percentile`` would build one map of all distinct values in one task. Here only values near the
-    quantiles are counted one by one. The brackets are approximate: of columns in which a rank lies
-    elsewhere all values are counted.
+    ``percentile`` would build one map of all distinct values in one task. The table is read about three
+    times, whatever the number of columns and quantiles; stage it when it is expensive. Runs at once.
     """
-    long = _long(df, columns)
-    found = _values_at(_counts_near(long, at), at)
-    missed = [r[0] for r in found.where("missed").select("column_name").distinct().collect()]
-    if not missed:
-        return found.drop("missed")
-    again = F.col("column_name").isin(missed)
-    return found.where(~again).union(_values_at(_counts(long.where(again)), at)).drop("missed")
+    row = df.agg(*[F.struct(F.count(_value(c)), _grid(_value(c))).alias(f"c_{k}") for k, c in enumerate(columns)]).first()
+    found = _quantiles(df, {c: tuple(row[f"c_{k}"]) for k, c in enumerate(columns)}, at)
+    rows = [(c, float(q), found[c, q]) for c in columns for q in at if (c, q) in found]
+    return df.sparkSession.createDataFrame(rows, "column_name string, q double, value double")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per numeric column, one row per column.
 
-    A column without values has count 0 and NULLs. The table is read several times; stage expensive
-    features before.
+    A column without values has count 0 and NULLs. The table is read about three times; stage expensive
+    features before. Runs at once.
     """
-    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))
-    moments = (
-        _long(df, columns)
-        .groupBy("column_name")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
-    quartiles = exact_quantiles(df, columns)
-    wide = quartiles.groupBy("column_name").agg(
-        *[
-            F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"p{round(q * 100)}")
-            for q in QUARTILES
-        ]
-    )
-    # One row per column on all sides.
-    found = F.broadcast(names).join(moments, "column_name", "left").join(F.broadcast(wide), "column_name", "left")
-    return found.select(
-        "column_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+    moments = [F.count, F.avg, F.stddev_samp, F.min, F.max, _grid]
+    row = df.agg(
+        *[F.struct(*[f(_value(c)).alias(f"m_{i}") for i, f in enumerate(moments)]).alias(f"c_{k}") for k, c in enumerate(columns)]
+    ).first()
+    found = {c: row[f"c_{k}"] for k, c in enumerate(columns)}
+    quartiles = _quantiles(df, {c: (m[0], m[5]) for c, m in found.items()}, QUARTILES)
+    rows = [
+        (c, m[0], m[1], m[2], m[3], *[quartiles.get((c, q)) for q in QUARTILES], m[4]) for c, m in found.items()
+    ]
+    names = ["mean double", "std double", "min double", *[f"p{round(q * 100)} double" for q in QUARTILES], "max double"]
+    return df.sparkSession.createDataFrame(rows, f"column_name string, count bigint, {', '.join(names)}")
 
 
 def any_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:

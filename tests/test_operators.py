@@ -96,9 +96,19 @@ def test_bracketed_quantiles(spark, n):
     assert got == pytest.approx({(c, q): frame[c].quantile(q) for c in "abc" for q in at})
 
 
-def test_far_values_are_merged_before_the_shuffle(spark):
-    long = stats._long(spark.range(100000).select(F.rand(1).alias("a")), ["a"])
-    assert stats._counts_near(long, (0.5,)).count() < 2000
+@pytest.mark.parametrize("few", [8, 300])
+def test_brackets_are_narrowed_until_few_values_are_left(spark, monkeypatch, few):
+    """As on tables of many values: every bracket gets a sketch of its own, again and again."""
+    monkeypatch.setattr(stats, "FEW", few)
+    monkeypatch.setattr(stats, "SKETCH_SIZE", 64)
+    rng = np.random.default_rng(few)
+    n = 40000
+    frame = pd.DataFrame({"a": rng.normal(size=n), "b": rng.exponential(size=n), "c": rng.integers(0, 3, n).astype(float)})
+    frame.loc[: n // 3, "b"] = 0.5
+    frame.loc[7, "a"], frame.loc[8, "a"] = 1e300, np.nan
+    at = (0.0, 0.01, 0.5, 0.999, 1.0)
+    got = {(r["column_name"], r["q"]): r["value"] for r in stats.exact_quantiles(spark.createDataFrame(frame), list("abc"), at).collect()}
+    assert got == pytest.approx({(c, q): frame[c].quantile(q) for c in "abc" for q in at})
 
 
 def test_quantiles_of_tiny_columns(spark):
@@ -309,3 +319,35 @@ def test_describe_keeps_columns_without_values(spark):
     rows = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
     got = {r["column_name"]: r for r in stats.describe(rows, ["a", "b"]).collect()}
     assert got["b"]["count"] == 0 and got["b"]["mean"] is None and got["a"]["mean"] == 2.0
+
+
+@pytest.mark.parametrize("block", [1 << 22, 20])
+def test_rule_matches_equal_the_fold(spark, monkeypatch, block):
+    from lingomark.functions import text
+    from lingomark.operators import rules
+
+    monkeypatch.setattr(rules, "BLOCK_BYTES", block)
+    words = ["the", "cat", "the the", "cats", "a", "ab", "été"]
+    listed = [(k, f"w{k}", text.word_rule(w, "").pattern, w, True) for k, w in enumerate(words)]
+    listed += [
+        (20, "marks", "[!?]{2,}", None, False), (21, "vowel", "([aA]) ([aeiou])", " ", None),
+        (22, "cat", "cat", "cat", False), (23, "empty literal", "x+", "", False), (24, "again", "the", "the", None),
+    ]
+    table = spark.createDataFrame(listed, "position bigint, rule_id string, pattern string, literal string, whole boolean")
+    texts = ["the the the cat", "cats and a apple!! concat été_ été", None, "", "ab ab aba_ab xx", "THE the_ 1the the1 ?!x"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    got = {(r["id"], r["rule_id"]): r["hits"] for r in rules.rule_matches(docs, "id", "t", table).collect()}
+    counted = docs.select("id", F.explode(text.rule_hits(F.col("t"), [text.Rule(r[1], r[2], "") for r in listed])).alias("h"))
+    want = {(r["id"], r["h"]["rule_id"]): r["h"]["hits"] for r in counted.where("h.hits > 0").collect()}
+    assert got == want and got[0, "w2"] == 1 and got[0, "w0"] == 3
+    assert rules.rule_matches(docs, "id", "t", table.limit(0)).count() == 0
+    assert rules.rule_matches(docs.limit(0), "id", "t", table).count() == 0
+
+
+def test_split_narrows_down_to_one_digest(spark, monkeypatch):
+    rows = spark.range(500).select((F.col("id") % 97).alias("id"))
+    plain = {(r["id"], r["split"]) for r in split.exact_split(rows, "id", 0.3).collect()}
+    monkeypatch.setattr(split, "FEW", 0)
+    monkeypatch.setattr(split, "DIGITS", 1)
+    assert {(r["id"], r["split"]) for r in split.exact_split(rows, "id", 0.3).collect()} == plain
+    assert split.exact_split(rows.limit(0), "id", 0.3).count() == 0
