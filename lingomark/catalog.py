@@ -597,7 +597,7 @@ def upload_stream(spark, folder):
         part.write.mode("append").parquet(f"{path}/in")
         arrived = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
         answered = scoring.answer_uploads(
-            arrived, load_listener, load_corrector=load_corrector, rules=RULES[:1], limit=UPLOAD_LIMIT
+            arrived, load_hard_listener, load_corrector=load_corrector, rules=RULES[:1], limit=UPLOAD_LIMIT
         )
         scoring.append_results(answered, f"{path}/out", f"{path}/checkpoint")
     done = spark.read.schema(answered.schema).parquet(f"{path}/out")
@@ -905,6 +905,20 @@ def load_listener():
     return predict
 
 
+def load_hard_listener():
+    """The same recogniser with clips it cannot make out."""
+    predict = load_listener()
+
+    def hear(clips):
+        heard = predict(clips)
+        for text in heard:
+            if len(text) % 11 == 0:
+                raise ValueError(f"cannot make out {len(text)}")
+        return heard
+
+    return hear
+
+
 def batch_job_predictor(spark, folder):
     """The whole batch job: clips of the labelled documents are heard, corrected by a model and scored;
     the other documents of the manifest have no clip."""
@@ -916,6 +930,55 @@ def batch_job_predictor(spark, folder):
     return results.withColumn("grammar_score", F.round("grammar_score", 9))
 
 
+def directory_job(spark, folder):
+    """All clips of a folder without a manifest: transcript and score, or the error as text and score 0."""
+    clips = spoken_clips(conversations(spark, folder), "key", "text")
+    done = batch.directory_job(clips, load_hard_listener, load_corrector=load_corrector, rules=RULES[:1])
+    return done.withColumn("label", F.round("label", 9))
+
+
+def delivered_tables(spark, folder):
+    """Detail and delivery files of the batch job, with line breaks and quotes in their texts, read back."""
+    heard = documents(spark, folder).select(
+        F.col("doc_id").cast("string").alias("filename"),
+        F.concat(F.lit(' "'), "text", F.lit('",\n ')).alias("transcript"),
+    )
+    results = session.stage(batch.results_from_transcripts(heard), "results")
+    path = session.scratch_path(spark, "delivered")
+    tables.write_results(results, f"{path}/detail", f"{path}/submission")
+    detail = tables.read_csv(spark, f"{path}/detail", tables.RESULTS)
+    sent = tables.read_csv(spark, f"{path}/submission", tables.SUBMISSION, line_breaks=False)
+    both = detail.join(sent, "filename")
+    return both.select(
+        "filename", F.length("transcript").alias("transcript_length"), F.length("corrected_text").alias("corrected_length"),
+        F.round("grammar_score", 9).alias("grammar_score"), (F.col("label") == F.col("grammar_score")).alias("same"),
+    )
+
+
+def feature_file(spark, folder):
+    """Vectors as a wide CSV feature table and back to one array."""
+    vecs = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>"), "label")
+    path = session.scratch_path(spark, "features")
+    tables.write_features(vecs, path, "embedding", VECTOR_SIZE)
+    wide = ", ".join(f"{c} double" for c in contracts.embedding_columns(VECTOR_SIZE))
+    read = tables.read_csv(spark, path, f"vec_id bigint, label int, {wide}", line_breaks=False)
+    back = contracts.narrow(read, "embedding")
+    return long_vectors(back, "vec_id", "embedding").withColumn("value", F.round("value", 9))
+
+
+def saved_scorer(spark, folder):
+    """A scorer that is saved and loaded answers as before, on rows with and without all features."""
+    rows = session.stage(_score_rows(spark, folder).drop("text"), "scorer")
+    train = training.compact(rows.where(F.col("label").isNotNull()), 7)
+    scorer = training.fit_scorer(train, "hybrid7", training.forest())
+    path = session.scratch_path(spark, "saved")
+    training.save_scorer(scorer, path)
+    loaded = training.load_scorer(spark, path)
+    holes = rows.withColumn("rmse", F.when(F.col("doc_id") % 5 > 0, F.col("rmse")))
+    both = training.apply_scorer(training.apply_scorer(holes, scorer, "before"), loaded, "after")
+    return both.select("doc_id", F.col("before").eqNullSafe(F.col("after")).alias("same"), F.col("after").isNotNull().alias("scored"))
+
+
 def request_job_predictor(spark, folder):
     """The requests of ``request_job``, answered by a model; the clips of the assistants are heard."""
     turns = conversations(spark, folder)
@@ -1056,6 +1119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         request_job,
         batch_job_predictor,
         request_job_predictor,
+        directory_job,
+        delivered_tables,
+        feature_file,
+        saved_scorer,
         stream_score,
         upload_stream,
         resumed_features,

@@ -245,6 +245,8 @@ INTEGERS = {
     "masked_token_pool": ("dim",),
     "combined_features": ("num_words", "text_length"),
     "hashed_embedding": ("dim",),
+    "delivered_tables": ("transcript_length", "corrected_length"),
+    "feature_file": ("dim",),
     "clip_features": ("sr", "channels"),
     "feature_dataset": ("num_words", "text_length"),
     "resumed_features": ("num_words", "text_length"),
@@ -332,8 +334,9 @@ SELECT id AS doc_id, fixed AS corrected_text, error FROM answered"""
          CASE WHEN role = 'system' AND conv_id % 2 = 0
               THEN 'Audio file not found: ' || conv_id || '-' || turn END AS lost FROM conversations)"""
     heard = """asked AS (
-  SELECT key, NULL::VARCHAR AS typed, CASE WHEN NOT large AND broken IS NULL THEN text END AS heard,
-         'Invalid audio file: ' || CASE WHEN large THEN too_large ELSE broken END AS lost FROM judged)"""
+  SELECT key, NULL::VARCHAR AS typed, CASE WHEN NOT large AND broken IS NULL AND length(text) % 11 > 0 THEN text END AS heard,
+         CASE WHEN large THEN 'Invalid audio file: ' || too_large WHEN broken IS NOT NULL THEN 'Invalid audio file: ' || broken
+              WHEN length(text) % 11 = 0 THEN 'Error processing input: cannot make out ' || length(text) END AS lost FROM judged)"""
     by_model = f"{cascade_ctes('asked_text', RULES[:1], article)},{REFUSING}"
     return {
         "flagship": f"""WITH RECURSIVE {DOCS}, {cascade_ctes('source')},{SCORED}
@@ -530,6 +533,19 @@ SELECT key AS filename, NOT large AND broken IS NULL AS valid,
         "upload_stream": f"""WITH RECURSIVE {UPLOADS}, {response_sql(heard, by_model, 'answered')}
 SELECT key AS filename, transcription, originalText, correctedText, grammarScore, error FROM answer""",
         "resumed_features": f"WITH {features} SELECT doc_id, num_words, text_length FROM features",
+        "directory_job": f"""WITH RECURSIVE source AS (
+  SELECT conv_id || '-' || turn AS id, text FROM conversations WHERE length(text) % 11 <> 0),
+{cascade_ctes('source', RULES[:1], article)},{REFUSING},{scored_sql('answered')}
+SELECT id AS filename, text AS transcript, score AS label FROM scored
+UNION ALL SELECT conv_id || '-' || turn, 'Error: cannot make out ' || length(text), 0.0
+FROM conversations WHERE length(text) % 11 = 0""",
+        "delivered_tables": f"""WITH RECURSIVE source AS (
+  SELECT doc_id AS id, ' "' || text || '",' || chr(10) || ' ' AS text FROM documents), {cascade_ctes('source')},{SCORED}
+SELECT id::VARCHAR AS filename, length(text) AS transcript_length, length(fixed) AS corrected_length,
+  score AS grammar_score, true AS same FROM scored""",
+        "feature_file": """SELECT vec_id, unnest(range(0, 64)) AS dim, round(unnest(embedding)::DOUBLE, 9) AS value
+FROM embeddings""",
+        "saved_scorer": "SELECT doc_id, true AS same, doc_id % 5 > 0 AS scored FROM documents",
         "train_score_gbt": trained,
         "train_score_rf": trained,
         "stacked_score": "SELECT doc_id, true AS in_range, true AS mse_below_variance FROM documents",

@@ -31,7 +31,7 @@ from lingomark.functions.text import (
     word_diff_score,
     words,
 )
-from lingomark.operators.apply_model import Predictor, apply_model
+from lingomark.operators.apply_model import Predictor, apply_model, require_success
 from lingomark.operators.cleaning import default_audio, keep_failed
 from lingomark.operators.embedding import hashed_embedding
 from lingomark.operators.resolve import resolve
@@ -39,6 +39,7 @@ from lingomark.operators.training import Scorer, apply_scorer
 from lingomark.plans.correction import cascade, corrected
 from lingomark.session import stage
 from lingomark.sources.audio import FEATURE_FIELDS, audio_features, feature_table, split_by_size
+from lingomark.sources.tables import label_table
 
 # Bits of the filter by which a manifest prunes the clip scan: 2 MB, however many names there are.
 FILTER_BITS = 24
@@ -145,7 +146,7 @@ def hear_clips(
         F.col("_audio.error").alias("audio_error"),
         F.col("_heard.error").alias("clip_error"),
     )
-    refused = rejected.withColumnRenamed("error", "clip_error")
+    refused = rejected.select("filename", F.col("error").alias("audio_error"), F.col("error").alias("clip_error"))
     return heard.unionByName(refused, allowMissingColumns=True)
 
 
@@ -304,3 +305,25 @@ def batch_job(
         done = model_score(done.drop("grammar_score"), "transcript", scorer)
     done = keep_failed(done, ["transcript", "corrected_text"], "grammar_score", "clip_error")
     return deliver(manifest, done.select("filename", "transcript", "grammar_score", "corrected_text"))
+
+
+def directory_job(
+    files: DataFrame,
+    load_recogniser: Callable[[], Predictor],
+    scorer: Scorer | None = None,
+    corrector: Corrector = cascade,
+    recognise: str = "content",
+    load_corrector: Callable[[], Predictor] | None = None,
+    rules: Sequence[Rule] = (),
+) -> DataFrame:
+    """Label table of all clips of a folder, without a manifest: ``filename, transcript, label``.
+
+    A clip that could not be transcribed has its error as text and label 0. A folder of clips that all
+    failed, if there are many, is an error; one without clips gives an empty table.
+    """
+    heard = stage(hear_clips(files, load_recogniser, recognise), "clips")
+    clips = require_success(heard, "clip_error")
+    done = correct_and_score(clips, "transcript", corrector, load_corrector=load_corrector, rules=rules)
+    if scorer is not None:
+        done = model_score(done.drop("grammar_score"), "transcript", scorer)
+    return label_table(keep_failed(done, ["transcript"], "grammar_score", "clip_error"))

@@ -70,7 +70,8 @@ def answer_uploads(
 ) -> DataFrame:
     """Validate, transcribe, correct and score uploaded clips: ``filename`` and response fields."""
     heard = hear_clips(uploads, load_recogniser, recognise, limit)
-    refused = upload_error(F.col("filename"), F.coalesce("audio_error", "clip_error"))
+    failed = F.concat(F.lit("Error processing input: "), "clip_error")
+    refused = F.coalesce(upload_error(F.col("filename"), F.col("audio_error")), failed)
     answered = respond(
         heard, F.lit(None).cast("string"), F.col("transcript"), refused, scorer=scorer, load_corrector=load_corrector, rules=rules
     )
