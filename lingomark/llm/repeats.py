@@ -167,16 +167,17 @@ def _likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _work(rows: DataFrame) -> DataFrame:
     """Per text: its places with what is to be done there (covered whole, compared, compared by hash)."""
-    common = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("anchor")
+    # Numbers by anchor are added up in the map tasks and written: a join of two tables without a step in
+    # between is one whose hot anchors the adaptive planner can split.
+    times = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"))
+    common = stage(times.where(F.col("times") > 1).select("anchor"), "common")
     again = stage(rows.join(common, "anchor", "left_semi"), "anchors-again")
     one = F.xxhash64("h", "g", "place")
-    # Written, so that the kinds of an anchor are added up in the map tasks, and the join by anchor, which
-    # the adaptive planner can split, is the only step that brings a hot anchor's kinds together.
     kinds = stage(
         again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("chosen")), "kinds"
     )
-    crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    known = kinds.join(crowds, "anchor")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    known = kinds.join(stage(several, "several-kinds"), "anchor", "left").na.fill(1, ["kinds"])
     # A segment that occurs once is compared for itself, one of several as their representative.
     compared = (F.col("kinds") > 1) & ((F.col("times") == 1) | (one == F.col("chosen")))
     flagged = again.join(known, ["anchor", "segment"]).select(
