@@ -39,6 +39,7 @@ SPREAD = LENGTH - GRAM  # how far before its anchor a string can start
 BUFFER = 1 << 17  # bytes of a scanned block and of a suffix array: what a core's cache holds
 CROWD = 512  # different segments of an anchor that still go into one suffix array
 CORE = 16  # strings of a block
+BLOCKS_PER_TASK = 1 << 13  # blocks whose strings a task sorts
 FILTER_BITS = 24  # the bitmap has 2**24 bits
 _KEY = ["h", "g"]
 
@@ -209,7 +210,7 @@ def _runs(h: list, g: list, starts: list, ends: list) -> pa.RecordBatch:
     )
 
 
-def _sorted_runs(texts: DataFrame) -> DataFrame:
+def _sorted_runs(texts: DataFrame, tasks: int) -> DataFrame:
     """Repeated runs at the anchors without a crowd, by suffix arrays over whole groups of equal anchors.
 
     ``texts`` has the blocks whose core repeats; the parts of a segment without one cannot repeat.
@@ -264,7 +265,7 @@ def _sorted_runs(texts: DataFrame) -> DataFrame:
 
     return (
         texts.mapInArrow(cut, "anchor long, h long, g int, start long, data binary")
-        .repartition("anchor")
+        .repartition(tasks, "anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(compare, "h long, g int, start long, behind long")
     )
@@ -369,7 +370,9 @@ def _compared_runs(docs: DataFrame, work: DataFrame) -> DataFrame:
     blocks = _counted(texts, _block_starts, LENGTH - CORE + 1, CORE - 1, _buckets(texts, CORE))
     chosen = blocks.groupBy("h", "g").agg(F.flatten(F.collect_list("ats")).alias("ats"))
     kept = stage(texts.join(chosen, _KEY).select("h", "g", "places", "text", "ats"), "repeating")
-    runs = _sorted_runs(kept).select("h", "g", F.array(F.struct("start", "behind")).alias("runs"))
+    # Sorting is much work on few bytes: tasks by the blocks to sort.
+    blocks_left = kept.agg(F.sum(F.size("ats").cast("long"))).first()[0] or 0
+    runs = _sorted_runs(kept, max(1, -(-blocks_left // BLOCKS_PER_TASK))).select("h", "g", F.array(F.struct("start", "behind")).alias("runs"))
     crowds = kept.where(F.exists("places", lambda p: p["crowd"]))
     if not crowds.limit(1).count():
         return runs
