@@ -1,24 +1,31 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton is built over the items' words, in blocks of bounded size, and goes to every task; the
-documents stream through it word by word. At each word the automaton gives the length of the longest
-match that ends there; a match of ``min_words`` or more words, or one that ends a whole shorter item,
-marks its words as hit.
+The automaton is built over the items' words, in blocks of bounded size, each by one task, and kept as
+sorted arrays: some 16 bytes an edge. The documents stream through it word by word, many stretches of
+text abreast. At each word the automaton gives the length of the longest match that ends there; a match
+of ``min_words`` or more words, or one that ends a whole shorter item, marks its words as hit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lingomark.session import stage
+
 MIN_WORDS = 10
 MAX_COVERAGE = 0.5
-BLOCK_BYTES = 8 << 20  # of item text per automaton
+BLOCK_BYTES = 2 << 20  # of item text per automaton
+BLOCKS_PER_PASS = 4  # automata that a task holds
+STRETCH = 512  # words of a stretch of text
+ABREAST = 1 << 20  # words that are looked up together
 WORD = rb"[0-9a-z\x80-\xff]+"
 
 
@@ -28,11 +35,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences.
+    """Suffix automaton of several word sequences, under construction.
 
     ``items[v]``: items with a window of ``width`` words that ends in state v (its string of that
-    length), ``short[v]``: (length, items) of shorter whole items that are v's string of that length.
-    ``mark[v]`` is the nearest state up the suffix links, v included, with either.
+    length), ``short[v]``: items of fewer words, by their length, that are v's string of that length.
     """
 
     def __init__(self, sequences: dict[object, list[bytes]], width: int = MIN_WORDS):
@@ -58,11 +64,6 @@ class Automaton:
                     self.items.setdefault(at, set()).add(k)
             if n < width:
                 self.short.setdefault(v, {}).setdefault(n, set()).add(k)
-        order = sorted(range(len(self.link)), key=self.length.__getitem__)
-        self.mark = [-1] * len(self.link)
-        for v in order:
-            own = v in self.items or v in self.short
-            self.mark[v] = v if own else (self.mark[self.link[v]] if v else -1)
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
@@ -95,62 +96,151 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Hit spans (first word, behind the last; sorted, apart from each other) and the items hit."""
-        code, nxt, link, length, mark = self.codes.get, self.next, self.link, self.length, self.mark
-        v = n = 0
-        raw: list[tuple[int, int]] = []
-        found: set = set()
-        for i, c in enumerate(map(code, words)):
-            if c is None:
-                v = n = 0
-                continue
-            edges = nxt[v]
-            while c not in edges:
-                v = link[v]
-                if v < 0:
-                    break
-                n = length[v]
-                edges = nxt[v]
-            if v < 0:
-                v = n = 0
-                continue
-            v = edges[c]
-            n += 1
-            m = mark[v]
-            if m >= 0:
-                self._collect(m, n, i + 1, raw, found)
-        raw.sort()
-        spans: list[tuple[int, int]] = []
-        for a, b in raw:
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-        return spans, found
+    def packed(self) -> dict:
+        """The automaton as arrays: edges sorted by state and word, suffix links, lengths, and what ends where.
+
+        ``mark[v]`` is the nearest state up the suffix links, v included, in which a window or a short
+        item ends, and ``need[v]`` the fewest matched words with which one does.
+        """
+        states, words = len(self.link), max(1, len(self.codes))
+        count = sum(map(len, self.next))
+        keys = np.fromiter((v * words + c for v, edges in enumerate(self.next) for c in edges), np.int64, count)
+        targets = np.fromiter((u for edges in self.next for u in edges.values()), np.int32, count)
+        order = np.argsort(keys)
+        mark, need = np.full(states, -1, np.int32), np.full(states, np.iinfo(np.int32).max, np.int32)
+        for v in sorted(range(states), key=self.length.__getitem__):
+            above = need[self.link[v]] if v else need[0]
+            own = [n for n in self.short.get(v, ())]
+            if v in self.items and self.length[self.link[v]] < self.width:
+                own.append(self.width)
+            mark[v] = v if own else mark[self.link[v]] if v else -1
+            need[v] = min([*own, above])
+        return {
+            "width": self.width,
+            "words": b"\0".join(self.codes),
+            "keys": keys[order],
+            "targets": targets[order],
+            "link": np.array(self.link, np.int32),
+            "length": np.array(self.length, np.int32),
+            "mark": mark,
+            "need": need,
+            "items": {v: own for v, own in self.items.items() if self.length[self.link[v]] < self.width},
+            "short": self.short,
+        }
+
+
+class Scanner:
+    """A packed automaton that documents stream through."""
+
+    def __init__(self, packed: dict):
+        self.packed = packed
+        words = packed["words"].split(b"\0") if packed["words"] else []
+        self.codes = {w: k for k, w in enumerate(words)}
+
+    def _steps(self, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, states and match lengths where a window or short item ends.
+
+        A hit depends on the ``width`` words up to its end only. So texts are cut into stretches, each
+        read with the words before it that matter, and all stretches take a step at a time.
+        """
+        p = self.packed
+        keys, targets, link, length, need = p["keys"], p["targets"], p["link"], p["length"], p["need"]
+        words, lead = max(1, len(self.codes)), p["width"] - 1
+        sizes = np.diff(bounds)
+        parts = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        first = bounds[text] + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
+        behind = np.minimum(first + STRETCH, bounds[text + 1])
+        start = np.maximum(first - lead, bounds[text])
+        order = np.argsort(start - behind, kind="stable")  # longest first
+        first, behind, start = first[order], behind[order], start[order]
+        v, n = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
+        spans = behind - start
+        for step in range(int(spans[0]) if len(spans) else 0):
+            alive = int(np.searchsorted(-spans, -step, side="left"))
+            at = start[:alive] + step
+            c = codes[at]
+            known = np.flatnonzero(c >= 0)
+            v[:alive][c < 0] = 0
+            n[:alive][c < 0] = 0
+            while len(known):
+                wanted = v[known].astype(np.int64) * words + c[known]
+                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[place] == wanted
+                met = known[hit]
+                v[met] = targets[place[hit]]
+                n[met] += 1
+                known = known[~hit]
+                v[known] = link[v[known]]  # every known word leads on from the root
+                n[known] = length[v[known]]
+            ends = np.flatnonzero((n[:alive] >= need[v[:alive]]) & (at >= first[:alive]))
+            if len(ends):
+                yield at[ends], v[ends], n[ends]
+
+    def scan(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
+        """Per text: hit spans (first word, behind the last; sorted, apart from each other) and the items hit."""
+        code = self.codes.get
+        raw: list[list[tuple[int, int]]] = [[] for _ in texts]
+        found: list[set] = [set() for _ in texts]
+        begin = 0
+        while begin < len(texts):  # texts of about ABREAST words together
+            end, held = begin, 0
+            while end < len(texts) and (end == begin or held + len(texts[end]) <= ABREAST):
+                held += len(texts[end])
+                end += 1
+            bounds = np.cumsum([0, *map(len, texts[begin:end])])
+            codes = np.fromiter((code(w, -1) for ws in texts[begin:end] for w in ws), np.int64, held)
+            for places, states, lengths in self._steps(codes, bounds):
+                own = np.searchsorted(bounds, places, side="right") - 1
+                for k, at, v, n in zip(own.tolist(), (places - bounds[own]).tolist(), states.tolist(), lengths.tolist(), strict=True):
+                    self._collect(int(self.packed["mark"][v]), n, at + 1, raw[begin + k], found[begin + k])
+            begin = end
+        return [(_merged(spans), items) for spans, items in zip(raw, found, strict=True)]
 
     def _collect(self, m: int, n: int, end: int, raw: list, found: set) -> None:
+        items, short, link, mark, width = (self.packed[x] for x in ("items", "short", "link", "mark", "width"))
         while m >= 0:
-            if n >= self.width and m in self.items and self.length[self.link[m]] < self.width:
-                raw.append((end - self.width, end))
-                found |= self.items[m]
-            for size, items in self.short.get(m, {}).items():
+            if n >= width and m in items:
+                raw.append((end - width, end))
+                found |= items[m]
+            for size, own in short.get(m, {}).items():
                 if size <= n:
                     raw.append((end - size, end))
-                    found |= items
-            m = self.mark[self.link[m]] if m else -1
+                    found |= own
+            m = int(mark[link[m]]) if m else -1
+
 
+def automata(items: DataFrame, width: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of items: block, and the packed automaton of its texts.
 
-def _automata(items: DataFrame, width: int, block_bytes: int) -> Iterator[Automaton]:
-    """One automaton per block of items; a block's text is bounded, so it may be sent to all tasks."""
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull())
+    Blocks are dealt by a hash, so that their size is even, and built by one task each.
+    """
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        # Keyed by position too: rows that repeat an id are items of their own with that id.
-        sequences = {(r["item_id"], n): words_of(r["text"]) for n, r in enumerate(part.toLocalIterator())}
-        yield Automaton(sequences, width)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple, list[bytes]] = {}
+        last = None
+
+        def done() -> pa.RecordBatch:
+            data = pickle.dumps(Automaton(own, width).packed())
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+
+        for batch in batches:
+            for block, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != last and own:
+                    yield done()
+                    own.clear()
+                last = block
+                # Keyed by number too: rows that repeat an id are items of their own with that id.
+                own[item, len(own)] = words_of(text)
+        if own:
+            yield done()
+
+    dealt = rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("long").alias("block"), "item_id", "text")
+    made = dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(build, "block long, data binary")
+    return stage(made, "automata")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,7 +259,8 @@ def hits(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_bytes:
     ``spans`` holds first word and word behind the last of each hit run, ``items`` the ids (as
     strings, sorted) of the items that occur. Null texts and items have no words. Repeated items count
     by their id; a null id is the string ``null``. No items give no hits, no documents no rows.
-    Existing columns of these names are replaced.
+    Existing columns of these names are replaced. A pass over the documents holds the automata of at most
+    ``BLOCKS_PER_PASS`` blocks; where more are needed, the table is written between passes.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "spans", "items")]
     runs = "array<struct<first:bigint,behind:bigint>>"
@@ -177,31 +268,38 @@ def hits(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_bytes:
         *kept, F.lit(0).cast("long").alias("n_words"), F.array().cast(runs).alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    for automaton in _automata(items, width, block_bytes):
-        rows = _pass(rows, docs.sparkSession.sparkContext.broadcast(vars(automaton)), len(kept), kept.index("text"))
+    built = automata(items, width, block_bytes)
+    blocks = sorted(r[0] for r in built.select("block").collect())
+    context = docs.sparkSession.sparkContext
+    for start in range(0, max(1, len(blocks)), BLOCKS_PER_PASS):
+        some = blocks[start : start + BLOCKS_PER_PASS]
+        # A block's arrays are bounded by its text, so they may be sent to all tasks.
+        held = [bytes(built.where(F.col("block") == k).first()["data"]) for k in some]
+        if start:
+            rows = stage(rows, "passed")
+        rows = _pass(rows, context.broadcast(held), len(kept), kept.index("text"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["behind"] - x["first"])
     return rows.select(*kept, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def _pass(rows: DataFrame, automaton, n_kept: int, text_at: int) -> DataFrame:
+def _pass(rows: DataFrame, held, n_kept: int, text_at: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton.__new__(Automaton)
-        vars(machine).update(automaton.value)
+        scanners = [Scanner(pickle.loads(data)) for data in held.value]
         run = pa.struct([("first", pa.int64()), ("behind", pa.int64())])
         for batch in batches:
             old = batch.columns
-            before_spans, before_items = old[n_kept + 1].to_pylist(), old[n_kept + 2].to_pylist()
-            counts, spans, items = [], [], []
-            for k, text in enumerate(old[text_at]):
-                words = words_of(text.as_py())
-                runs, found = machine.scan(words)
-                if before_spans[k]:
-                    runs = _merged(runs + [(s["first"], s["behind"]) for s in before_spans[k]])
-                counts.append(len(words))
-                spans.append([{"first": a, "behind": b} for a, b in runs])
-                items.append(sorted({"null" if key[0] is None else str(key[0]) for key in found}.union(before_items[k])))
+            texts = [words_of(text.as_py()) for text in old[text_at]]
+            spans = [[(s["first"], s["behind"]) for s in own] for own in old[n_kept + 1].to_pylist()]
+            items = [set(own) for own in old[n_kept + 2].to_pylist()]
+            for scanner in scanners:
+                for k, (own, found) in enumerate(scanner.scan(texts)):
+                    if found:
+                        spans[k] = _merged(spans[k] + own)
+                        items[k] |= {"null" if item is None else item for item, _ in found}
+            listed = [[{"first": a, "behind": b} for a, b in own] for own in spans]
             yield pa.RecordBatch.from_arrays(
-                [*old[:n_kept], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(run)), pa.array(items, pa.list_(pa.string()))],
+                [*old[:n_kept], pa.array(map(len, texts), pa.int64()), pa.array(listed, pa.list_(run)),
+                 pa.array(map(sorted, items), pa.list_(pa.string()))],
                 names=batch.schema.names,
             )
 

@@ -206,18 +206,32 @@ def brute_hits(words, items, width):
     return hit, found
 
 
-def test_automaton_against_brute_force():
+@pytest.mark.parametrize("stretch, abreast", [(512, 1 << 20), (1, 30), (3, 1 << 20), (7, 5)])
+def test_automaton_against_brute_force(monkeypatch, stretch, abreast):
+    monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+    monkeypatch.setattr(decontaminate, "ABREAST", abreast)
     rng = random.Random(3)
-    for _ in range(300):
+    for _ in range(150):
         items = {k: [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 9))] for k in range(4)}
-        machine = decontaminate.Automaton(items, 4)
-        words = [rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(rng.randint(0, 40))]
-        spans, found = machine.scan(words)
-        hit, want = brute_hits(words, items, 4)
-        assert {i for a, b in spans for i in range(a, b)} == hit and found == want
+        scanner = decontaminate.Scanner(decontaminate.Automaton(items, 4).packed())
+        texts = [[rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(rng.randint(0, 40))] for _ in range(rng.randint(0, 5))]
+        for words, (spans, found) in zip(texts, scanner.scan(texts), strict=True):
+            hit, want = brute_hits(words, items, 4)
+            assert {i for a, b in spans for i in range(a, b)} == hit and found == want
+            assert spans == sorted(spans) and all(a[1] < b[0] for a, b in itertools.pairwise(spans))
 
 
-def test_decontaminate(spark, odd, empty):
+def test_automata_are_small():
+    """Arrays of some 16 bytes an edge, however long the items."""
+    rng = random.Random(4)
+    items = {k: [b"w%d" % rng.randrange(3000) for _ in range(400)] for k in range(100)}
+    packed = decontaminate.Automaton(items).packed()
+    edges = len(packed["keys"])
+    size = sum(packed[n].nbytes for n in ("keys", "targets", "link", "length", "mark", "need"))
+    assert edges < 3 * 40_000 and size < 32 * edges
+
+
+def test_decontaminate(spark, odd, empty, monkeypatch):
     items = spark.createDataFrame(
         [(1, "one two three four five six seven eight nine ten eleven"), (2, "only three words"), (3, None), (4, ""), (None, "zz yy")],
         "item_id long, text string",
@@ -230,8 +244,11 @@ def test_decontaminate(spark, odd, empty):
     assert got[2].items_sha256 == hashlib.sha256(b"").hexdigest() and not got[2].contaminated
     left = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items).collect()}
     assert left[1] == "Before.  -- after " + "clean " * 30 and left[2] == "quite clean text" and 3 not in left and left[4] is None
-    blocks = decontaminate.hits(docs, items, block_bytes=20).select("doc_id", "n_hit").collect()
-    assert {r.doc_id: r.n_hit for r in blocks} == {k: r.n_hit for k, r in got.items()}
+    for together in (1, 2, 4):
+        monkeypatch.setattr(decontaminate, "BLOCKS_PER_PASS", together)
+        blocks = decontaminate.hits(docs, items, block_bytes=20).select("doc_id", "n_hit", "items").collect()
+        assert {r.doc_id: r.n_hit for r in blocks} == {k: r.n_hit for k, r in got.items()}
+        assert {r.doc_id: r["items"] for r in blocks}[5] == ["null"]
     assert decontaminate.contamination(odd, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, items).count() == 0
 
