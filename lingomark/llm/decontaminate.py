@@ -22,8 +22,8 @@ from lingomark.session import stage
 
 MIN_WORDS = 10
 MAX_COVERAGE = 0.5
-BLOCK_BYTES = 2 << 20  # of item text per automaton
-BLOCKS_PER_PASS = 4  # automata that a task holds
+BLOCK_BYTES = 1 << 20  # of item text per automaton
+BLOCKS_PER_PASS = 8  # automata that a task holds
 STRETCH = 512  # words of a stretch of text
 ABREAST = 1 << 20  # words that are looked up together
 WORD = rb"[0-9a-z\x80-\xff]+"
@@ -115,6 +115,9 @@ class Automaton:
                 own.append(self.width)
             mark[v] = v if own else mark[self.link[v]] if v else -1
             need[v] = min([*own, above])
+        names = {k: i for i, k in enumerate(sorted({k for own in self.items.values() for k in own}, key=str))}
+        ending = sorted(v for v in self.items if self.length[self.link[v]] < self.width)
+        listed = [np.array(sorted(names[k] for k in self.items[v]), np.int32) for v in ending]
         return {
             "width": self.width,
             "words": b"\0".join(self.codes),
@@ -124,7 +127,11 @@ class Automaton:
             "length": np.array(self.length, np.int32),
             "mark": mark,
             "need": need,
-            "items": {v: own for v, own in self.items.items() if self.length[self.link[v]] < self.width},
+            # Windows: their states, where the items of each begin, the items' numbers, and their keys.
+            "ending": np.array(ending, np.int32),
+            "begin": np.cumsum([0, *map(len, listed)]).astype(np.int32),
+            "listed": np.concatenate(listed) if listed else np.zeros(0, np.int32),
+            "names": list(names),
             "short": self.short,
         }
 
@@ -197,12 +204,20 @@ class Scanner:
             begin = end
         return [(_merged(spans), items) for spans, items in zip(raw, found, strict=True)]
 
+    def _windows(self, state: int) -> list:
+        """Keys of the items with a window that ends in the state."""
+        p = self.packed
+        at = int(np.searchsorted(p["ending"], state))
+        if at == len(p["ending"]) or p["ending"][at] != state:
+            return []
+        return [p["names"][k] for k in p["listed"][p["begin"][at] : p["begin"][at + 1]].tolist()]
+
     def _collect(self, m: int, n: int, end: int, raw: list, found: set) -> None:
-        items, short, link, mark, width = (self.packed[x] for x in ("items", "short", "link", "mark", "width"))
+        short, link, mark, width = (self.packed[x] for x in ("short", "link", "mark", "width"))
         while m >= 0:
-            if n >= width and m in items:
+            if n >= width and (items := self._windows(m)):
                 raw.append((end - width, end))
-                found |= items[m]
+                found.update(items)
             for size, own in short.get(m, {}).items():
                 if size <= n:
                     raw.append((end - size, end))

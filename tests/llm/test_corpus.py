@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -227,8 +228,9 @@ def test_automata_are_small():
     items = {k: [b"w%d" % rng.randrange(3000) for _ in range(400)] for k in range(100)}
     packed = decontaminate.Automaton(items).packed()
     edges = len(packed["keys"])
-    size = sum(packed[n].nbytes for n in ("keys", "targets", "link", "length", "mark", "need"))
-    assert edges < 3 * 40_000 and size < 32 * edges
+    arrays = [own.nbytes for own in packed.values() if isinstance(own, np.ndarray)]
+    assert edges < 3 * 40_000 and sum(arrays) < 48 * edges
+    assert len(pickle.dumps(packed)) < sum(arrays) + 100_000
 
 
 def test_decontaminate(spark, odd, empty, monkeypatch):
