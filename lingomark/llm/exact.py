@@ -2,7 +2,8 @@
 
 Three combines, each on the full normalised text and not only on its digest: inside each map task
 (Spark's partial aggregation), per digest and salt, and over the salt winners. A group that holds a
-third of all rows reaches any later task as at most one row per salt.
+third of all rows reaches any later task as at most one row per salt. The step that gives every row its
+group then joins by SHA-256 and length, so as not to send all texts a third time.
 """
 
 from __future__ import annotations
