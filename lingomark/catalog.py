@@ -559,8 +559,7 @@ def clip_features(spark, folder):
     return done.select("filename", "sr", "channels", "n_samples", *[F.round(c, 9).alias(c) for c in names], "error")
 
 
-def feature_dataset(spark, folder):
-    """Training table of the labelled documents; a few have a clip, one in seven has no usable label."""
+def _clip_dataset(spark, folder) -> DataFrame:
     label = F.when(F.col("doc_id") % 7 > 0, F.col("quality") * 5.0)
     labels = table(spark, folder, "labels").select("doc_id", label.alias("label"))
     rows = documents(spark, folder).join(labels, "doc_id").select(
@@ -573,6 +572,22 @@ def feature_dataset(spark, folder):
     return made.drop("spectral_centroid").withColumns(rounded)
 
 
+def feature_dataset(spark, folder):
+    """Training table of the labelled documents; a few have a clip, one in seven has no usable label."""
+    return _clip_dataset(spark, folder)
+
+
+def training_rows(spark, folder):
+    """The rows of that table that can be trained on, and the log lines of the others, by file name."""
+    usable, lines = batch.training_table(_clip_dataset(spark, folder))
+    kept = usable.select("filename", "label", "num_words", F.lit(None).cast("string").alias("line"))
+    logged = lines.select(
+        F.substring_index("value", ": ", 1).alias("filename"), F.lit(None).cast("double").alias("label"),
+        F.lit(None).cast("int").alias("num_words"), F.col("value").alias("line"),
+    )
+    return kept.unionByName(logged)
+
+
 def _uploads(spark, folder) -> DataFrame:
     """The turns as uploaded clips, some of them damaged or empty."""
     turns = conversations(spark, folder)
@@ -1101,6 +1116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         wav_roundtrip_features,
         clip_features,
         feature_dataset,
+        training_rows,
         validate_clips,
         made_sounds,
         train_score_gbt,

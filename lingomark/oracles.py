@@ -249,6 +249,7 @@ INTEGERS = {
     "feature_file": ("dim",),
     "clip_features": ("sr", "channels"),
     "feature_dataset": ("num_words", "text_length"),
+    "training_rows": ("num_words",),
     "resumed_features": ("num_words", "text_length"),
     "full_contract": ("num_words", "num_errors", "size"),
     "nonblank_texts": ("text_length",),
@@ -333,6 +334,18 @@ SELECT id AS doc_id, fixed AS corrected_text, error FROM answered"""
          CASE WHEN role = 'assistant' THEN text END AS heard,
          CASE WHEN role = 'system' AND conv_id % 2 = 0
               THEN 'Audio file not found: ' || conv_id || '-' || turn END AS lost FROM conversations)"""
+    clip_rows = f"""WITH RECURSIVE {CLIPS},
+source AS (SELECT doc_id AS id, text FROM documents JOIN labels USING (doc_id)),
+{cascade_ctes('source', RULES[:1], article)},{REFUSING},
+compared AS (SELECT id, text, fixed, {words('text')} AS before, {words('fixed')} AS after FROM answered)
+SELECT id::VARCHAR AS filename, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
+  round(rmse, 9) AS rmse, round({diff_score('before', 'after')}, 9) AS grammar_score_model, text AS original_text,
+  fixed AS corrected_text, greatest(len(before), 1) AS num_words,
+  round(length(regexp_replace(text, '{BLANK}+', '', 'g'))::DOUBLE / greatest(len(before), 1), 9) AS avg_word_len,
+  length(text) AS text_length, CASE WHEN id % 7 > 0 THEN quality * 5.0::DOUBLE END AS label,
+  CASE WHEN clip IS NULL THEN 'Audio file not found: ' || id WHEN {strip('text')} = '' THEN 'No transcript'
+       WHEN id % 7 = 0 THEN 'No numeric label' END AS error
+FROM compared JOIN labels ON doc_id = id LEFT JOIN clip ON clip = id"""
     heard = """asked AS (
   SELECT key, NULL::VARCHAR AS typed, CASE WHEN NOT large AND broken IS NULL AND length(text) % 11 > 0 THEN text END AS heard,
          CASE WHEN large THEN 'Invalid audio file: ' || too_large WHEN broken IS NOT NULL THEN 'Invalid audio file: ' || broken
@@ -515,18 +528,9 @@ SELECT clip::VARCHAR AS filename, 16000 AS sr, 1 AS channels, n_samples, round(d
   round(zero_crossing_rate, 9) AS zero_crossing_rate, round(rmse, 9) AS rmse,
   round(zero_crossing_global, 9) AS zero_crossing_global, round(rms_global, 9) AS rms_global, NULL::VARCHAR AS error
 FROM clip""",
-        "feature_dataset": f"""WITH RECURSIVE {CLIPS},
-source AS (SELECT doc_id AS id, text FROM documents JOIN labels USING (doc_id)),
-{cascade_ctes('source', RULES[:1], article)},{REFUSING},
-compared AS (SELECT id, text, fixed, {words('text')} AS before, {words('fixed')} AS after FROM answered)
-SELECT id::VARCHAR AS filename, round(duration, 9) AS duration, round(zero_crossing_rate, 9) AS zero_crossing_rate,
-  round(rmse, 9) AS rmse, round({diff_score('before', 'after')}, 9) AS grammar_score_model, text AS original_text,
-  fixed AS corrected_text, greatest(len(before), 1) AS num_words,
-  round(length(regexp_replace(text, '{BLANK}+', '', 'g'))::DOUBLE / greatest(len(before), 1), 9) AS avg_word_len,
-  length(text) AS text_length, CASE WHEN id % 7 > 0 THEN quality * 5.0::DOUBLE END AS label,
-  CASE WHEN clip IS NULL THEN 'Audio file not found: ' || id WHEN {strip('text')} = '' THEN 'No transcript'
-       WHEN id % 7 = 0 THEN 'No numeric label' END AS error
-FROM compared JOIN labels ON doc_id = id LEFT JOIN clip ON clip = id""",
+        "feature_dataset": clip_rows,
+        "training_rows": f"""SELECT filename, CASE WHEN error IS NULL THEN label END AS label,
+  CASE WHEN error IS NULL THEN num_words END AS num_words, filename || ': ' || error AS line FROM ({clip_rows})""",
         "validate_clips": f"""WITH {UPLOADS}
 SELECT key AS filename, NOT large AND broken IS NULL AS valid,
   CASE WHEN large THEN too_large ELSE 'Invalid or unsupported audio file format: ' || broken END AS reason FROM judged""",

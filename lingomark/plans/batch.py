@@ -32,7 +32,7 @@ from lingomark.functions.text import (
     words,
 )
 from lingomark.operators.apply_model import Predictor, apply_model, require_success
-from lingomark.operators.cleaning import default_audio, keep_failed
+from lingomark.operators.cleaning import default_audio, drop_failed, failed_lines, keep_failed, require_rows
 from lingomark.operators.embedding import hashed_embedding
 from lingomark.operators.resolve import resolve
 from lingomark.operators.training import Scorer, apply_scorer
@@ -228,6 +228,16 @@ def feature_dataset(
     )
 
 
+def training_table(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`feature_dataset` that can be trained on, and one log line per other row.
+
+    A dataset of which nothing can be used is an error. Staged once, since both results are written.
+    """
+    made = stage(dataset, "features")
+    usable = require_rows(drop_failed(made)).drop("error")
+    return usable, failed_lines(made, "filename")
+
+
 def with_error_features(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
     """Add ``num_errors`` (rule hits) and ``grammar_ratio`` (hits per word)."""
     counted = df.withColumn("num_errors", rule_error_count(F.col(text), rules))
