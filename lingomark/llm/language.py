@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingomark.session import stage
+
 SYMBOLS, ORDER = 40, 4
 GRAMS, CONTEXTS = SYMBOLS**4, SYMBOLS**3
 BLOCK_CHARS = 2 << 20
@@ -246,7 +248,8 @@ def identify(docs: DataFrame) -> DataFrame:
     training documents reject nothing. Existing columns of these names are replaced.
     """
     rows = training(docs)
-    model = fit(gram_counts(rows))
+    # Written: the fit reads the counts once per language, and not the texts.
+    model = fit(stage(gram_counts(rows), "grams"))
     limits = calibrate(rows, model)
     added = ("held_out", "lang_pred", "score", "entropy", "n_symbols", "rejected")
     plain = docs.select(*[c for c in docs.columns if c.lower() not in added])

@@ -120,6 +120,31 @@ def test_mined_rules(spark):
     assert got == {k: "block" if bad else "allow" for k, _, bad in rows}
 
 
+def test_mined_rules_against_brute_force(spark):
+    """Supports, confidences and lifts of all token sets, counted one by one."""
+    rng = random.Random(8)
+    hosts, paths = ["a.shop.net", "b.news.org", "spam.shop.net"], ["buy/now", "read/more", "buy/more"]
+    rows = []
+    for _ in range(120):
+        url = f"http://{rng.choice(hosts)}/{rng.choice(paths)}"
+        rows.append((url, "block" if rng.random() < (0.9 if "spam" in url or "now" in url else 0.2) else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    tokens_of = {r.url: set(r.t) for r in labelled.select("url", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    support, confidence, lift = 0.15, 0.8, 1.1
+    want = set()
+    n = len(rows)
+    every = sorted(set().union(*tokens_of.values()))
+    for size in range(1, 6):
+        for own in itertools.combinations(every, size):
+            inside = [v for u, v in rows if set(own) <= tokens_of[u]]
+            for verdict in ("allow", "block"):
+                both, share = inside.count(verdict), sum(v == verdict for _, v in rows) / n
+                if inside and both >= support * n and both >= confidence * len(inside) and both / len(inside) / share >= lift:
+                    want.add((own, verdict, round(both / len(inside), 9)))
+    got = {(tuple(r.tokens), r.verdict, round(r.confidence, 9)) for r in urls.mine_rules(labelled, support, confidence, lift).collect()}
+    assert {r for r in got if len(r[0]) <= 5} == want and want
+
+
 # Mixing
 
 
