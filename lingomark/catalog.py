@@ -958,7 +958,7 @@ def delivered_tables(spark, folder):
         F.col("doc_id").cast("string").alias("filename"),
         F.concat(F.lit(' "'), "text", F.lit('",\n ')).alias("transcript"),
     )
-    results = session.stage(batch.results_from_transcripts(heard), "results")
+    results = batch.results_from_transcripts(heard)
     path = session.scratch_path(spark, "delivered")
     tables.write_results(results, f"{path}/detail", f"{path}/submission")
     detail = tables.read_csv(spark, f"{path}/detail", tables.RESULTS)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lingomark.contracts import widen
 from lingomark.functions.text import error_text
+from lingomark.session import stage
 
 # Schemas of the manifest, transcript and result tables.
 MANIFEST = "filename string, label double"
@@ -82,10 +83,10 @@ def label_table(results: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, detail_path: str, submission_path: str, mode: str = "overwrite") -> None:
-    """Detail and delivery tables. Both writes run the plan, so model results should be staged."""
-    detail = results.select("filename", "transcript", "grammar_score", "corrected_text")
+    """Detail and delivery tables, from one run of the plan."""
+    detail = stage(results.select("filename", "transcript", "grammar_score", "corrected_text"), "results")
     write_csv(detail, detail_path, mode)
-    write_csv(submission(results), submission_path, mode)
+    write_csv(submission(detail), submission_path, mode)
 
 
 def write_features(df: DataFrame, path: str, vector: str | None = None, size: int = 0, mode: str = "overwrite") -> None:
