@@ -482,8 +482,10 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         _likely(keyed.select("h", "g", "text"), partial).join(partial, _KEY).select("h", "g", "text", "spans")
         .mapInArrow(digest, "h long, g int, kept string")
     )
+    # Written, so that the join's hot texts can be split.
+    kept = stage(cut.dropDuplicates(_KEY), "kept")
     return (
-        found.join(cut.dropDuplicates(_KEY), _KEY, "left")
+        found.join(kept, _KEY, "left")
         .select(
             F.col("doc").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
             F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
