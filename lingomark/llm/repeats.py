@@ -463,8 +463,6 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     covered = _covered(keyed)
     rows = keyed.select("doc", "h", "g", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    longest = F.array_max(F.transform("spans", lambda s: s["behind"] - s["start"])).alias("longest")
-    found = rows.join(covered.select("h", "g", "n_removed", F.size("spans").cast("long").alias("n_spans"), longest), _KEY, "left")
     # Only texts of which a part stays have to be read again.
     partial = covered.select("h", "g", "spans")
 
@@ -482,10 +480,12 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         _likely(keyed.select("h", "g", "text"), partial).join(partial, _KEY).select("h", "g", "text", "spans")
         .mapInArrow(digest, "h long, g int, kept string")
     )
-    # Written, so that the join's hot texts can be split.
-    kept = stage(cut.dropDuplicates(_KEY), "kept")
+    longest = F.array_max(F.transform("spans", lambda s: s["behind"] - s["start"])).alias("longest")
+    shares = covered.select("h", "g", "n_removed", F.size("spans").cast("long").alias("n_spans"), longest)
+    # Written, so that the one join of the rows is of two plain tables and its hot texts can be split.
+    told = stage(shares.join(cut.dropDuplicates(_KEY), _KEY, "left"), "told")
     return (
-        found.join(kept, _KEY, "left")
+        rows.join(told, _KEY, "left")
         .select(
             F.col("doc").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
             F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
