@@ -387,9 +387,10 @@ def brute_repeats(rows, depth):
         for k in range(len(b) - depth + 1):
             if count[b[k : k + depth]] > 1:
                 cover[k : k + depth] = True
-        runs = int((np.diff(np.concatenate([[0], cover.astype(int), [0]])) == 1).sum())
+        steps = np.diff(np.concatenate([[0], cover.astype(int), [0]]))
+        runs, longest = int((steps == 1).sum()), max(np.flatnonzero(steps == -1) - np.flatnonzero(steps == 1), default=0)
         kept = hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest()
-        out[i, len(b), int(cover.sum()), runs, kept] += 1
+        out[i, len(b), int(cover.sum()), runs, kept, int(longest), 0 < cover.sum() < len(b)] += 1
     return out
 
 
