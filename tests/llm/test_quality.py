@@ -39,6 +39,7 @@ def net():
 
 def test_gradients_against_differences(net):
     exact = {k: v.astype(np.float64) for k, v in net.items()}
+    exact["inner_bias"] += 0.1  # away from where an empty text's hidden values have a kink
     texts = [quality.excerpts(t) for t in (b"", b"some words " * 3, b"other words, " * 200, "Größe ".encode() * 900)]
     labels = np.array([1.0, 0.0, 1.0, 0.0])
     _, slopes = quality.gradients(texts, labels, exact)
@@ -98,5 +99,9 @@ def test_odd_rows(spark):
     assert by_id[1].score == by_id[2].score and by_id[None].held_out is False
     assert quality.quality_scores(docs.limit(0), labels, epochs=1).count() == 0
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
-    parts, own = quality.training_sample(docs, labels, rows=2)
-    assert len(parts) == 2 and len(own) == 2 and all(len(p) <= quality.CHUNKS for p in parts)
+    for most in (1, 2, 4):  # labelled ids without a document count, too
+        parts, own = quality.training_sample(docs, labels, rows=most)
+        assert len(parts) == len(own) <= most and all(len(p) <= quality.CHUNKS for p in parts)
+    parts, own = quality.training_sample(docs, labels, rows=99)
+    known = {1: 0.0, 4: 1.0, 5: 1.0, 6: 0.0}
+    assert sorted(own) == sorted(known[i] for i, _ in rows if i in known and zlib.crc32(str(i).encode()) % 5)
