@@ -268,14 +268,17 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hits(
+    docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, remove: bool = False
+) -> DataFrame:
     """The documents' columns plus n_words, n_hit, spans and items.
 
     ``spans`` holds first word and word behind the last of each hit run, ``items`` the ids (as
     strings, sorted) of the items that occur. Null texts and items have no words. Repeated items count
     by their id; a null id is the string ``null``. No items give no hits, no documents no rows.
     Existing columns of these names are replaced. A pass over the documents holds the automata of at most
-    ``BLOCKS_PER_PASS`` blocks; where more are needed, the table is written between passes.
+    ``BLOCKS_PER_PASS`` blocks; where more are needed, the table is written between passes. With ``remove``
+    the last pass also cuts the hit spans out of the texts.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "spans", "items")]
     runs = "array<struct<first:bigint,behind:bigint>>"
@@ -292,12 +295,13 @@ def hits(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_bytes:
         held = [bytes(built.where(F.col("block") == k).first()["data"]) for k in some]
         if start:
             rows = stage(rows, "passed")
-        rows = _pass(rows, context.broadcast(held), len(kept), kept.index("text"))
+        last = start + BLOCKS_PER_PASS >= len(blocks)
+        rows = _pass(rows, context.broadcast(held), len(kept), kept.index("text"), remove and last)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["behind"] - x["first"])
     return rows.select(*kept, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def _pass(rows: DataFrame, held, n_kept: int, text_at: int) -> DataFrame:
+def _pass(rows: DataFrame, held, n_kept: int, text_at: int, remove: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [Scanner(pickle.loads(data)) for data in held.value]
         run = pa.struct([("first", pa.int64()), ("behind", pa.int64())])
@@ -311,6 +315,12 @@ def _pass(rows: DataFrame, held, n_kept: int, text_at: int) -> DataFrame:
                     if found:
                         spans[k] = _merged(spans[k] + own)
                         items[k] |= {"null" if item is None else item for item, _ in found}
+            if remove and any(spans):
+                left = old[text_at].to_pylist()
+                for k, own in enumerate(spans):
+                    if own:
+                        left[k] = cut(left[k], own)
+                old[text_at] = pa.array(left, old[text_at].type)
             listed = [[{"first": a, "behind": b} for a, b in own] for own in spans]
             yield pa.RecordBatch.from_arrays(
                 [*old[:n_kept], pa.array(map(len, texts), pa.int64()), pa.array(listed, pa.list_(run)),
@@ -348,21 +358,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, max
     A column ``n_chars`` is counted anew where a text was cut. Clean documents are passed on as they
     are, and so are documents without words.
     """
-    found = hits(docs, items, width).where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words") * max_coverage))
-    at, spans_at = found.columns.index("text"), found.columns.index("spans")
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(spans_at).to_pylist()
-            if any(spans):
-                texts = batch.column(at).to_pylist()
-                for k, own in enumerate(spans):
-                    if own:
-                        texts[k] = cut(texts[k], [(s["first"], s["behind"]) for s in own])
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
-
-    cleaned = found.mapInArrow(remove, found.schema)
+    found = hits(docs, items, width, remove=True)
+    cleaned = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words") * max_coverage))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(*[c for c in docs.columns if c in cleaned.columns])
