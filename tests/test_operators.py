@@ -351,3 +351,46 @@ def test_split_narrows_down_to_one_digest(spark, monkeypatch):
     monkeypatch.setattr(split, "DIGITS", 1)
     assert {(r["id"], r["split"]) for r in split.exact_split(rows, "id", 0.3).collect()} == plain
     assert split.exact_split(rows.limit(0), "id", 0.3).count() == 0
+
+def test_rule_matches_joins_whole_words(spark, monkeypatch):
+    """Dictionaries of plain words build no automaton, pass no driver and move no text."""
+    from lingomark.functions import text
+    from lingomark.operators import rules
+
+    built = []
+    monkeypatch.setattr(rules, "_scan", lambda rows, block: built.append(block.value))
+    words = ["cat", "cats", "a_1", "no", "cat"]
+    listed = [(k, f"w{k}", text.word_rule(w, "").pattern, w, True) for k, w in enumerate(words)]
+    table = spark.createDataFrame(
+        [*listed, (9, "marks", "[!?]{2,}", None, False)],
+        "position bigint, rule_id string, pattern string, literal string, whole boolean",
+    )
+    # Keys repeat and are null: every row counts for itself.
+    docs = spark.createDataFrame([(1, "cat cat-cats?!"), (1, "cat a_1!!"), (None, "été cat_ xcat cats"), (2, None)], "id int, t string")
+    done = rules.rule_matches(docs, "id", "t", table)
+    got = sorted((str(r["id"]), r["rule_id"], r["hits"]) for r in done.collect())
+    assert got == [
+        ("1", "marks", 1), ("1", "marks", 1), ("1", "w0", 1), ("1", "w0", 2), ("1", "w1", 1), ("1", "w2", 1),
+        ("1", "w4", 1), ("1", "w4", 2), ("None", "w1", 1),
+    ]
+    assert built == []
+    runs = rules.word_runs(docs.coalesce(1), "id", "t")
+    assert sorted((r["literal"], sorted((str(x["key"]), x["hits"]) for x in r["rows"])) for r in runs.collect()) == [
+        ("a_1", [("1", 1)]), ("cat", [("1", 1), ("1", 2)]), ("cat_", [("None", 1)]), ("cats", [("1", 1), ("None", 1)]),
+        ("t", [("None", 1)]), ("xcat", [("None", 1)]),
+    ]
+    for piece in (1, 2, 3, 100):
+        assert rules.count_runs("cat cats,_1 cat", piece) == {"cat": 2, "cats": 1, "_1": 1}
+
+
+def test_rule_matches_with_many_parts_of_words(spark, monkeypatch):
+    """The same hits, whether literals are looked for one by one or by the automaton."""
+    from lingomark.operators import rules
+
+    listed = [(0, "a", "a+", "a", False), (1, "b", "bb", "bb", False), (2, "a b", "a b(?![A-Za-z0-9_])", "a b", True), (3, "", None, "c", False)]
+    table = spark.createDataFrame(listed, "position bigint, rule_id string, pattern string, literal string, whole boolean")
+    docs = spark.createDataFrame([(1, "aa bbb"), (2, "a b c a b"), (3, "")], "id int, t string")
+    want = {(1, "a", 1), (1, "b", 1), (2, "a", 2), (2, "a b", 2)}
+    for few in (32, 1):
+        monkeypatch.setattr(rules, "FEW", few)
+        assert {tuple(r) for r in rules.rule_matches(docs, "id", "t", table).collect()} == want
