@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingomark.contracts import EMBEDDING_SIZE
-from lingomark.functions.text import is_nonblank, token_hash, words
+from lingomark.functions.text import is_nonblank
 from lingomark.functions.vectors import guard, replace_zero, zeros
 from lingomark.operators.apply_model import Predictor, apply_model
 
+# Words whose buckets a task keeps at a time, and values of the vectors it returns at a time.
+KNOWN_WORDS = 1 << 18
+CELLS = 1 << 20
+
+
+class Buckets(dict):
+    """Bucket of a word by :func:`~lingomark.functions.text.token_hash`, worked out when it is first seen."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        bucket = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % self.size
+        self[word] = bucket
+        return bucket
+
 
 def hashed_embedding(
     df: DataFrame,
@@ -24,19 +44,26 @@ def hashed_embedding(
 ) -> DataFrame:
     """Built-in encoder: L2-normalised counts of words hashed into ``size`` buckets.
 
-    Blank texts get the zero vector. Works row by row in the JVM; no vocabulary is fitted. All
-    words count; ``max_tokens`` limits them to the first ones, like a model with a short input.
+    Blank texts get the zero vector. Works row by row; no vocabulary is fitted, and a task hashes a
+    word once as long as it keeps it. All words count; ``max_tokens`` limits them to the first ones, like
+    a model with a short input.
     """
-    tokens = words(F.coalesce(F.col(text), F.lit("")))
-    if max_tokens is not None:
-        tokens = F.slice(tokens, 1, max_tokens)
-    buckets = F.transform(tokens, lambda w: (token_hash(w) % size).cast("string"))
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(size)], inputCol="_buckets", outputCol="_counts"
-    )
-    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
-    counted = unit.transform(counter.transform(df.withColumn("_buckets", buckets)))
-    return counted.withColumn(output, vector_to_array("_unit")).drop("_buckets", "_counts", "_unit")
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = Buckets(size)
+        step = max(1, CELLS // size)
+        for column in (batch[at : at + step] for batch in batches for at in range(0, len(batch), step)):
+            vectors = np.zeros((len(column), size))
+            for k, value in enumerate(column):
+                # str.split parts texts at the same white space as functions.text.words.
+                tokens = value.as_py().decode("utf-8", "replace").split()[:max_tokens]
+                counts = np.bincount(np.fromiter(map(buckets.__getitem__, tokens), np.int64, len(tokens)), minlength=size)
+                vectors[k] = counts / max(np.sqrt(float(counts @ counts)), 1.0)
+            yield pa.ListArray.from_arrays(np.arange(len(column) + 1, dtype=np.int32) * size, vectors.ravel())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    encode = F.arrow_udf(run, returnType="array<double>").asNondeterministic()
+    return df.withColumn(output, encode(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def embed_texts(

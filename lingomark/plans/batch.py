@@ -238,10 +238,11 @@ def training_table(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, failed_lines(made, "filename")
 
 
-def with_error_features(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """Add ``num_errors`` (rule hits) and ``grammar_ratio`` (hits per word)."""
+def with_error_features(df: DataFrame, text: str, rules: Sequence[Rule], n_words: Column | None = None) -> DataFrame:
+    """Add ``num_errors`` (rule hits) and ``grammar_ratio`` (hits per word); ``n_words`` is the number of words, if known."""
+    n_words = num_words(F.col(text)) if n_words is None else n_words
     counted = df.withColumn("num_errors", rule_error_count(F.col(text), rules))
-    return counted.withColumn("grammar_ratio", grammar_ratio(F.col("num_errors"), num_words(F.col(text))))
+    return counted.withColumn("grammar_ratio", grammar_ratio(F.col("num_errors"), n_words))
 
 
 def full_vectors(df: DataFrame, text: str, rules: Sequence[Rule], size: int = EMBEDDING_SIZE) -> DataFrame:
@@ -252,7 +253,7 @@ def full_vectors(df: DataFrame, text: str, rules: Sequence[Rule], size: int = EM
     names = (*AUDIO_COLUMNS, "grammar_score_model")
     present = set(df.columns)
     ready = df.withColumns({c: F.lit(0.0) for c in names if c not in present})
-    ready = with_error_features(with_text_features(default_audio(ready, names), text), text, rules)
+    ready = with_error_features(with_text_features(default_audio(ready, names), text), text, rules, F.col("num_words"))
     return hashed_embedding(ready, text, size)
 
 

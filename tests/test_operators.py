@@ -394,3 +394,28 @@ def test_rule_matches_with_many_parts_of_words(spark, monkeypatch):
     for few in (32, 1):
         monkeypatch.setattr(rules, "FEW", few)
         assert {tuple(r) for r in rules.rule_matches(docs, "id", "t", table).collect()} == want
+
+
+def test_hashed_embedding_hashes_words_once(spark, monkeypatch):
+    """A task works a word out once while it keeps it; blocks and a full cache leave the vectors alone."""
+    from lingomark.functions import text
+
+    asked = []
+    plain = hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda word: asked.append(word) or plain(word))
+    known = embedding.Buckets(384)
+    assert len({known[w] for w in ["the", "cat", "the"] * 50}) == 2 and asked == [b"the", b"cat"]
+    monkeypatch.undo()
+    texts = ["the cat\x1cthe\x85été　x", None, "", "the " * 99 + "cat", "\ta b\nc  d "] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(2)
+    tokens = rows.select("id", F.explode(F.slice(text.words("t"), 1, 90)).alias("w"))
+    counts = {(r[0], r[1]): r[2] for r in tokens.groupBy("id", text.token_hash(F.col("w")) % 7).count().collect()}
+    for cells, kept in ((1 << 20, 1 << 18), (7, 1)):
+        monkeypatch.setattr(embedding, "CELLS", cells)
+        monkeypatch.setattr(embedding, "KNOWN_WORDS", kept)
+        done = embedding.hashed_embedding(rows, "t", 7, max_tokens=90)
+        assert done.columns == ["id", "t", "embedding"]
+        for r in done.collect():
+            own = [counts.get((r["id"], b), 0) for b in range(7)]
+            length = math.sqrt(sum(n * n for n in own)) or 1.0
+            assert r["embedding"] == [n / length for n in own]
